@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from isotherm.llm.chat_format import chat_digests
 from isotherm.llm.decontaminate import contaminated_pairs
 from isotherm.llm.jaccard_join import jaccard_components
+from isotherm.llm.packing import best_fit_packing
 from isotherm.llm.secret_scan import secret_digests
 from isotherm.llm.suffix_dedup import suffix_dedup
+from isotherm.llm.toxicity import toxicity
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -28,6 +30,20 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_read(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(_read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_pairs(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -48,6 +64,8 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_toxicity": op6_toxicity,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_secret_scans": op10_secret_scans,
