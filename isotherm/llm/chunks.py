@@ -170,6 +170,7 @@ def unplanes(data: bytes) -> np.ndarray:
 
 def answer(asks: DataFrame, answered: Callable[[list[np.ndarray], list[bytes]], list[np.ndarray]], kind: int = 0) -> DataFrame:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("chunk_id")  # rows arrive in any order; answers must not depend on it
         flags = answered([unplanes(k) for k in frame["keys"]], list(frame["extra"]))
         return pd.DataFrame(
             {

@@ -32,6 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from isotherm.llm.chunks import U64, Rolling, answer, ask, ask_rows, build_chunks, flags_of, mix, ranges_for, unpack, with_answers
+from isotherm.llm.store import stage
 
 K = 50
 FULL, SHOW = 1, 2
@@ -227,7 +228,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, with ``texts``, ``kept``: the bytes left, as text."""
     chunks = build_chunks(docs, id_col, text_col)
     n_ranges = ranges_for(chunks)
-    first = answer(ask(chunks, _ask(length, k), n_ranges), _answer)
+    first = stage(answer(ask(chunks, _ask(length, k), n_ranges), _answer), "answers")
     shown = with_answers(chunks, first, _ask_windows(length, k, n_ranges), "r int, chunk_id long, keys binary, extra binary")
     second = answer(shown, _answer_windows, kind=2)
     return with_answers(chunks, first.unionByName(second), _cut(length, k, n_ranges, texts), RESULT).drop(*[] if texts else ["kept"])
