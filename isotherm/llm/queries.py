@@ -12,6 +12,7 @@ from isotherm.llm.chat_format import chat_digests
 from isotherm.llm.decontaminate import contaminated_pairs
 from isotherm.llm.jaccard_join import jaccard_components
 from isotherm.llm.packing import best_fit_packing
+from isotherm.llm.pii import personal_digests
 from isotherm.llm.quality import quality_rules
 from isotherm.llm.secret_scan import secret_digests
 from isotherm.llm.suffix_dedup import suffix_dedup
@@ -58,6 +59,10 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated_pairs(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_digests(_read(spark, sf_dir, "documents"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "<|im_end|><|im_start|>assistant ok"
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_toxicity": op6_toxicity,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_pii": op8_pii,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_secret_scans": op10_secret_scans,
 }
