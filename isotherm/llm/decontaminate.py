@@ -12,7 +12,7 @@ the shingles themselves, as strings.
 Shingles are ``width`` words, lower-cased; an item with fewer words is one
 shingle of all of them and is sought among runs of as many words.  Only
 widths that occur among the items are made.  DataFrame functions alone run here.
-The signature table is broadcast while it is below ``BROADCAST_ROWS`` rows and
+The signature table is broadcast while it is below ``store.BROADCAST_ROWS`` rows and
 shuffled beyond; so are the candidates' ids.
 
 Null or blank texts and items match nothing; so does a null id.  Rows that
@@ -26,9 +26,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isotherm.llm.store import stage
-
-BROADCAST_ROWS = 500_000
+from isotherm.llm.store import small, stage
 
 
 def word_array(text: Column) -> Column:
@@ -46,10 +44,6 @@ def string_runs(words: Column, width: int) -> Column:
     return F.transform(at, lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(width)]))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def contaminated_pairs(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", width: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
     """``doc_id, item_id, n_item, n_shared, containment`` of every pair at or above the threshold."""
     t = Fraction(threshold)
@@ -73,21 +67,21 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
         return docs.sparkSession.createDataFrame([], empty)
     probes = own.select("doc_id", word_array(F.col("text")).alias("w"))
     probes = probes.select("doc_id", F.explode(F.concat(*[hashed_runs(F.col("w"), k) for k in sorted(widths)])).alias("h"))
-    met = probes.join(_small(signature.select("h", "item_id"), signature.count()), "h")
+    met = probes.join(small(signature.select("h", "item_id"), signature.count()), "h")
     candidates = stage(met.select("doc_id", "item_id").distinct(), "candidates")
 
     # exact verification, of the candidates' documents alone
     ids = candidates.select("doc_id").distinct()
-    again = own.join(_small(ids, candidates.count()), "doc_id", "left_semi")
+    again = own.join(small(ids, candidates.count()), "doc_id", "left_semi")
     runs = F.array_distinct(F.concat(*[string_runs(F.col("w"), k) for k in sorted(widths)]))
     parts = again.select("doc_id", word_array(F.col("text")).alias("w")).select("doc_id", F.explode(runs).alias("shingle"))
     sought = table.select("shingle", "item_id", "n_item")
-    shared = parts.join(_small(sought, table.count()), "shingle").groupBy("doc_id", "item_id", "n_item").agg(F.countDistinct("shingle").alias("n_shared"))
+    shared = parts.join(small(sought, table.count()), "shingle").groupBy("doc_id", "item_id", "n_item").agg(F.countDistinct("shingle").alias("n_shared"))
     enough = shared.where(F.col("n_shared") * t.denominator >= F.col("n_item") * t.numerator)
     return enough.join(candidates, ["doc_id", "item_id"], "left_semi").withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """``docs`` without those that contain an item."""
-    bad = contaminated_pairs(docs, items, id_col=id_col, **how).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti").select(*docs.columns)
+    bad = stage(contaminated_pairs(docs, items, id_col=id_col, **how).select(F.col("doc_id").alias(id_col)).distinct(), "contaminated")
+    return docs.join(small(bad), id_col, "left_anti").select(*docs.columns)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from isotherm.llm.chunks import U64, answer, ask, build_chunks, flags_of, mix, ranges_for, with_answers
 from isotherm.llm.components import connected_components
-from isotherm.llm.store import stage
+from isotherm.llm.store import small, stage
 from isotherm.llm.words import set_digests, shingle_sets
 
 BLOCK = 1500
@@ -212,3 +212,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component = connected_components(links).withColumnRenamed("node", "rep").withColumnRenamed("component", "least")
     found = classes.join(component, "rep", "left").select("n_shingles", "d1", "d2", F.coalesce("least", "rep").alias("component_id"))
     return sets.select("doc_id", "n_shingles", "d1", "d2").join(found, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` with the least id of each group of linked texts; blank texts and null ids all stay."""
+    found = stage(jaccard_components(docs, id_col, text_col, **how), "linked")
+    gone = stage(found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
+    kept = docs.join(small(gone), id_col, "left_anti").select(*docs.columns)
+    repeated = found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if repeated.isEmpty():
+        return kept
+    # rows that repeat an id: equal texts are one group, of which one row stays
+    return kept.where(F.col(id_col).isNull()).unionByName(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]))

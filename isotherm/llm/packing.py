@@ -16,7 +16,6 @@ packed one by one.  Extra columns are ignored.
 from __future__ import annotations
 
 import bisect
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -25,45 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from isotherm.llm.encoder import WordEncoder
 from isotherm.llm.store import stage
 
 CAPACITY = 2048
 SALTS = 512
 #: texts are tokenized in batches of about so many characters
-BATCH_CHARS = 500_000
-#: words whose ids a task keeps
-KEPT_WORDS = 400_000
+BATCH_CHARS = 2_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class WordEncoder:
-    """Token ids of whole texts, word by word.
-
-    The tokenizer drops white space and no token, composition or added token
-    reaches across it, so a text's ids are those of its words (between ASCII
-    white space) one after another.  Words repeat, so their ids are kept, as
-    little-endian bytes, until ``KEPT_WORDS`` are held.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        new = list(set().union(*words).difference(self.known))
-        if len(self.known) + len(new) > KEPT_WORDS:
-            self.known.clear()
-            new = list(set().union(*words))
-        if new:
-            ids = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            self.known.update((w, struct.pack(f"<{len(e.ids)}I", *e.ids)) for w, e in zip(new, ids, strict=True))
-        known = self.known
-        return [b"".join([known[w] for w in own]) for own in words]
-
-
 def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", close: int = 0, ids: bool = False) -> DataFrame:
     """Pieces of the token ids of each text and a closing id; with ``ids``, the ids themselves as well."""
 
@@ -158,16 +128,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> Dat
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     lines = plan(histogram, capacity)
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("k", F.row_number().over(within) - 1).join(offsets, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("k"))
+    offsets = counts.select("length", "salt", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     if not lines:
         return pieces.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
-    # a line per run of ranks; a line's last rank finds it by a binary search in the length's sorted lines
+    # each (length, salt) takes along the few lines that its ranks cross
     table = spark.createDataFrame(lines, "length long, low long, pieces long, bin long, per long, at long")
-    by = table.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("low", "pieces", "bin", "per", "at"))).alias("lines"))
+    crossed = (F.col("low") < F.col("base") + F.col("n")) & (F.col("low") + F.col("pieces") > F.col("base"))
+    spread = offsets.join(F.broadcast(table), "length").where(crossed)
+    spread = spread.groupBy("length", "salt", "base").agg(F.array_sort(F.collect_list(F.struct("low", "pieces", "bin", "per", "at"))).alias("lines"))
+    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    ranked = salted.withColumn("k", F.row_number().over(within) - 1).join(spread, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("k"))
     found = F.element_at(F.filter("lines", lambda x: (x["low"] <= F.col("rank")) & (F.col("rank") < x["low"] + x["pieces"])), 1)
-    placed = ranked.join(F.broadcast(by), "length").withColumn("line", found)
+    placed = ranked.withColumn("line", found)
     step = F.col("rank") - F.col("line.low")
     return placed.select(
         *pieces.columns,

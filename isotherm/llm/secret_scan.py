@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isotherm.llm.store import new_folder
+from isotherm.llm.store import new_folder, small, stage
 
 
 @dataclass(frozen=True)
@@ -132,7 +132,9 @@ def secret_digests(docs: DataFrame) -> DataFrame:
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", path_col: str = "doc_id", mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span of a text replaced by ``mask``; overlapping spans are replaced as one."""
-    found = scan_secrets(docs, path_col, text_col).where(F.size("found") > 0).select("blob", "found").dropDuplicates(["blob"])
+    ledger = BlobLedger(docs.sparkSession)
+    ledger.scan(docs, path_col, text_col)
+    found = small(stage(ledger.findings(), "findings"))
     keyed = docs.withColumn("_blob", F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256))
     text = F.col(text_col)
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
