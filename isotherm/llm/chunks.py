@@ -120,6 +120,10 @@ def build_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 # ---- ask and answer -----------------------------------------------------------
 
+#: Bytes of a key that are asked.  Keys that agree in these get one answer, the same
+#: everywhere; callers use answers as an order or to rule positions out, never as proof of equality.
+SENT = 6
+
 #: keys (sorted, distinct) and, per key, the same number of bytes of extra data
 Asked = tuple[np.ndarray, np.ndarray]
 
@@ -159,13 +163,15 @@ def ask_rows(chunk_id: int, keys: np.ndarray, extra: np.ndarray, n_ranges: int)
 
 
 def planes(keys: np.ndarray) -> bytes:
-    """Sorted keys byte by byte, highest first: the first planes compress well."""
-    return keys.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """The first ``SENT`` bytes of sorted keys, plane by plane: the first planes compress well."""
+    return keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :SENT].T.tobytes()
 
 
 def unplanes(data: bytes) -> np.ndarray:
-    a = np.frombuffer(data, dtype=np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(a.T).reshape(-1).view(">u8").astype(np.uint64)
+    a = np.frombuffer(data, dtype=np.uint8).reshape(SENT, -1)
+    full = np.zeros((a.shape[1], 8), dtype=np.uint8)
+    full[:, :SENT] = a.T
+    return full.reshape(-1).view(">u8").astype(np.uint64)
 
 
 def answer(asks: DataFrame, answered: Callable[[list[np.ndarray], list[bytes]], list[np.ndarray]], kind: int = 0) -> DataFrame:
