@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from isotherm.llm.store import stage
 
 CHUNK_SCHEMA = "chunk_id long, ids array<long>, lens binary, data binary"
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -128,7 +128,7 @@ SENT = 6
 Asked = tuple[np.ndarray, np.ndarray]
 
 
-def ranges_for(chunks: DataFrame, per_range: int = 8) -> int:
+def ranges_for(chunks: DataFrame, per_range: int = 16) -> int:
     return max(16, -(-chunks.count() // per_range))
 
 

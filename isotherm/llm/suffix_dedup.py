@@ -71,7 +71,7 @@ class Anchors:
         self.at = chosen[new]
         self.low = p[new]
         self.high = p[np.concatenate([new[1:] - 1, [total - 1]])]
-        self.key = grams[self.at]
+        self.key = mix(grams[self.at])  # least hashes crowd near 0; the ranges want them even
         self.reach = mix(self.roll.of(self.low, self.high + length) ^ mix((self.at - self.low).astype(np.uint64)))
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
