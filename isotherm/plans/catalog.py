@@ -1,4 +1,555 @@
-"""Named queries over the driver's tables, and the same in SQL."""
+"""Named queries over the driver's tables, one operator each, and the same in SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+The star schema stands in for grids and panels: nations are cells with orders
+as daily values, suppliers are units with yearly means of their lines, customer
+keys give places and grid indices.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from isotherm.functions import calendar, grid, scalar
+from isotherm.functions.percentile import METHODS
+from isotherm.operators import econometrics, ensemble, exceedance, panel, zonal
+from isotherm.plans import specs
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+YEARS = (1995, 1999)
+LOAD, SEASON = [5, 6, 7, 8, 9], [6, 7, 8]
+
+
+def query(sql: str | None = None):
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def r(c: str | Column, digits: int = 6) -> Column:
+    return F.round(c, digits)
+
+
+def read(spark: SparkSession, d: str, table: str, *columns: str) -> DataFrame:
+    df = spark.read.parquet(f"{d}/{table}.parquet")
+    return df.select(*columns) if columns else df
+
+
+# ---- tables in the reference's shape --------------------------------------------------
+
+
+def daily(spark: SparkSession, d: str) -> DataFrame:
+    """cell, date, value: a nation's orders."""
+    orders = read(spark, d, "orders", "o_custkey", "o_orderdate", "o_totalprice")
+    customers = read(spark, d, "customer", "c_custkey", "c_nationkey")
+    return orders.join(customers, orders.o_custkey == customers.c_custkey).select(F.col("c_nationkey").alias("cell"), F.to_date("o_orderdate").alias("date"), F.col("o_totalprice").alias("value"))
+
+
+DAILY = "daily as (select c_nationkey as cell, cast(o_orderdate as date) as date, o_totalprice as value from orders join customer on o_custkey = c_custkey)"
+
+
+def units(spark: SparkSession, d: str) -> DataFrame:
+    """unit, year, country, y, x1, x2: a supplier's yearly means."""
+    lines = read(spark, d, "lineitem", "l_suppkey", "l_shipdate", "l_extendedprice", "l_discount", "l_quantity")
+    by = lines.groupBy(F.col("l_suppkey").alias("unit"), F.year("l_shipdate").alias("year")).agg(
+        (F.avg("l_extendedprice") / 1000).alias("y"), (F.avg("l_discount") * 10).alias("x1"), (F.avg("l_quantity") / 10).alias("x2"), F.sum("l_extendedprice").alias("level")
+    )
+    suppliers = read(spark, d, "supplier", "s_suppkey", "s_nationkey")
+    nations = read(spark, d, "nation", "n_nationkey", "n_regionkey")
+    return by.join(suppliers, F.col("unit") == F.col("s_suppkey")).join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("unit", "year", F.col("n_regionkey").alias("country"), "y", "x1", "x2", "level")
+
+
+UNITS = """units as (select l_suppkey as unit, cast(year(l_shipdate) as int) as year, any_value(n_regionkey) as country,
+  avg(l_extendedprice) / 1000 as y, avg(l_discount) * 10 as x1, avg(l_quantity) / 10 as x2, sum(l_extendedprice) as level
+  from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey group by 1, 2)"""
+
+
+def places(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return read(spark, d, "customer", "c_custkey").select(k.alias("id"), ((k * 37) % 1801 / 10 - 90).alias("lat"), ((k * 101) % 3600 / 10 - 180).alias("lon"))
+
+
+PLACES = "places as (select c_custkey as id, cast((c_custkey * 37) % 1801 as double) / 10 - 90 as lat, cast((c_custkey * 101) % 3600 as double) / 10 - 180 as lon from customer)"
+
+
+def cells(spark: SparkSession, d: str) -> DataFrame:
+    """lat_i, lon_i, value on a 0.1 degree grid; a value in eleven is missing."""
+    k = F.col("c_custkey")
+    value = F.when(k % 11 != 0, F.col("c_acctbal"))
+    return read(spark, d, "customer", "c_custkey", "c_acctbal").select(k.alias("key"), (k * 13 % 60).cast("int").alias("lat_i"), (k * 17 % 3600).cast("int").alias("lon_i"), value.alias("value"))
+
+
+CELLS = "cells as (select c_custkey as key, cast(c_custkey * 13 % 60 as int) as lat_i, cast(c_custkey * 17 % 3600 as int) as lon_i, case when c_custkey % 11 <> 0 then c_acctbal end as value from customer)"
+
+
+# ---- scans, filters, keys -----------------------------------------------------------------
+
+
+@query(f"with {PLACES} select id, lat, lon from places where lat between -30 and 45.5 and (lon >= 170 or lon <= -150)")
+def scan_filter_bbox(spark, d):
+    """SC1, FL1, FL2: a box across the date line."""
+    return places(spark, d).where(grid.in_box("lat", "lon", -30, 45.5, 170, -150))
+
+
+@query(f"""with {DAILY} select cell, cast(year(date) + (case when month(date) = 12 then 1 else 0 end) as int) as season_year,
+  (case when month(date) in (12, 1, 2) then 'DJF' when month(date) in (3, 4, 5) then 'MAM' when month(date) in (6, 7, 8) then 'JJA' else 'SON' end)
+  || '-' || cast(year(date) + (case when month(date) = 12 then 1 else 0 end) as varchar) as season, count(*) as n from daily group by 1, 2, 3""")
+def season_year_shift(spark, d):
+    """SC3, PJ15, SF1."""
+    return daily(spark, d).groupBy("cell", calendar.season_year("date").alias("season_year"), calendar.season_label("date").alias("season")).agg(F.count("*").alias("n"))
+
+
+@query(f"with {CELLS} select key, (lon_i + 1800) % 3600 as turned, round(-180 + lon_i * 0.1::double, 4) as lon, round(90 - lat_i * 0.1::double, 4) as lat, round((lon_i * 0.1::double + 180) - 360 * floor((lon_i * 0.1::double + 180) / 360) - 180, 4) as wrapped from cells")
+def lon_wrap(spark, d):
+    """PJ8, PJ9, SF12."""
+    turned = grid.half_turn("lon_i", 3600)
+    return cells(spark, d).select("key", turned.alias("turned"), r(grid.lon_of("lon_i", 0.1), 4).alias("lon"), r(grid.lat_of("lat_i", 0.1), 4).alias("lat"), r(grid.wrap_degrees(F.col("lon_i") * 0.1), 4).alias("wrapped"))
+
+
+@query("select cast(i // 24 as int) as lat_i, cast(i % 24 as int) as lon_i, round(90 - (i // 24) * 15.0::double, 4) as lat from range(13 * 24) t(i)")
+def grid_axes(spark, d):
+    """SC14: a generated grid."""
+    return grid.axes(spark, 13, 24).withColumn("lat", r(grid.lat_of("lat_i", 15.0), 4))
+
+
+@query(f"with {PLACES}, m as (select id, lon * 100000.0 as x, lat * 90000.0 as y, asin(lat * 90000.0 / (6378137.0 * sqrt(2))) as t from places where abs(lat * 90000.0 / (6378137.0 * sqrt(2))) <= 1) select id, round(degrees(asin((2 * t + sin(2 * t)) / pi())), 6) as lat, round(degrees(pi() * x / (2 * 6378137.0 * sqrt(2) * cos(t))), 6) as lon from m where abs(degrees(pi() * x / (2 * 6378137.0 * sqrt(2) * cos(t)))) <= 180")
+def mollweide_inverse(spark, d):
+    """AG28: the projection's inverse."""
+    lat, lon = grid.mollweide_inverse(F.col("lon") * 100000.0, F.col("lat") * 90000.0)
+    return places(spark, d).select("id", r(lat).alias("lat"), r(lon).alias("lon")).where("lat is not null and lon is not null")
+
+
+@query("select l_suppkey as unit, count(*) as n from lineitem where l_suppkey in (select s_suppkey from supplier join nation on s_nationkey = n_nationkey where n_regionkey = 1) group by 1")
+def semi_filter(spark, d):
+    """FL9, JN8: units that another table names."""
+    nations = read(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("s_nationkey"))
+    named = read(spark, d, "supplier").join(nations, "s_nationkey", "left_semi").select(F.col("s_suppkey").alias("unit"))
+    return read(spark, d, "lineitem", "l_suppkey").withColumnRenamed("l_suppkey", "unit").join(named, "unit", "left_semi").groupBy("unit").agg(F.count("*").alias("n"))
+
+
+@query("with a as (select c_custkey as id, nullif(c_nationkey % 7, 0) as k from customer), b as (select n_nationkey as v, nullif(n_nationkey, 0) as k from nation where n_nationkey < 5) select id, a.k, v from a left join b on a.k is not distinct from b.k")
+def null_safe_join(spark, d):
+    """JN6, JN7 with missing keys."""
+    zero = lambda c: F.when(c != 0, c)
+    a = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), zero(F.col("c_nationkey") % 7).alias("k"))
+    b = read(spark, d, "nation").where("n_nationkey < 5").select(zero(F.col("n_nationkey")).alias("k"), F.col("n_nationkey").alias("v"))
+    return panel.null_safe_left(a, b, ["k"])
+
+
+# ---- thresholds and frequencies -----------------------------------------------------------
+
+POOL = f"""{DAILY}, base as (select *, dayofyear(date) as doy from daily where year(date) between 1995 and 1999 and month(date) between 5 and 9),
+  targets as (select distinct doy as target from base where month(date) between 6 and 8),
+  pool as (select cell, target as doy, value from base join targets on least(abs(doy - target), 366 - abs(doy - target)) <= 7 where value is not null)"""
+NEAREST = "list_sort(list(value))[cast(round_even(0.95 * (count(value) - 1), 0) as int) + 1]"
+
+
+def limits(spark, d, method: str = "nearest") -> DataFrame:
+    return exceedance.thresholds(daily(spark, d), ["cell"], "value", "date", YEARS, LOAD, SEASON, method=method)
+
+
+@query(f"with {POOL} select cell, cast(doy as int) as doy, count(*) as n, round(sum(value), 2) as total from pool group by 1, 2")
+def doy_window_pool(spark, d):
+    """JN1, FL5, WN7: the band join as an explode."""
+    base = daily(spark, d).where(F.year("date").between(*YEARS) & F.month("date").isin(LOAD)).withColumn("doy", F.dayofyear("date"))
+    targets = base.where(F.month("date").isin(SEASON)).select(F.col("doy").alias("target_doy")).distinct()
+    pooled = calendar.pooled_days(base, "doy").join(F.broadcast(targets), "target_doy", "left_semi")
+    return pooled.groupBy("cell", F.col("target_doy").alias("doy")).agg(F.count("*").alias("n"), r(F.sum("value"), 2).alias("total"))
+
+
+@query(f"with {POOL} select cell, cast(doy as int) as doy, {NEAREST} as threshold from pool group by 1, 2")
+def pctl_nearest_rank(spark, d):
+    """AG1."""
+    return limits(spark, d)
+
+
+@query(f"with {POOL} select cell, cast(doy as int) as doy, round(quantile_cont(value, 0.95), 4) as threshold from pool group by 1, 2")
+def pctl_linear(spark, d):
+    """AG2."""
+    return limits(spark, d, "linear").withColumn("threshold", r("threshold", 4))
+
+
+def _freq_sql(test: str) -> str:
+    return f"""with {POOL}, lim as (select cell, doy, {NEAREST} as threshold from pool group by 1, 2)
+  select d.cell, cast(year(date) as int) as year, count(*) as n_days, cast(sum(case when value {test} threshold then 1 else 0 end) as bigint) as n_exceed,
+  round(sum(case when value {test} threshold then 1 else 0 end) / count(*), 6) as freq
+  from daily d left join lim on lim.cell = d.cell and lim.doy = dayofyear(date) where month(date) between 6 and 8 and year(date) between 1996 and 2000 group by 1, 2"""
+
+
+def _freq(spark, d, inclusive: bool) -> DataFrame:
+    days = daily(spark, d)
+    return exceedance.frequency(days, limits(spark, d), ["cell"], "value", "date", SEASON, (1996, 2000), inclusive=inclusive).withColumn("freq", r("freq"))
+
+
+@query(_freq_sql(">"))
+def exceed_freq_gt(spark, d):
+    """AG3, JN2, FL6."""
+    return _freq(spark, d, False)
+
+
+@query(_freq_sql(">="))
+def exceed_freq_ge(spark, d):
+    """The inclusive form of AG3."""
+    return _freq(spark, d, True)
+
+
+@query(f"select cell, case when count(freq) = 5 then round(avg(freq), 6) end as mean_freq from ({_freq_sql('>')}) where not (cell = 3 and year = 1997) group by 1")
+def mean_freq_nan_guard(spark, d):
+    """AG4: no mean as soon as a year is missing."""
+    freq = _freq(spark, d, False).where(~((F.col("cell") == 3) & (F.col("year") == 1997)))
+    return exceedance.mean_frequency(freq, ["cell"], 5).withColumn("mean_freq", r("mean_freq"))
+
+
+@query(f"with {DAILY}, m as (select distinct cell, year(date) as year, month(date) as month from daily where month(date) between 6 and 8 and not (year(date) = 1998 and month(date) = 7)) select cell, cast(year as int) as year, count(*) as months from m where year in (select year from m group by 1 having count(distinct month) = 3) group by 1, 2")
+def complete_seasons(spark, d):
+    """SC3 policy: a season without one of its months is left out."""
+    from isotherm.sources.tables import complete_seasons as keep
+
+    m = daily(spark, d).select("cell", F.year("date").alias("year"), F.month("date").alias("month")).where(F.col("month").isin(SEASON)).where("not (year = 1998 and month = 7)").distinct()
+    return keep(m, SEASON, year="year").groupBy("cell", "year").agg(F.count("*").alias("months"))
+
+
+# ---- grids and units ------------------------------------------------------------------------
+
+
+@query(f"with {CELLS} select cast(round_even(lat_i * 0.1 / 0.25, 0) as int) as lat_i, cast(round_even(lon_i * 0.1 / 0.25, 0) as int) % 1440 as lon_i, round(cast(avg(value) as float), 2) as value from cells where value is not null group by 1, 2")
+def coarsen_mean(spark, d):
+    """AG7, with the circle closed."""
+    return zonal.coarsen(cells(spark, d), "value").withColumn("value", r("value", 2))
+
+
+ZONAL = f"{CELLS}, z as (select lat_i as unit, value, case when lon_i % 5 = 0 then 0 else lon_i % 7 end as w from cells)"
+
+
+@query(f"with {ZONAL} select unit, round(sum(value * w) / sum(w), 4) as weighted, round(avg(value), 4) as plain, cast(sum(w) as double) as total_weight, cast(count(*) as int) as n_cells from z where value is not null and w > 0 group by 1")
+def zonal_weighted(spark, d):
+    """AG5, JN4, FL7."""
+    z = cells(spark, d).withColumn("w", F.when(F.col("lon_i") % 5 == 0, 0).otherwise(F.col("lon_i") % 7))
+    return zonal.weighted_zonal(z.withColumnRenamed("lat_i", "unit"), ["unit"], "value", "w").withColumns({"weighted": r("weighted", 4), "plain": r("plain", 4)})
+
+
+@query(f"with {ZONAL} select unit, round(avg(value), 4) as mean, cast(count(*) as int) as n_cells from z where value is not null group by 1")
+def zonal_plain(spark, d):
+    """AG6."""
+    return zonal.zonal(cells(spark, d).withColumnRenamed("lat_i", "unit"), ["unit"], "value").withColumn("mean", r("mean", 4))
+
+
+@query("select cast(y as int) as year, cast(case when y <= 2002 then 2000 when y <= 2007 then 2005 when y <= 2012 then 2010 when y <= 2017 then 2015 when y <= 2022 then 2020 else 2025 end as int) as epoch from range(1998, 2030) t(y)")
+def epoch_map(spark, d):
+    """JN5."""
+    return spark.range(1998, 2030).select(F.col("id").cast("int").alias("year")).withColumn("epoch", zonal.epoch_of(F.col("year")))
+
+
+MONTHLY = f"{DAILY}, monthly as (select cell, cast(year(date) as int) as year, cast(month(date) as int) as month, case when (cell + month(date)) % 23 <> 0 then avg(value) / 100000 end as rate from daily group by cell, year(date), month(date))"
+
+
+def monthly(spark, d) -> DataFrame:
+    m = daily(spark, d).groupBy("cell", F.year("date").alias("year"), F.month("date").alias("month")).agg((F.avg("value") / 100000).alias("rate"))
+    return m.withColumn("rate", F.when((F.col("cell") + F.col("month")) % 23 != 0, F.col("rate")))
+
+
+@query(f"with {MONTHLY} select cell, year, case when count(rate) = 12 then round(sum(rate * day(last_day(make_date(year, month, 1)))) * 1000, 4) end as total from monthly group by 1, 2")
+def annual_total_days(spark, d):
+    """AG9, SF2, PJ1."""
+    return zonal.annual_total(monthly(spark, d), ["cell"], "rate").withColumn("total", r("total", 4))
+
+
+@query(f"with {MONTHLY} select cell, year, round(avg(rate), 6) as rate from monthly group by 1, 2")
+def annual_mean_months(spark, d):
+    """AG8."""
+    return zonal.annual_mean(monthly(spark, d), ["cell"], "rate").withColumn("rate", r("rate"))
+
+
+@query("select cast(c_custkey * 13 % 60 as int) as lat_i, cast(c_custkey * 17 % 90 as int) as lon_i, max(c_custkey) as raster_id from customer group by 1, 2")
+def last_wins_mosaic(spark, d):
+    """ST3, JN17: of overlapping writes the last."""
+    k = F.col("c_custkey")
+    return zonal.last_wins(read(spark, d, "customer").select((k * 13 % 60).cast("int").alias("lat_i"), (k * 17 % 90).cast("int").alias("lon_i"), k.alias("raster_id")), ["lat_i", "lon_i"], "raster_id")
+
+
+@query()
+def burn_units(spark, d):
+    """JN17, SF10: rectangles of suppliers onto a one degree grid."""
+    k = F.col("s_suppkey")
+    west, south = (k * 31 % 340 - 170).cast("double"), (k * 17 % 160 - 80).cast("double")
+    corner = lambda x, y: F.struct((west + x).alias("lon"), (south + y).alias("lat"))
+    ring = F.array(corner(0.2, 0.2), corner(3.7, 0.2), corner(3.7, 2.6), corner(0.2, 2.6), corner(0.2, 0.2))
+    return zonal.burn(read(spark, d, "supplier").select(k.cast("int").alias("raster_id"), F.array(ring).alias("rings")), step=1.0)
+
+
+@query("select s_suppkey as id, round(cast(s_suppkey * 31 % 340 - 170 as double) + 1.95, 6) as lon, round(cast(s_suppkey * 17 % 160 - 80 as double) + 1.4, 6) as lat from supplier")
+def ring_centroid(spark, d):
+    """SF10, EC2."""
+    k = F.col("s_suppkey")
+    west, south = (k * 31 % 340 - 170).cast("double"), (k * 17 % 160 - 80).cast("double")
+    corner = lambda x, y: F.struct((west + x).alias("lon"), (south + y).alias("lat"))
+    ring = F.array(corner(0.2, 0.2), corner(3.7, 0.2), corner(3.7, 2.6), corner(0.2, 2.6), corner(0.2, 0.2))
+    lon, lat = scalar.ring_centroid("ring")
+    return read(spark, d, "supplier").select(k.alias("id"), ring.alias("ring")).select("id", r(lon).alias("lon"), r(lat).alias("lat"))
+
+
+@query()
+def reproject_built(spark, d):
+    """AG28: Mollweide pixels to cells and epochs."""
+    k = F.col("c_custkey")
+    points = read(spark, d, "customer").select((k % 3000 * 4000.0 - 6e6).alias("x"), (k * 7 % 1500 * 8000.0 - 6e6).alias("y"), F.lit(2000).alias("epoch"), F.col("c_acctbal").alias("value"))
+    return zonal.reproject_built(points, step=1.0)
+
+
+# ---- panels ------------------------------------------------------------------------------------
+
+
+@query(f"with {UNITS} select unit, year, round(x1, 6) as value from units where year between 1995 and 2000")
+def unpivot_long(spark, d):
+    """PJ7: wide years to rows."""
+    years = list(range(1995, 2001))
+    wide = units(spark, d).groupBy("unit").pivot("year", years).agg(F.first("x1"))
+    return panel.melt_years(wide, ["unit"]).where("value is not null").withColumn("value", r("value"))
+
+
+@query(f"with {UNITS} select unit, year, round(ln(level) - ln(lag(level) over (partition by unit order by year)), 6) as growth from units")
+def growth_logdiff(spark, d):
+    """WN1."""
+    return panel.log_growth(units(spark, d), "unit", "year", "level").select("unit", "year", r("growth").alias("growth"))
+
+
+@query(f"with {UNITS} select unit, year, round(y - avg(y) over (partition by country, year), 6) as residual from units")
+def group_demean(spark, d):
+    """WN2, AG14."""
+    return panel.demean(units(spark, d), "y", ["country", "year"], "residual").select("unit", "year", r("residual").alias("residual"))
+
+
+@query(f"""with {UNITS}, m as (select unit, median(level) as v from units group by 1), e as (select quantile_cont(v, 1 / 3) as a, quantile_cont(v, 2 / 3) as b from m)
+  select unit, case when v > b then 'high' when v > a then 'mid' else 'low' end as tercile from m, e""")
+def median_tercile(spark, d):
+    """AG10, AG11, JN12."""
+    return panel.terciles(units(spark, d), "unit", "level").select("unit", "tercile").distinct()
+
+
+@query(f"""with {UNITS}, e as (select quantile_cont(x2, [0.2, 0.4, 0.6, 0.8]) as q from units),
+  b as (select unit, year, cast(1 + (case when x2 > q[1] then 1 else 0 end) + (case when x2 > q[2] then 1 else 0 end) + (case when x2 > q[3] then 1 else 0 end) + (case when x2 > q[4] then 1 else 0 end) as int) as bin from units, e)
+  select unit, year, bin, cast(bin = 2 as double) as bin_2, cast(bin = 3 as double) as bin_3, cast(bin = 4 as double) as bin_4, cast(bin = 5 as double) as bin_5 from b""")
+def qcut5_dummies(spark, d):
+    """AG11, PJ6."""
+    cut = panel.qcut(units(spark, d).select("unit", "year", "x2"), "x2", 5, "bin", duplicates="drop")
+    return panel.dummies(cut, "bin", [2, 3, 4, 5], "bin_").drop("x2")
+
+
+@query(f"with {UNITS} select h.unit, h.year as year_heat, g.year as year_gdp, round(h.x1, 6) as x1, round(g.y, 6) as y from units h join units g on g.unit = h.unit and g.year = h.year + 1 where g.year <> 1998")
+def lead_join(spark, d):
+    """JN11, PJ4: years may be missing."""
+    u = units(spark, d)
+    heat = u.select("unit", F.col("year").alias("year_heat"), r("x1").alias("x1"))
+    growth = u.select("unit", F.col("year").alias("year_gdp"), r("y").alias("y")).where("year_gdp <> 1998")
+    return panel.lead_join(heat, growth, "unit")
+
+
+@query(f"with {UNITS}, l as (select 'x1' as variable, x1 as v from units union all select 'y', y from units) select variable, round(avg(v), 6) as mean, round(stddev_samp(v), 6) as std, round(min(v), 6) as min, round(max(v), 6) as max, count(v) as n from l group by 1")
+def summary_stats(spark, d):
+    """AG13."""
+    s = panel.summary(units(spark, d), ["x1", "y"])
+    return s.withColumns({c: r(c) for c in ("mean", "std", "min", "max")})
+
+
+@query("select l_orderkey, l_linenumber, l_discount, case when l_discount < 0.001 then '***' when l_discount < 0.01 then '**' when l_discount < 0.05 then '*' when l_discount < 0.1 then '+' else '' end as stars from lineitem")
+def stars(spark, d):
+    """SF14."""
+    return read(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_discount").withColumn("stars", scalar.stars("l_discount"))
+
+
+# ---- regression ------------------------------------------------------------------------------------
+
+TREND = f"""{UNITS}, c as (select unit, year, country, y, year - avg(year) over (partition by country) as x from units),
+  m as (select country, count(*) as n, sum(x*x) as s2, sum(x*x*x) as s3, sum(x*x*x*x) as s4, sum(y) as b0, sum(x*y) as b1, sum(x*x*y) as b2 from c group by 1),
+  k as (select *, (b2 - s2*b0/n - s3*b1/s2) / (s4 - s2*s2/n - s3*s3/s2) as c2 from m), q as (select country, c2, (b1 - s3*c2) / s2 as c1, (b0 - s2*c2) / n as c0 from k)"""
+
+
+@query(f"with {TREND} select unit, year, round(y - c0 - c1*x - c2*x*x, 5) as y from c join q using (country)")
+def country_detrend(spark, d):
+    """WN3."""
+    return econometrics.detrend_quadratic(units(spark, d), ["y"], "country", "year").select("unit", "year", r("y", 5).alias("y"))
+
+
+# every supplier has lines in every year, where the short form of the two-way transform is exact
+WITHIN = f"{UNITS}, w as (select unit, year, y - avg(y) over (partition by unit) - avg(y) over (partition by year) + avg(y) over () as y, x1 - avg(x1) over (partition by unit) - avg(x1) over (partition by year) + avg(x1) over () as x1 from units where year <= 2000)"
+
+
+def within(spark, d) -> DataFrame:
+    return econometrics.within_two_ways(units(spark, d).where("year <= 2000").select("unit", "year", "y", "x1"), ["y", "x1"], "unit", "year")
+
+
+@query(f"with {WITHIN} select unit, year, round(y, 6) as y, round(x1, 6) as x1 from w")
+def twoway_within(spark, d):
+    """WN4."""
+    return within(spark, d).select("unit", "year", r("y").alias("y"), r("x1").alias("x1"))
+
+
+@query(f"with {WITHIN}, b as (select sum(x1*y) / sum(x1*x1) as beta, count(*) as n from w) select round(beta, 6) as beta, n, round((select sum((y - beta*x1) * (y - beta*x1)) from w), 4) as rss from b")
+def fe_ols_beta(spark, d):
+    """EC3, AG17, AG18."""
+    fit = econometrics.Fit(within(spark, d), "y", ["x1"], "unit", "year")
+    return spark.createDataFrame([(round(float(fit.beta[0]), 6), fit.n, round(fit.rss, 4))], "beta double, n long, rss double")
+
+
+@query(f"""with {WITHIN}, b as (select sum(x1*y) / sum(x1*x1) as beta, sum(x1*x1) as xx, count(*) as n, count(distinct unit) as u, count(distinct year) as t from w),
+  s as (select unit, year, x1 * (y - beta*x1) as s from w, b), mu as (select sum(t*t) as m from (select sum(s) as t from s group by unit)), mt as (select sum(t*t) as m from (select sum(s) as t from s group by year)), mr as (select sum(s*s) as m from s)
+  select 'time' as kind, round(sqrt(mt.m) / xx * sqrt(n / (n - 1 - u - t + 1)), 6) as se from b, mt union all
+  select 'unit', round(sqrt(mu.m) / xx * sqrt(n / (n - 1 - u - t + 1)), 6) from b, mu union all
+  select 'two_way', round(sqrt(greatest(mu.m + mt.m - mr.m, 0)) / xx * sqrt(n / (n - 1 - u - t + 1)), 6) from b, mu, mt, mr""")
+def cluster_scores(spark, d):
+    """AG16, EC4."""
+    fit = econometrics.Fit(within(spark, d), "y", ["x1"], "unit", "year")
+    rows = [(k, round(float(max(fit.covariance(k)[0, 0], 0.0)) ** 0.5, 6)) for k in ("time", "unit", "two_way")]
+    return spark.createDataFrame(rows, "kind string, se double")
+
+
+XYZ = f"{PLACES}, p as (select id, cos(radians(lat)) * cos(radians(lon)) as x, cos(radians(lat)) * sin(radians(lon)) as y, sin(radians(lat)) as z from places)"
+KM = "2 * 6371.0 * asin(least(1, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) / 2))"
+
+
+@query(f"with {XYZ} select a.id as i, b.id as j, round({KM}, 3) as km, round(greatest(0, 1 - {KM} / 500), 5) as w from p a join p b on a.id < b.id and abs(a.z - b.z) < 0.08 where {KM} <= 500")
+def distance_pairs(spark, d):
+    """JN14, SF6 to SF9."""
+    pairs = econometrics.distance_pairs(places(spark, d), 500.0).where("i <> j")
+    return pairs.select("i", "j", r("km", 3).alias("km"), r(scalar.bartlett("km", 500.0), 5).alias("w"))
+
+
+@query(f"""with {WITHIN}, {XYZ}, e as (select unit, sum(x1 * (y - (select sum(x1*y) / sum(x1*x1) from w) * x1)) as s from w group by 1),
+  pr as (select a.id as i, b.id as j, greatest(0, 1 - {KM} / 1000) as k from p a join p b on a.id < b.id where {KM} <= 1000 and a.id in (select unit from e) and b.id in (select unit from e)), n as (select count(*) as n from e)
+  select round(sqrt(greatest(((select sum(s*s) from e) + coalesce((select 2 * sum(k * x.s * y.s) from pr join e x on x.unit = i join e y on y.unit = j), 0)) * n / (n - 1), 0)) / (select sum(x1*x1) from w), 6) as se, n as n_placed from n""")
+def conley_meat(spark, d):
+    """EC7: spatial standard error at 1000 km."""
+    fit = econometrics.Fit(within(spark, d), "y", ["x1"], "unit", "year")
+    own = places(spark, d).join(read(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), "id", "left_semi")
+    v, n = fit.conley(econometrics.distance_pairs(own, 1000.0), 1000.0)
+    return spark.createDataFrame([(round(float(max(v[0, 0], 0.0)) ** 0.5, 6), n)], "se double, n_placed long")
+
+
+@query()
+def spline_basis(spark, d):
+    """WN9: the basis at every observation; rows add up to 1."""
+    u = units(spark, d)
+    knots = econometrics.spline_knots(u, "x2")
+    return u.select("unit", "year", *[r(c, 8).alias(f"s{i + 1}") for i, c in enumerate(econometrics.spline_basis(F.col("x2"), knots))])
+
+
+def study(spark, d) -> specs.Study:
+    u = units(spark, d).withColumn("residual", F.col("y") - F.col("x2"))
+    table = panel.terciles(u, "unit", "level", "income_tercile").select("unit", "year", "country", F.col("y").alias("growth"), "x1", "x2", "residual", "income_tercile")
+    own = places(spark, d).join(read(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), "id", "left_semi").withColumnRenamed("id", "unit")
+    return specs.Study(table.persist(), own.persist(), y="growth", heat="x1", unit="unit", year="year", country="country")
+
+
+@query()
+def regression_table(spark, d):
+    """EC8 to EC14, EC16, PJ11: the tidy table of all specifications."""
+    return specs.regression_table(study(spark, d), {"plain": [], "full": ["x2"]})
+
+
+@query()
+def lag_structure(spark, d):
+    """EC15."""
+    s = study(spark, d)
+    u = units(spark, d).persist()
+    rows = specs.lags(
+        specs.Study(s.panel, s.places, y="growth", heat="x1", unit="unit", year="year_heat", country="country"),
+        u.select("unit", F.col("year").alias("year_heat"), "country", "x1"), u.select("unit", F.col("year").alias("year_gdp"), F.col("y").alias("growth")),
+    )
+    return spark.createDataFrame([(*x[:9], int(x[9]), int(x[10])) for x in rows], specs.SCHEMAS["results"])
+
+
+# ---- ensembles -----------------------------------------------------------------------------------------
+
+MEMBERS = "members as (select cast(l_partkey % 12 as int) as cell, cast(year(l_shipdate) as int) as hDate, cast(l_shipdate as date) as inidate, l_linenumber as number, l_extendedprice as value from lineitem)"
+
+
+def members(spark, d) -> DataFrame:
+    lines = read(spark, d, "lineitem", "l_partkey", "l_shipdate", "l_linenumber", "l_extendedprice")
+    return lines.select((F.col("l_partkey") % 12).cast("int").alias("cell"), F.year("l_shipdate").alias("hDate"), F.to_date("l_shipdate").alias("inidate"), F.col("l_linenumber").alias("number"), F.col("l_extendedprice").alias("value"))
+
+
+@query(f"with {MEMBERS}, x as (select cell, hDate + (case when month(inidate) = 12 then 1 else 0 end) as hDate, value from members where month(inidate) in (12, 1, 2)) select cell, cast(hDate as int) as hDate, count(*) as n, round(sum(value), 2) as total from x where hDate between 1996 and 2001 group by 1, 2")
+def djf_assembly(spark, d):
+    """ST1, ST2."""
+    rows = ensemble.assemble_djf(members(spark, d), years=(1996, 2001))
+    return rows.groupBy("cell", "hDate").agg(F.count("*").alias("n"), r(F.sum("value"), 2).alias("total"))
+
+
+PROB = f"{MEMBERS}, lim as (select cell, cast(dayofyear(inidate) as int) as doy, quantile_cont(value, 0.9) as thresh from members where hDate <= 1999 group by 1, 2), pr as (select m.hDate, m.cell, avg(case when value >= thresh then 1.0 else 0.0 end) as prob, count(*) as n from members m left join lim on lim.cell = m.cell and lim.doy = least(dayofyear(inidate), 365) where month(inidate) = 1 group by 1, 2)"
+
+
+def probability(spark, d, floor: bool) -> DataFrame:
+    m = members(spark, d)
+    lim = m.where("hDate <= 1999").groupBy("cell", F.dayofyear("inidate").alias("dayofyear")).agg(METHODS["linear"]("value", 90).alias("thresh"))
+    p = ensemble.exceedance_probability(m.where(F.month("inidate") == 1), lim, ["cell"], ["hDate"], "value", "inidate", last_day=365, floor=floor)
+    return p.withColumns({"prob": r("prob"), "log_prob": r("log_prob")})
+
+
+@query(f"with {PROB} select hDate, cell, round(prob, 6) as prob, case when prob > 0 then round(ln(prob), 6) end as log_prob from pr")
+def ensemble_prob(spark, d):
+    """AG19, JN3, SF5 without a floor."""
+    return probability(spark, d, False)
+
+
+@query(f"with {PROB} select hDate, cell, round(prob, 6) as prob, round(ln(case when prob > 0 then prob else 1 / n end), 6) as log_prob from pr")
+def ensemble_prob_floor(spark, d):
+    """AG19 with the floor of one member."""
+    return probability(spark, d, True)
+
+
+@query(f"with {MEMBERS}, e as (select hDate, cell, avg(value) as value from members group by 1, 2) select hDate, cell, round(value, 4) as value, round(value - avg(value) over (partition by cell), 4) as anomaly from e")
+def ensemble_anomaly(spark, d):
+    """AG20."""
+    e = ensemble.anomaly(ensemble.ensemble_mean(members(spark, d), ["cell"], ["hDate"], "value"), ["cell"], "value")
+    return e.select("hDate", "cell", r("value", 4).alias("value"), r("anomaly", 4).alias("anomaly"))
+
+
+@query(f"""with {UNITS}, f as (select country, regr_slope(y, x1) as slope, regr_sxx(y, x1) as sxx, regr_syy(y, x1) as syy, regr_sxy(y, x1) as sxy, count(*) as n from units group by 1)
+  select country, round(slope, 6) as slope, round(sqrt((1 - sxy*sxy/(sxx*syy)) * syy / sxx / (n - 2)), 6) as stderr, n from f""")
+def pointwise_ols(spark, d):
+    """AG21, FL8; the p-value is checked in tests."""
+    fit = ensemble.pointwise_ols(units(spark, d), ["country"], "x1", "y")
+    return fit.select("country", r("slope").alias("slope"), r("stderr").alias("stderr"), "n")
+
+
+@query()
+def significance_filter(spark, d):
+    """FL12, SF11, SF16."""
+    fit = ensemble.pointwise_ols(units(spark, d), ["unit"], "x1", "y")
+    out = ensemble.significant(fit, ["slope"]).withColumn("risk_ratio", ensemble.risk_ratio("slope"))
+    return out.select("unit", r("slope").alias("slope"), r("p_value").alias("p_value"), r("risk_ratio").alias("risk_ratio"))
+
+
+@query(f"""with {MEMBERS}, a as (select cell, value / 10000 - avg(value / 10000) over (partition by cell) as v from members), c as (select cell, quantile_cont(v, 0.95) as cut from a group by 1),
+  t as (select cell, v, row_number() over (partition by cell order by v) - 1 as k, count(*) over (partition by cell) as n from a join c using (cell) where v >= cut),
+  l as (select cell, v, ln(1 - k / n) as l, n from t), f as (select cell, regr_slope(l, v) as b, regr_sxx(l, v) as sxx, regr_syy(l, v) as syy, regr_sxy(l, v) as sxy, count(*) as n from l group by 1)
+  select cell, case when n >= 10 then round(exp(-b), 4) end as slope, case when n >= 10 then round(exp(-b) * sqrt(greatest(syy - sxy*sxy/sxx, 0) / (n - 2) / sxx), 4) end as stderr, n as n_tail from f""")
+def tail_slope(spark, d):
+    """AG22, WN8, SO4, FL13."""
+    t = ensemble.tail_slope(members(spark, d).withColumn("value", F.col("value") / 10000), ["cell"], "value")
+    return t.withColumns({"slope": r("slope", 4), "stderr": r("stderr", 4)})
+
+
+@query(f"with {PLACES} select id, lat, case when lat >= 0 then 'north' else 'south' end as side from places")
+def hemisphere_stitch(spark, d):
+    """ST4."""
+    p = places(spark, d).select("id", "lat")
+    return ensemble.stitch_hemispheres(p.withColumn("side", F.lit("north")), p.withColumn("side", F.lit("south")))
+
+
+@query()
+def smooth_kernel(spark, d):
+    """WN5, WN6, SF15: a Gaussian of 800 km on a coarse grid."""
+    k = F.col("c_custkey")
+    g = read(spark, d, "customer").select(F.lit(0).alias("hDate"), (k % 19).cast("int").alias("lat_i"), (k % 36).cast("int").alias("lon_i"), F.col("c_acctbal").alias("value"))
+    g = g.groupBy("hDate", "lat_i", "lon_i").agg(F.avg("value").alias("value"))
+    return ensemble.smooth(g, "value", ["hDate"], 10.0, 19, 36, radius_km=800.0).withColumn("value", r("value", 4))
