@@ -11,6 +11,7 @@ from isotherm.llm.arc_to_warc import archive_round_trip
 from isotherm.llm.chat_format import chat_digests
 from isotherm.llm.decontaminate import contaminated_pairs
 from isotherm.llm.jaccard_join import jaccard_components
+from isotherm.llm.oracle import ORACLE_SQL  # noqa: F401
 from isotherm.llm.packing import best_fit_packing
 from isotherm.llm.pii import personal_digests
 from isotherm.llm.quality import quality_rules
@@ -18,8 +19,6 @@ from isotherm.llm.secret_scan import secret_digests
 from isotherm.llm.suffix_dedup import suffix_dedup
 from isotherm.llm.toxicity import toxicity
 
-ORACLE_SQL: dict[str, str] = {}
-
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -48,7 +47,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive_round_trip(_read(spark, sf_dir, "pages"))
+    return archive_round_trip(_read(spark, sf_dir, "pages")).drop("record_id")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
