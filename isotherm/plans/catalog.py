@@ -452,7 +452,7 @@ def study(spark, d) -> specs.Study:
 @query()
 def regression_table(spark, d):
     """EC8 to EC14, EC16, PJ11: the tidy table of all specifications."""
-    return specs.regression_table(study(spark, d), {"plain": [], "full": ["x2"]})
+    return specs.regression_table(study(spark, d), {"full": ["x2"]})
 
 
 @query()
