@@ -11,7 +11,8 @@ from isotherm.functions.grid import Name, _c
 def nearest_rank(value: Name, percent: float) -> Column:
     """Aggregate: the value at index ``rint(percent / 100 * (n - 1))`` of the sorted values; NULL of none."""
     v = F.sort_array(F.collect_list(_c(value)))
-    return F.try_element_at(v, (F.rint(F.lit(percent / 100) * (F.count(_c(value)) - 1)) + 1).cast("int"))
+    at = (F.rint(F.lit(percent / 100) * (F.count(_c(value)) - 1)) + 1).cast("int")
+    return F.when(F.count(_c(value)) > 0, F.element_at(v, F.greatest(at, F.lit(1))))
 
 
 def linear(value: Name, percent: float) -> Column:
