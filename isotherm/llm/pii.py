@@ -12,8 +12,8 @@ of their entity are spans of kind ``term``; ``sanitise`` removes spans or puts a
 Base patterns run in time linear in the text, long runs included.  Positions
 are code points, ends exclusive.  Null text counts as empty.  Rows that repeat an id get rows of
 their own.  Extra columns are ignored.  Contexts of an entity that a third of all documents
-hold are counted with partial aggregation; only the (few) candidate terms
-are counted over the whole corpus, by a broadcast below ``BROADCAST_ROWS`` terms and a shuffle beyond.
+hold are counted with partial aggregation; only the candidate terms (those that
+their occurrences near entities do not rule out already) are counted over the whole corpus, by a broadcast below ``BROADCAST_ROWS`` terms and a shuffle beyond.
 """
 
 from __future__ import annotations
@@ -135,14 +135,19 @@ def disclosing(found: DataFrame, docs: DataFrame, text_col: str = "text", alpha:
     seen = found.where(F.size("contexts") > 0).select(F.explode("contexts").alias("c")).select("c.entity", "c.context", "c.terms").dropDuplicates(["entity", "context"])
     per = seen.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
     pairs = seen.select("entity", "context", F.explode("terms.term").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
-    pairs = stage(pairs.join(per, "entity"), "pairs")
+    # a pair can only reach alpha if n_t <= n_et (N / n_e) ** (1 - alpha); the documents
+    # that hold the term near any entity are a lower bound of n_t, known already
+    total = F.lit(found.count()).cast("double")
+    near = found.where(F.size("contexts") > 0).select("row", F.explode(F.array_distinct(F.flatten(F.transform("contexts", lambda c: c["terms"]["term"])))).alias("term"))
+    at_least = near.groupBy("term").agg(F.count("*").alias("n_near"))
+    most = F.col("n_et") * F.pow(total / F.col("n_e"), F.lit(1 - alpha)) * (1 + 1e-9)
+    pairs = stage(pairs.join(per, "entity").join(at_least, "term").where(F.col("n_near") <= most).drop("n_near"), "pairs")
     wanted = pairs.select("term").distinct()
     size = wanted.count()
     if not size:
         return pairs.select("entity", "term", F.lit(0.0).alias("share"))
     wanted = F.broadcast(wanted) if size <= BROADCAST_ROWS else wanted
     counts = docs.select(F.explode(lower_words(F.col(text_col))).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    total = F.lit(found.count()).cast("double")
     known = F.log2(total / F.col("n_e"))
     shared = F.log2(F.col("n_et") * total / (F.col("n_e") * F.greatest("n_t", "n_et")))
     return pairs.join(counts, "term").where(known > 0).withColumn("share", shared / known).where(F.col("share") >= alpha).select("entity", "term", "share")
