@@ -6,8 +6,8 @@ its base counts pass and content lines hold at least ``SHARE`` of its words.
 The field has one weight per (label, line feature) and per label pair.  It is
 trained by maximum likelihood (forward-backward gradients) on a bounded sample:
 per quality class the ``per_class`` labelled texts of least ``xxhash64(doc_id)``, in one
-task.  Only texts are labelled, so a line's training label is content if its text's quality is 1
-and the line does not repeat an earlier one.  All lines of a sampled text
+task.  Only texts are labelled, so a line's training label is its text's: content if its quality is 1
+(a line that repeats an earlier one is a feature, not a label).  All lines of a sampled text
 count; sequences longer than ``SEGMENT`` lines are trained in segments and decoded whole.
 
 Null texts have no words, fail the base rule, and are not kept.  Rows that repeat an id get rows of
@@ -110,7 +110,6 @@ def line_masks(text: str) -> tuple[list[int], list[int]]:
 
 
 BITS = (np.arange(1 << N_FEATURES)[:, None] >> np.arange(N_FEATURES)) & 1
-REPEATED = 64
 
 
 # ---- the field -------------------------------------------------------------------
@@ -190,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["id", "label"]).head(2 * per_class)
         sequences = [line_masks(t or "")[0] for t in frame["text"]]
-        gold = [[int(y == 1 and not m & REPEATED) for m in s] for s, y in zip(sequences, frame["label"], strict=True)]
+        gold = [[int(y == 1)] * len(s) for s, y in zip(sequences, frame["label"], strict=True)]
         we, wt = fit(sequences, gold)
         return pd.DataFrame({"e": [we.reshape(-1).tolist()], "t": [wt.reshape(-1).tolist()]})
 
