@@ -126,3 +126,17 @@ def smooth(df: DataFrame, value: str, by: list[str], step: float, n_lat: int, n_
     s_lon = F.least(F.lit(radius_km / KM_PER_LON / step) / cos, F.lit(float(max(3 * s_lat, 200.0))))
     second = _spread(first, [*by, lat], lon, value, (4 * s_lon + 0.5).cast("int"), s_lon, F.pmod(F.col(lon) + F.col("_o"), F.lit(n_lon)))
     return second.join(known, keys, "left_semi")
+
+
+def smooth_isotropic(df: DataFrame, value: str, by: list[str], sigma: float, n_rows: int, n_columns: int, row: str = "lat_i", column: str = "lon_i") -> DataFrame:
+    """Gaussian of ``sigma`` cells along both axes, edges mirrored, missing cells as 0 and missing again after."""
+    reach = _reach(sigma)
+    out = df.where(finite(value)).select(*by, row, column, F.col(value).cast("double").alias(value))
+    known = out.select(*by, row, column)
+    for axis, n, other in ((row, n_rows, column), (column, n_columns, row)):
+        turns = range(-(reach // (2 * n)) - 1, reach // (2 * n) + 2)
+        images = [F.lit(2 * n * k) + x for k in turns for x in (F.col(axis), -1 - F.col(axis))]
+        near = F.array_compact(F.array(*[F.when((x >= -reach) & (x < n + reach), x) for x in images]))
+        mirrored = out.select(*by, other, value, F.explode(near).alias(axis))
+        out = _spread(mirrored, [*by, other], axis, value, F.lit(reach), F.lit(float(sigma)), F.col(axis) + F.col("_o")).where(F.col(axis).between(0, n - 1))
+    return out.join(known, [*by, row, column], "left_semi").select(*by, row, column, value)

@@ -53,14 +53,17 @@ def bin_number(value: Column, edges: Column) -> Column:
 
 
 def qcut(df: DataFrame, value: str, bins: int, to: str, duplicates: str = "raise") -> DataFrame:
-    """Bins between exact quantiles; edges that repeat raise, or, with ``drop``, count once."""
-    edges = quantile_edges(df, value, bins)
-    if duplicates == "drop":
-        edges = edges.withColumn("edges", F.array_distinct("edges"))
-    else:
-        edges = edges.withColumn("edges", F.when(F.size(F.array_distinct("edges")) == bins + 1, F.col("edges")).otherwise(F.raise_error(F.lit("bin edges are not unique"))))
-    # one row joins every row
-    return df.join(F.broadcast(edges)).withColumn(to, bin_number(F.col(value), F.col("edges"))).drop("edges")
+    """Bins between exact quantiles; edges that repeat raise, or, with ``drop``, count once.
+
+    The edges (``bins + 1`` numbers) are found first and become literals of the plan.
+    """
+    edges = quantile_edges(df, value, bins).first().edges
+    if edges is None:
+        return df.withColumn(to, F.lit(None).cast("int"))
+    distinct = sorted(set(edges))
+    if len(distinct) < len(edges) and duplicates != "drop":
+        raise ValueError(f"bin edges are not unique: {edges}")
+    return df.withColumn(to, bin_number(F.col(value), F.array(*[F.lit(float(e)) for e in distinct])))
 
 
 def terciles(df: DataFrame, unit: str, value: str, to: str = "tercile", labels: tuple[str, ...] = ("low", "mid", "high")) -> DataFrame:

@@ -553,3 +553,17 @@ def smooth_kernel(spark, d):
     g = read(spark, d, "customer").select(F.lit(0).alias("hDate"), (k % 19).cast("int").alias("lat_i"), (k % 36).cast("int").alias("lon_i"), F.col("c_acctbal").alias("value"))
     g = g.groupBy("hDate", "lat_i", "lon_i").agg(F.avg("value").alias("value"))
     return ensemble.smooth(g, "value", ["hDate"], 10.0, 19, 36, radius_km=800.0).withColumn("value", r("value", 4))
+
+
+@query()
+def smooth_mirrored(spark, d):
+    """WN6."""
+    k = F.col("c_custkey")
+    g = read(spark, d, "customer").groupBy((k % 19).cast("int").alias("lat_i"), (k % 36).cast("int").alias("lon_i")).agg(F.avg("c_acctbal").alias("value"))
+    return ensemble.smooth_isotropic(g.withColumn("hDate", F.lit(0)), "value", ["hDate"], 2.0, 19, 36).withColumn("value", r("value", 4))
+
+
+@query(f"with {UNITS} select unit, round(sum(x1), 4) as total from units where x1 between 0 and 1 group by 1")
+def range_check(spark, d):
+    """AG26: shares that must lie in [0, 1]."""
+    return panel.check_range(units(spark, d), "x1").groupBy("unit").agg(r(F.sum("x1"), 4).alias("total"))

@@ -227,6 +227,28 @@ def test_smoothing_keeps_constants_and_gaps(spark):
     assert ensemble.smooth(df.where("lat_i <> 9"), "v", ["t"], 10.0, 19, 36, radius_km=800.0).where("lat_i = 9").count() == 0
 
 
+def test_mirrored_smoothing_matches_numpy(spark):
+    g = np.random.default_rng(6)
+    n, m, sigma = 7, 9, 1.5
+    z = g.normal(size=(n, m))
+    reach = int(4 * sigma + 0.5)
+    w = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    w /= w.sum()
+    want = z
+    for axis in (0, 1):
+        want = np.apply_along_axis(lambda v: np.convolve(np.pad(v, reach, mode="symmetric"), w, mode="valid"), axis, want)
+    df = spark.createDataFrame([(0, i, j, float(z[i, j])) for i in range(n) for j in range(m)], "t int, lat_i int, lon_i int, v double")
+    got = {(r.lat_i, r.lon_i): r.v for r in ensemble.smooth_isotropic(df, "v", ["t"], sigma, n, m).collect()}
+    assert np.allclose([[got[i, j] for j in range(m)] for i in range(n)], want)
+
+
+def test_range_check_fails(spark):
+    df = spark.createDataFrame([(0.5,), (None,)], "v double")
+    assert panel.check_range(df, "v").count() == 2
+    with pytest.raises(Exception, match="out of range"):
+        panel.check_range(spark.createDataFrame([(1.5,)], "v double"), "v").collect()
+
+
 def test_stages_resume_and_reports(spark, tmp_path):
     calls = []
 
