@@ -297,12 +297,15 @@ def ring_centroid(spark, d):
     return read(spark, d, "supplier").select(k.alias("id"), ring.alias("ring")).select("id", r(lon).alias("lon"), r(lat).alias("lat"))
 
 
-@query()
+@query("""with p as (select c_custkey % 3000 * 4000.0::double - 6e6 as x, c_custkey * 7 % 1500 * 8000.0::double - 6e6 as y, c_acctbal as v from customer),
+  m as (select x, v, asin(y / (6378137.0 * sqrt(2))) as t from p where abs(y / (6378137.0 * sqrt(2))) <= 1),
+  g as (select degrees(asin((2 * t + sin(2 * t)) / pi())) as lat, degrees(pi() * x / (2 * 6378137.0 * sqrt(2) * cos(t))) as lon, v from m)
+  select cast(round_even(90 - lat, 0) as int) as lat_i, cast(round_even(lon + 180, 0) as int) % 360 as lon_i, 2000 as epoch, round(cast(avg(v) as float), 1) as built_surface from g where abs(lon) <= 180 group by 1, 2""")
 def reproject_built(spark, d):
     """AG28: Mollweide pixels to cells and epochs."""
     k = F.col("c_custkey")
     points = read(spark, d, "customer").select((k % 3000 * 4000.0 - 6e6).alias("x"), (k * 7 % 1500 * 8000.0 - 6e6).alias("y"), F.lit(2000).alias("epoch"), F.col("c_acctbal").alias("value"))
-    return zonal.reproject_built(points, step=1.0)
+    return zonal.reproject_built(points, step=1.0).withColumn("built_surface", r("built_surface", 1))
 
 
 # ---- panels ------------------------------------------------------------------------------------
@@ -555,7 +558,15 @@ def smooth_kernel(spark, d):
     return ensemble.smooth(g, "value", ["hDate"], 10.0, 19, 36, radius_km=800.0).withColumn("value", r("value", 4))
 
 
-@query()
+def _mirrored_sql(table: str, axis: str, other: str, n: int) -> str:
+    at = f"((j + o + {8 * n}) % {2 * n})"
+    return f"select j as {axis}, {other}, sum(value * w) as value from range({n}) t(j), w, {table} where {axis} = case when {at} >= {n} then {2 * n - 1} - {at} else {at} end group by 1, 2"
+
+
+@query(f"""with g as (select cast(c_custkey % 19 as int) as lat_i, cast(c_custkey % 36 as int) as lon_i, avg(c_acctbal) as value from customer group by 1, 2),
+  w as (select o, exp(-0.5 * (o / 2.0) ** 2) / (select sum(exp(-0.5 * (i / 2.0) ** 2)) from range(-8, 9) t(i)) as w from range(-8, 9) t(o)),
+  a as ({_mirrored_sql("g", "lat_i", "lon_i", 19)}), b as ({_mirrored_sql("a", "lon_i", "lat_i", 36)})
+  select 0 as hDate, cast(lat_i as int) as lat_i, cast(lon_i as int) as lon_i, round(b.value, 4) as value from b semi join g using (lat_i, lon_i)""")
 def smooth_mirrored(spark, d):
     """WN6."""
     k = F.col("c_custkey")
