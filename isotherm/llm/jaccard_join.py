@@ -202,12 +202,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     placed = reps.drop("bucket").join(family, "doc_id")
     size = placed.groupBy("family").agg(F.count("*").alias("texts"), F.sum(F.length("classes").cast("long")).alias("tokens"))
     blocks = F.greatest(F.ceil(F.col("texts") / block), F.ceil(F.col("tokens") / block_tokens)).cast("int")
+    large = stage(size.withColumn("blocks", blocks).where("blocks > 1").select("family", "blocks"), "large")
     dealt = (
-        placed.join(size.withColumn("blocks", blocks), "family")
+        placed.join(small(large), "family", "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "n_shingles", "shared", "classes")
     )
+    # else a shuffle by family alone would do for the grouping, and a large family be one task again
+    dealt = dealt.repartition("family", "i", "j")
     links = dealt.groupBy("family", "i", "j").applyInPandas(_compare(threshold), "a long, b long")
     component = connected_components(links).withColumnRenamed("node", "rep").withColumnRenamed("component", "least")
     found = classes.join(component, "rep", "left").select("n_shingles", "d1", "d2", F.coalesce("least", "rep").alias("component_id"))
