@@ -1,0 +1 @@
+"""Empty on purpose: every operator here is a batch operator over files, and none has streaming semantics to keep."""
