@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from isotherm.llm.chunks import U64, answer, ask, build_chunks, flags_of, mix, ranges_for, with_answers
 from isotherm.llm.components import connected_components
-from isotherm.llm.store import small, stage
+from isotherm.llm.store import release, small, stage
 from isotherm.llm.words import set_digests, shingle_sets
 
 BLOCK = 1500
@@ -183,6 +183,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     asks = ask(chunks, _ask(width), ranges_for(chunks))
     answers = answer(asks, _answer)
     sets = stage(with_answers(chunks, answers, _sets(width, threshold), SETS), "sets")
+    release(chunks)  # all that follows reads ``sets``
 
     # equal sets are one class; its least id stands for it
     filled = sets.where("n_shingles > 0")

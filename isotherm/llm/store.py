@@ -38,7 +38,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes a stage table that nothing will read again."""
+    drop(df.sparkSession, df.stage_path)
 
 
 #: rows up to which a table of ids or small keys is broadcast
