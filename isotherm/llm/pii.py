@@ -6,7 +6,9 @@ near an entity e discloses it if the pointwise mutual information
 content ``log2(N / n_e)``: then whoever reads t has learnt that share of e.
 N is the number of documents, n_t counts all documents with the term, n_e and n_et
 count distinct contexts (``WINDOW`` words on either side), so that copies of one
-text are no evidence; n_et must reach ``SUPPORT``.  Disclosing terms within the window
+text are no evidence.  There is no least count: n_et must be more than chance gives, that is, the
+Hoeffding bound of P(X >= n_et) for n_e draws must not exceed ``LEVEL``; an entity seen once is
+decided as soon as N is some hundreds.  Disclosing terms within the window
 of their entity are spans of kind ``term``; ``sanitise`` removes spans or puts a general name.
 
 Base patterns run in time linear in the text, long runs included.  Positions
@@ -19,6 +21,7 @@ their occurrences near entities do not rule out already) are counted over the wh
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -41,7 +44,7 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 
 WINDOW = 5
 ALPHA = 0.8
-SUPPORT = 3
+LEVEL = 0.01
 LEAST_LETTERS = 4
 BROADCAST_ROWS = 500_000
 
@@ -130,11 +133,18 @@ def lower_words(text: Column) -> Column:
     return F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"))
 
 
-def disclosing(found: DataFrame, docs: DataFrame, text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+def beyond_chance(total: Column, level: float) -> Column:
+    """Whether n_et is more than n_e draws out of ``total`` give by chance (Hoeffding's bound of the hypergeometric tail)."""
+    f, q = F.col("n_et") / F.col("n_e"), F.greatest("n_t", "n_et") / total
+    missed = F.when(f < 1, (1 - f) * F.log((1 - f) / (1 - q))).otherwise(0.0)
+    return (f > q) & (-F.col("n_e") * (f * F.log(f / q) + missed) <= math.log(level))
+
+
+def disclosing(found: DataFrame, docs: DataFrame, text_col: str = "text", alpha: float = ALPHA, level: float = LEVEL) -> DataFrame:
     """``entity, term, share``: the share of the entity's information that the term gives away."""
     seen = found.where(F.size("contexts") > 0).select(F.explode("contexts").alias("c")).select("c.entity", "c.context", "c.terms").dropDuplicates(["entity", "context"])
-    per = seen.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    pairs = seen.select("entity", "context", F.explode("terms.term").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
+    per = seen.groupBy("entity").agg(F.count("*").alias("n_e"))
+    pairs = seen.select("entity", "context", F.explode("terms.term").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et"))
     # a pair can only reach alpha if n_t <= n_et (N / n_e) ** (1 - alpha); the documents
     # that hold the term near any entity are a lower bound of n_t, known already
     total = F.lit(found.count()).cast("double")
@@ -150,7 +160,7 @@ def disclosing(found: DataFrame, docs: DataFrame, text_col: str = "text", alpha:
     counts = docs.select(F.explode(lower_words(F.col(text_col))).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     known = F.log2(total / F.col("n_e"))
     shared = F.log2(F.col("n_et") * total / (F.col("n_e") * F.greatest("n_t", "n_et")))
-    return pairs.join(counts, "term").where(known > 0).withColumn("share", shared / known).where(F.col("share") >= alpha).select("entity", "term", "share")
+    return pairs.join(counts, "term").where(known > 0).withColumn("share", shared / known).where((F.col("share") >= alpha) & beyond_chance(total, level)).select("entity", "term", "share")
 
 
 def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:

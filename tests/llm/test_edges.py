@@ -337,6 +337,13 @@ def test_disclosing_terms(spark, docs, none):
     assert pii.find_personal(none).count() == 0 and pii.find_personal(df).count() == df.count()
 
 
+def test_terms_of_an_entity_seen_once(spark):
+    rows = [(i, " ".join(f"{w}word" for w in words(12, i).split())) for i in range(500)]
+    rows += [(500, "the zephyrmoniker ann@solo.example.com the end"), (501, "the end the zulu")]
+    got = {r.doc_id: r for r in pii.find_personal(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "term:4:17" in got[500].spans and not any("term" in r.spans for k, r in got.items() if k < 500)
+
+
 # ---- 9 -------------------------------------------------------------------------------------
 
 
