@@ -1,21 +1,21 @@
 """Personal data: base patterns, and information-theoretic sanitisation of the terms around them.
 
 The protected entities are the values that the base patterns find.  A term t
-near an entity e discloses it if the pointwise mutual information
+in a text with an entity e discloses it if the pointwise mutual information
 ``log2(n_et N / (n_e n_t))`` reaches ``ALPHA`` of the entity's information
 content ``log2(N / n_e)``: then whoever reads t has learnt that share of e.
-N is the number of documents, n_t counts all documents with the term, n_e and n_et
-count distinct contexts (``WINDOW`` words on either side), so that copies of one
-text are no evidence.  There is no least count: n_et must be more than chance gives, that is, the
+All four count different texts: N all of them, n_e, n_t and n_et those with the entity, the term
+(outside of base spans) and both, anywhere in the text.  Copies of one text are no evidence.
+There is no least count, neither of texts nor of letters: n_et must be more than chance gives, that is, the
 Hoeffding bound of P(X >= n_et) for n_e draws must not exceed ``LEVEL``; an entity seen once is
-decided as soon as N is some hundreds.  Disclosing terms within the window
-of their entity are spans of kind ``term``; ``sanitise`` removes spans or puts a general name.
+decided as soon as N is some hundreds.  Every occurrence of a disclosing term in any document
+is a span of kind ``term``; ``sanitise`` removes spans or puts a general name.
 
 Base patterns run in time linear in the text, long runs included.  Positions
 are code points, ends exclusive.  Null text counts as empty.  Rows that repeat an id get rows of
-their own.  Extra columns are ignored.  Contexts of an entity that a third of all documents
-hold are counted with partial aggregation; only the candidate terms (those that
-their occurrences near entities do not rule out already) are counted over the whole corpus, by a broadcast below ``BROADCAST_ROWS`` terms and a shuffle beyond.
+their own.  Extra columns are ignored.  Terms are looked for in the corpus through a bitmap of
+at most 32 MB; what passes is joined with the terms themselves, by a broadcast below
+``store.BROADCAST_ROWS`` terms and a shuffle beyond.
 """
 
 from __future__ import annotations
@@ -23,14 +23,16 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isotherm.llm.store import stage
+from isotherm.llm.store import small, stage
 
 #: fixed values: kinds as listed, and the patterns
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -42,11 +44,12 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-WINDOW = 5
 ALPHA = 0.8
 LEVEL = 0.01
-LEAST_LETTERS = 4
-BROADCAST_ROWS = 500_000
+#: bits of the largest bitmap, places gathered in one row, terms a task holds before it passes them on
+MOST_BITS = 1 << 28
+PIECE = 1 << 16
+FLUSH = 200_000
 
 
 # ---- base patterns ---------------------------------------------------------------
@@ -90,47 +93,84 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-# ---- contexts ----------------------------------------------------------------------
+# ---- words --------------------------------------------------------------------------
 
 WORD = re.compile(r"[^\W\d_]+")
-FOUND = "row long, doc_id long, counts array<long>, base string, contexts array<struct<entity:string,context:string,terms:array<struct<term:string,start:int,stop:int>>>>, text string"
+TEXTS = "digest string, entities array<string>, terms array<string>"
+FOUND = "row long, doc_id long, counts array<long>, base string, hits array<struct<term:string,start:int,stop:int>>, text string"
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]], window: int) -> list[dict]:
-    """The words around each entity, none of them within an entity."""
-    out, reach = [], 40 * (window + 1)
-    for start, kind, end in spans:
-        before = [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(text, max(0, start - reach), start)][-window:]
-        after = [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(text, end, min(len(text), end + reach))][:window]
-        free = [w for w in before + after if not any(w[1] < e and s < w[2] for s, _, e in spans)]
-        context = hashlib.md5(" ".join(w[0] for w in free).encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()
-        terms = [{"term": t, "start": s, "stop": e} for t, s, e in free if len(t) >= LEAST_LETTERS]
-        out.append({"entity": f"{KINDS[kind]}:{text[start:end].lower()}", "context": context, "terms": terms})
-    return out
+def free_words(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """Every word in lower case with its place, but those that touch a base span."""
+    at, reach = 0, -1
+    for m in WORD.finditer(text):
+        # spans are sorted by start; ``reach`` is the furthest end of those that start before the word ends
+        while at < len(spans) and spans[at][0] < m.end():
+            reach = max(reach, spans[at][2])
+            at += 1
+        if m.start() >= reach:
+            yield m[0].lower(), m.start(), m.end()
 
 
-def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, texts: bool = False) -> DataFrame:
+def bits_of(terms: DataFrame, size: int) -> tuple[Broadcast, int]:
+    """A bitmap of the CRC of each term, at most ``MOST_BITS`` long: what it lets pass is joined with ``terms`` itself."""
+    bits = min(MOST_BITS, max(1 << 16, 1 << (16 * size).bit_length()))
+    place = F.crc32(F.encode("term", "UTF-8")) % bits
+    out = bytearray(bits // 8)
+    for piece in terms.groupBy((place / PIECE).cast("int").alias("at")).agg(F.collect_set((place % PIECE).cast("int")).alias("set")).toLocalIterator():
+        held = np.zeros(PIECE, dtype=bool)
+        held[piece["set"]] = True
+        out[piece["at"] * PIECE // 8 : (piece["at"] + 1) * PIECE // 8] = np.packbits(held, bitorder="little").tobytes()
+    return terms.sparkSession.sparkContext.broadcast(bytes(out)), bits - 1
+
+
+def passes(term: str, held: bytes, mask: int) -> bool:
+    place = zlib.crc32(term.encode("utf-8", "replace")) & mask
+    return held[place >> 3] >> (place & 7) & 1 == 1
+
+
+# ---- terms ---------------------------------------------------------------------------
+
+
+def entity_texts(texts: DataFrame) -> DataFrame:
+    """Each different text with entities: its entities and words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, number = None, TaskContext.get().partitionId() << 33
+        schema = pa.schema([("digest", pa.string()), ("entities", pa.list_(pa.string())), ("terms", pa.list_(pa.string()))])
         for batch in batches:
             rows = []
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = value.as_py() or ""
+            for value in batch.column(0):
+                text = value.as_py()
                 spans = base_spans(text)
-                counts = [sum(k == i for _, k, _ in spans) for i in range(4)]
-                rows.append({"row": number, "doc_id": key, "counts": counts, "base": ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans), "contexts": contexts(text, spans, window) if spans else [], "text": text if texts else None})
-                number += 1
-            if schema is None:
-                term = pa.struct([("term", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
-                context = pa.struct([("entity", pa.string()), ("context", pa.string()), ("terms", pa.list_(term))])
-                schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("counts", pa.list_(pa.int64())), ("base", pa.string()), ("contexts", pa.list_(context)), ("text", pa.string())])
+                if spans:
+                    digest = hashlib.md5(text.encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()
+                    rows.append({"digest": digest, "entities": list({f"{KINDS[k]}:{text[s:e].lower()}" for s, k, e in spans}), "terms": list({w for w, _, _ in free_words(text, spans)})})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, FOUND)
+    return texts.select("text").mapInArrow(run, TEXTS).dropDuplicates(["digest"])
 
 
-def lower_words(text: Column) -> Column:
-    return F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"))
+def term_counts(texts: DataFrame, copies: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """``term, n_t``: different texts with the term, over the whole corpus; a text with k copies counts 1 / k each time."""
+    held, mask = bits_of(wanted, size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, float] = {}
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.float64())], names=["term", "n"])
+        for batch in batches:
+            for value, k in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                text = value.as_py()
+                for w in {w for w, _, _ in free_words(text, base_spans(text))}:
+                    if passes(w, held.value, mask):
+                        sums[w] = sums.get(w, 0.0) + 1 / k
+            if len(sums) > FLUSH:
+                yield flush()
+                sums.clear()
+        yield flush()
+
+    weighed = texts.join(small(copies), "h", "left").select("text", F.coalesce("copies", F.lit(1)).alias("copies"))
+    counts = weighed.mapInArrow(run, "term string, n double").groupBy("term").agg(F.round(F.sum("n")).alias("n_t"))
+    return counts.join(small(wanted, size), "term", "left_semi")
 
 
 def beyond_chance(total: Column, level: float) -> Column:
@@ -140,35 +180,62 @@ def beyond_chance(total: Column, level: float) -> Column:
     return (f > q) & (-F.col("n_e") * (f * F.log(f / q) + missed) <= math.log(level))
 
 
-def disclosing(found: DataFrame, docs: DataFrame, text_col: str = "text", alpha: float = ALPHA, level: float = LEVEL) -> DataFrame:
+def disclosing(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA, level: float = LEVEL) -> DataFrame:
     """``entity, term, share``: the share of the entity's information that the term gives away."""
-    seen = found.where(F.size("contexts") > 0).select(F.explode("contexts").alias("c")).select("c.entity", "c.context", "c.terms").dropDuplicates(["entity", "context"])
-    per = seen.groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = seen.select("entity", "context", F.explode("terms.term").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et"))
-    # a pair can only reach alpha if n_t <= n_et (N / n_e) ** (1 - alpha); the documents
-    # that hold the term near any entity are a lower bound of n_t, known already
-    total = F.lit(found.count()).cast("double")
-    near = found.where(F.size("contexts") > 0).select("row", F.explode(F.array_distinct(F.flatten(F.transform("contexts", lambda c: c["terms"]["term"])))).alias("term"))
-    at_least = near.groupBy("term").agg(F.count("*").alias("n_near"))
-    most = F.col("n_et") * F.pow(total / F.col("n_e"), F.lit(1 - alpha)) * (1 + 1e-9)
-    pairs = stage(pairs.join(per, "entity").join(at_least, "term").where(F.col("n_near") <= most).drop("n_near"), "pairs")
-    wanted = pairs.select("term").distinct()
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    different = stage(texts.groupBy("h").agg(F.count("*").alias("copies")), "different")
+    total = F.lit(different.count()).cast("double")
+    seen = stage(entity_texts(texts), "seen")
+    named = seen.select("digest", F.explode("entities").alias("entity"))
+    per = named.groupBy("entity").agg(F.count("*").alias("n_e"))
+    named = stage(named.join(per, "entity"), "named")
+    # a pair can only reach alpha if n_t <= n_et (N / n_e) ** (1 - alpha), and n_et <= n_e; the
+    # texts with any entity that hold the term are a lower bound of n_t, known already
+    most = F.col("n_e") * F.pow(total / F.col("n_e"), F.lit(1 - alpha)) * (1 + 1e-9)
+    caps = named.groupBy("digest").agg(F.max(most).alias("cap"))
+    words = seen.join(caps, "digest").select("digest", "cap", F.explode("terms").alias("term"))
+    near = words.groupBy("term").agg(F.count("*").alias("n_near"), F.max("cap").alias("cap"))
+    wanted = stage(near.where("n_near <= cap").select("term"), "wanted")
     size = wanted.count()
     if not size:
-        return pairs.select("entity", "term", F.lit(0.0).alias("share"))
-    wanted = F.broadcast(wanted) if size <= BROADCAST_ROWS else wanted
-    counts = docs.select(F.explode(lower_words(F.col(text_col))).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+        return named.select("entity", F.lit("").alias("term"), F.lit(0.0).alias("share")).limit(0)
+    counts = stage(term_counts(texts, different.where("copies > 1"), wanted, size), "counts")
+    rare = words.join(small(counts, size), "term").where("n_t <= cap").select("digest", "term", "n_t")
+    pairs = rare.join(named, "digest").where(F.col("n_t") <= most).groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
     known = F.log2(total / F.col("n_e"))
     shared = F.log2(F.col("n_et") * total / (F.col("n_e") * F.greatest("n_t", "n_et")))
-    return pairs.join(counts, "term").where(known > 0).withColumn("share", shared / known).where((F.col("share") >= alpha) & beyond_chance(total, level)).select("entity", "term", "share")
+    return pairs.where(known > 0).withColumn("share", shared / known).where((F.col("share") >= alpha) & beyond_chance(total, level)).select("entity", "term", "share")
+
+
+def find_base(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame, size: int, texts: bool) -> DataFrame:
+    """A row per document; ``hits`` are its words that the bitmap of ``terms`` lets pass."""
+    held, mask = bits_of(terms, size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hit = pa.struct([("term", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
+        schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("counts", pa.list_(pa.int64())), ("base", pa.string()), ("hits", pa.list_(hit)), ("text", pa.string())])
+        number = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            rows = []
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = value.as_py() or ""
+                spans = base_spans(text)
+                counts = [sum(k == i for _, k, _ in spans) for i in range(4)]
+                hits = [{"term": w, "start": s, "stop": e} for w, s, e in free_words(text, spans) if passes(w, held.value, mask)] if size else []
+                rows.append({"row": number, "doc_id": key, "counts": counts, "base": ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans), "hits": hits, "text": text if texts else None})
+                number += 1
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, FOUND)
 
 
 def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
     """Per row: ``doc_id``, counts by kind, ``base`` and ``spans``, and, with ``texts``, ``text``."""
-    found = stage(find_base(docs, id_col, text_col, texts=texts), "personal")
-    shares = disclosing(found, docs, text_col)
-    near = found.where(F.size("contexts") > 0).select("row", F.explode("contexts").alias("c")).select("row", "c.entity", F.explode("c.terms").alias("t")).select("row", "entity", "t.*")
-    terms = near.join(shares.select("entity", "term"), ["entity", "term"]).groupBy("row").agg(F.array_distinct(F.collect_list(F.struct("start", "stop"))).alias("extra"))
+    marked = stage(disclosing(docs, text_col).select("term").distinct(), "terms")
+    size = marked.count()
+    found = stage(find_base(docs, id_col, text_col, marked, size, texts), "personal")
+    near = found.where(F.size("hits") > 0).select("row", F.explode("hits").alias("t")).select("row", "t.*")
+    terms = near.join(small(marked, size), "term", "left_semi").groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("extra"))
     both = found.join(terms, "row", "left")
     order = F.array(*[F.lit(k) for k in KINDS])
     # "kind:start:end" to sortable structs, the added ones beside them

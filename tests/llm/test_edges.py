@@ -344,6 +344,22 @@ def test_terms_of_an_entity_seen_once(spark):
     assert "term:4:17" in got[500].spans and not any("term" in r.spans for k, r in got.items() if k < 500)
 
 
+def test_terms_are_marked_wherever_they_stand(spark):
+    # the term is twelve words from the entity, repeated, and in a text that does not name the entity; "zq" has two letters
+    rows = [(i, " ".join(f"{w}word" for w in words(12, i).split())) for i in range(500)]
+    far = rows[3][1]
+    rows += [(600, f"zephyrmoniker zq {far} ann@solo.example.com"), (601, f"and Zephyrmoniker {rows[4][1]} zephyrmoniker"), *[(602 + i, f"zephyrmoniker zq {far} ann@solo.example.com") for i in range(30)], (None, "zephyrmoniker")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find_personal(df).collect()}
+    assert got[600].startswith("term:0:13,term:14:16") and got[602] == got[600] and got[None] == "term:0:13"
+    assert got[601].startswith("term:4:17") and got[601].endswith(f"term:{len(rows[501][1]) - 13}:{len(rows[501][1])}")
+    # different texts count, not copies: 31 rows with the entity are one text of 503
+    shares = {r.term: r.share for r in pii.disclosing(df).collect()}
+    assert abs(shares["zephyrmoniker"] - np.log2(503 / 3) / np.log2(503)) < 1e-12 and shares["zq"] == 1
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert not any("zephyrmoniker" in t.lower() for t in clean.values())
+
+
 # ---- 9 -------------------------------------------------------------------------------------
 
 
