@@ -137,14 +137,20 @@ def semi_filter(spark, d):
 
 
 @query("with a as (select c_custkey as id, nullif(c_nationkey % 7, 0) as k from customer), b as (select n_nationkey as v, nullif(n_nationkey, 0) as k from nation where n_nationkey < 5) select id, a.k, v from a left join b on a.k is not distinct from b.k")
-def null_safe_join(spark, d):
+def null_safe_join(spark, d, nations: str = "n_nationkey < 5"):
     """JN6, JN7 with missing keys."""
     zero = lambda c: F.when(c != 0, c)
     a = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), zero(F.col("c_nationkey") % 7).alias("k"))
-    b = read(spark, d, "nation").where("n_nationkey < 5").select(zero(F.col("n_nationkey")).alias("k"), F.col("n_nationkey").alias("v"))
+    b = read(spark, d, "nation").where(nations).select(zero(F.col("n_nationkey")).alias("k"), F.col("n_nationkey").alias("v"))
     return panel.null_safe_left(a, b, ["k"])
 
 
+@query(ORACLE_SQL["null_safe_join"].replace(" where n_nationkey < 5", ""))
+def null_safe_join_all_nations(spark, d):
+    """JN6, JN7 with every nation."""
+    return null_safe_join(spark, d, "true")
+
+
 # ---- thresholds and frequencies -----------------------------------------------------------
 
 POOL = f"""{DAILY}, base as (select *, dayofyear(date) as doy from daily where year(date) between 1995 and 1999 and month(date) between 5 and 9),
@@ -382,39 +388,64 @@ def country_detrend(spark, d):
     return econometrics.detrend_quadratic(units(spark, d), ["y"], "country", "year").select("unit", "year", r("y", 5).alias("y"))
 
 
-# every supplier has lines in every year, where the short form of the two-way transform is exact
+# every supplier has lines in every year, where the short form of the two-way transform is exact;
+# the queries named all_years take the whole panel, the others the years to 2000
+UP_TO_2000 = " where year <= 2000"
 WITHIN = f"{UNITS}, w as (select unit, year, y - avg(y) over (partition by unit) - avg(y) over (partition by year) + avg(y) over () as y, x1 - avg(x1) over (partition by unit) - avg(x1) over (partition by year) + avg(x1) over () as x1 from units where year <= 2000)"
 
 
-def within(spark, d) -> DataFrame:
-    return econometrics.within_two_ways(units(spark, d).where("year <= 2000").select("unit", "year", "y", "x1"), ["y", "x1"], "unit", "year")
+def within(spark, d, all_years: bool = False) -> DataFrame:
+    u = units(spark, d) if all_years else units(spark, d).where("year <= 2000")
+    return econometrics.within_two_ways(u.select("unit", "year", "y", "x1"), ["y", "x1"], "unit", "year")
+
+
+def whole_panel(name: str) -> str:
+    return ORACLE_SQL[name].replace(UP_TO_2000, "")
 
 
 @query(f"with {WITHIN} select unit, year, round(y, 6) as y, round(x1, 6) as x1 from w")
-def twoway_within(spark, d):
+def twoway_within(spark, d, all_years: bool = False):
     """WN4."""
-    return within(spark, d).select("unit", "year", r("y").alias("y"), r("x1").alias("x1"))
+    return within(spark, d, all_years).select("unit", "year", r("y").alias("y"), r("x1").alias("x1"))
+
+
+@query(whole_panel("twoway_within"))
+def twoway_within_all_years(spark, d):
+    """WN4 on the whole panel."""
+    return twoway_within(spark, d, True)
 
 
 @query(f"with {WITHIN}, b as (select sum(x1*y) / sum(x1*x1) as beta, count(*) as n from w) select round(beta, 6) as beta, n, round((select sum((y - beta*x1) * (y - beta*x1)) from w), 4) as rss from b")
-def fe_ols_beta(spark, d):
+def fe_ols_beta(spark, d, all_years: bool = False):
     """EC3, AG17, AG18."""
-    fit = econometrics.Fit(within(spark, d), "y", ["x1"], "unit", "year")
+    fit = econometrics.Fit(within(spark, d, all_years), "y", ["x1"], "unit", "year")
     return spark.createDataFrame([(round(float(fit.beta[0]), 6), fit.n, round(fit.rss, 4))], "beta double, n long, rss double")
 
 
+@query(whole_panel("fe_ols_beta"))
+def fe_ols_beta_all_years(spark, d):
+    """EC3, AG17, AG18 on the whole panel."""
+    return fe_ols_beta(spark, d, True)
+
+
 @query(f"""with {WITHIN}, b as (select sum(x1*y) / sum(x1*x1) as beta, sum(x1*x1) as xx, count(*) as n, count(distinct unit) as u, count(distinct year) as t from w),
   s as (select unit, year, x1 * (y - beta*x1) as s from w, b), mu as (select sum(t*t) as m from (select sum(s) as t from s group by unit)), mt as (select sum(t*t) as m from (select sum(s) as t from s group by year)), mr as (select sum(s*s) as m from s)
   select 'time' as kind, round(sqrt(mt.m) / xx * sqrt(n / (n - 1 - u - t + 1)), 6) as se from b, mt union all
   select 'unit', round(sqrt(mu.m) / xx * sqrt(n / (n - 1 - u - t + 1)), 6) from b, mu union all
   select 'two_way', round(sqrt(greatest(mu.m + mt.m - mr.m, 0)) / xx * sqrt(n / (n - 1 - u - t + 1)), 6) from b, mu, mt, mr""")
-def cluster_scores(spark, d):
+def cluster_scores(spark, d, all_years: bool = False):
     """AG16, EC4."""
-    fit = econometrics.Fit(within(spark, d), "y", ["x1"], "unit", "year")
+    fit = econometrics.Fit(within(spark, d, all_years), "y", ["x1"], "unit", "year")
     rows = [(k, round(float(max(fit.covariance(k)[0, 0], 0.0)) ** 0.5, 6)) for k in ("time", "unit", "two_way")]
     return spark.createDataFrame(rows, "kind string, se double")
 
 
+@query(whole_panel("cluster_scores"))
+def cluster_scores_all_years(spark, d):
+    """AG16, EC4 on the whole panel."""
+    return cluster_scores(spark, d, True)
+
+
 XYZ = f"{PLACES}, p as (select id, cos(radians(lat)) * cos(radians(lon)) as x, cos(radians(lat)) * sin(radians(lon)) as y, sin(radians(lat)) as z from places)"
 KM = "2 * 6371.0 * asin(least(1, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) / 2))"
 
@@ -429,14 +460,20 @@ def distance_pairs(spark, d):
 @query(f"""with {WITHIN}, {XYZ}, e as (select unit, sum(x1 * (y - (select sum(x1*y) / sum(x1*x1) from w) * x1)) as s from w group by 1),
   pr as (select a.id as i, b.id as j, greatest(0, 1 - {KM} / 1000) as k from p a join p b on a.id < b.id where {KM} <= 1000 and a.id in (select unit from e) and b.id in (select unit from e)), n as (select count(*) as n from e)
   select round(sqrt(greatest(((select sum(s*s) from e) + coalesce((select 2 * sum(k * x.s * y.s) from pr join e x on x.unit = i join e y on y.unit = j), 0)) * n / (n - 1), 0)) / (select sum(x1*x1) from w), 6) as se, n as n_placed from n""")
-def conley_meat(spark, d):
+def conley_meat(spark, d, all_years: bool = False):
     """EC7: spatial standard error at 1000 km."""
-    fit = econometrics.Fit(within(spark, d), "y", ["x1"], "unit", "year")
+    fit = econometrics.Fit(within(spark, d, all_years), "y", ["x1"], "unit", "year")
     own = places(spark, d).join(read(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), "id", "left_semi")
     v, n = fit.conley(econometrics.distance_pairs(own, 1000.0), 1000.0)
     return spark.createDataFrame([(round(float(max(v[0, 0], 0.0)) ** 0.5, 6), n)], "se double, n_placed long")
 
 
+@query(whole_panel("conley_meat"))
+def conley_meat_all_years(spark, d):
+    """EC7 on the whole panel."""
+    return conley_meat(spark, d, True)
+
+
 @query()
 def spline_basis(spark, d):
     """WN9: the basis at every observation; rows add up to 1."""

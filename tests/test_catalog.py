@@ -1,10 +1,12 @@
 """Every query against its SQL in DuckDB."""
 
+import datetime
 import glob
 import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from isotherm.plans import catalog
@@ -49,3 +51,30 @@ def test_same_as_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_has_rows(spark, name):
     assert catalog.QUERIES[name](spark, BIGGER).count() > 0
+
+
+WHOLE = ("twoway_within", "fe_ols_beta", "cluster_scores", "conley_meat")
+
+
+def test_whole_panel_and_nations(spark):
+    years = {r.year for r in catalog.QUERIES["twoway_within_all_years"](spark, DATA).select("year").distinct().collect()}
+    assert years == set(range(1995, 2002))
+    assert not any("2000" in catalog.ORACLE_SQL[f"{k}_all_years"] for k in WHOLE)
+    assert {r.v for r in catalog.QUERIES["null_safe_join_all_nations"](spark, BIGGER).collect()} >= {5, 6}
+
+
+def test_whole_unbalanced_panel_matches_lsdv(spark, tmp_path):
+    g = np.random.default_rng(5)
+    held = [(i, t) for i in range(1, 21) for t in range(1995, 2002) if g.random() > 0.3]
+    lines = [(i, datetime.datetime(t, 3, 1), float(g.uniform(1e3, 9e4)), float(g.integers(0, 11)) / 100, 5.0) for i, t in held]
+    spark.createDataFrame(lines, "l_suppkey long, l_shipdate timestamp, l_extendedprice double, l_discount double, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, i % 25) for i in range(1, 21)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(i, i % 5) for i in range(25)], "n_nationkey int, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    d = np.array([[i == u for u in range(1, 21)] + [t == y for y in range(1995, 2002)] for i, t in held], dtype=float)
+    z = np.array([(x[2] / 1000, x[3] * 10) for x in lines])
+    z -= d @ np.linalg.lstsq(d, z, rcond=None)[0]
+    got = {(x.unit, x.year): (x.y, x.x1) for x in catalog.QUERIES["twoway_within_all_years"](spark, str(tmp_path)).collect()}
+    assert np.allclose([got[k] for k in held], z, atol=1e-5) and len(got) == len(held)
+    beta = float(z[:, 1] @ z[:, 0] / (z[:, 1] @ z[:, 1]))
+    fit = catalog.QUERIES["fe_ols_beta_all_years"](spark, str(tmp_path)).first()
+    assert fit.n == len(held) and abs(fit.beta - beta) < 1e-5 and abs(fit.rss - float(((z[:, 0] - beta * z[:, 1]) ** 2).sum())) < 1e-3
