@@ -527,10 +527,11 @@ def djf_assembly(spark, d):
 PROB = f"{MEMBERS}, lim as (select cell, cast(dayofyear(inidate) as int) as doy, quantile_cont(value, 0.9) as thresh from members where hDate <= 1999 group by 1, 2), pr as (select m.hDate, m.cell, avg(case when value >= thresh then 1.0 else 0.0 end) as prob, count(*) as n from members m left join lim on lim.cell = m.cell and lim.doy = least(dayofyear(inidate), 365) where month(inidate) = 1 group by 1, 2)"
 
 
-def probability(spark, d, floor: bool) -> DataFrame:
+def probability(spark, d, floor: bool, all_dates: bool = False) -> DataFrame:
     m = members(spark, d)
+    scored = m if all_dates else m.where(F.month("inidate") == 1)
     lim = m.where("hDate <= 1999").groupBy("cell", F.dayofyear("inidate").alias("dayofyear")).agg(METHODS["linear"]("value", 90).alias("thresh"))
-    p = ensemble.exceedance_probability(m.where(F.month("inidate") == 1), lim, ["cell"], ["hDate"], "value", "inidate", last_day=365, floor=floor)
+    p = ensemble.exceedance_probability(scored, lim, ["cell"], ["hDate"], "value", "inidate", last_day=365, floor=floor)
     return p.withColumns({"prob": r("prob"), "log_prob": r("log_prob")})
 
 
@@ -546,6 +547,22 @@ def ensemble_prob_floor(spark, d):
     return probability(spark, d, True)
 
 
+# every initial date, so that day 366 is held against the limit of day 365
+JANUARY = " where month(inidate) = 1"
+
+
+@query(ORACLE_SQL["ensemble_prob"].replace(JANUARY, ""))
+def ensemble_prob_all_dates(spark, d):
+    """AG19, JN3, SF5 without a floor, over all initial dates."""
+    return probability(spark, d, False, True)
+
+
+@query(ORACLE_SQL["ensemble_prob_floor"].replace(JANUARY, ""))
+def ensemble_prob_floor_all_dates(spark, d):
+    """AG19 with the floor of one member, over all initial dates."""
+    return probability(spark, d, True, True)
+
+
 @query(f"with {MEMBERS}, e as (select hDate, cell, avg(value) as value from members group by 1, 2) select hDate, cell, round(value, 4) as value, round(value - avg(value) over (partition by cell), 4) as anomaly from e")
 def ensemble_anomaly(spark, d):
     """AG20."""

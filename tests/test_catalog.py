@@ -78,3 +78,12 @@ def test_whole_unbalanced_panel_matches_lsdv(spark, tmp_path):
     beta = float(z[:, 1] @ z[:, 0] / (z[:, 1] @ z[:, 1]))
     fit = catalog.QUERIES["fe_ols_beta_all_years"](spark, str(tmp_path)).first()
     assert fit.n == len(held) and abs(fit.beta - beta) < 1e-5 and abs(fit.rss - float(((z[:, 0] - beta * z[:, 1]) ** 2).sum())) < 1e-3
+
+
+@pytest.mark.parametrize("name", ["ensemble_prob_all_dates", "ensemble_prob_floor_all_dates"])
+def test_every_member_is_scored(spark, name):
+    assert "month(" not in catalog.ORACLE_SQL[name]
+    every = connection(DATA).execute("with x as (select *, l_partkey % 12 as c, year(l_shipdate) as y, dayofyear(l_shipdate) as d, l_extendedprice as v from lineitem), lim as (select c, d, quantile_cont(v, 0.9) as t from x where y <= 1999 group by 1, 2) select y, x.c, sum(case when v >= t then 1 else 0 end), count(*) from x left join lim on lim.c = x.c and lim.d = least(x.d, 365) group by 1, 2")
+    want = {(y, c): k / n for y, c, k, n in every.fetchall()}
+    got = {(x.hDate, x.cell): x.prob for x in catalog.QUERIES[name](spark, DATA).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
