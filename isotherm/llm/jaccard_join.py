@@ -17,7 +17,8 @@ table that is linear in the postings).  A family is compared in one task, or,
 beyond ``BLOCK`` texts or ``BLOCK_TOKENS`` shingles, in pairs of blocks.  Pairs there pass length, order 1,
 orders 2 and 3, and only then exact verification; pairs already joined through
 others are left out, since only reachability is asked.  A task returns at most
-one link per text, so a group of n near copies never yields n^2 rows.
+one link per text, so a group of n near copies never yields n^2 rows.  ``jaccard_links`` also asks for
+the number of links of each row: there every candidate pair is verified, and a task returns one sum per text.
 
 Null or blank texts have an empty set and are linked with nothing.  Rows that
 repeat a ``doc_id`` each keep their own row.  Extra columns are ignored.
@@ -115,6 +116,7 @@ class Family:
             width = np.log2(c).astype(np.uint8)
             self.others.append((frozenset(own[np.lexsort((mix(own ^ SALTS[0]), width))[:left]].tolist()), frozenset(own[np.argsort(mix(own ^ SALTS[1]))[:left]].tolist())))
         self.full: dict[int, frozenset] = {}
+        self.degree = np.zeros(len(frame), dtype=np.int64)
         self.parent = list(range(len(frame)))
 
     def root(self, i: int) -> int:
@@ -138,8 +140,11 @@ class Family:
         both = len(self.tokens(i) & self.tokens(j))
         return q * both >= p * (small + large - both)
 
-    def links(self, side: np.ndarray | None) -> Iterator[tuple[int, int]]:
-        """Links that join what is still apart; with ``side``, only those between the two sides."""
+    def links(self, side: np.ndarray | None, weight: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+        """Links that join what is still apart; with ``side``, only those between the two sides.
+
+        With ``weight`` (rows of each text) every candidate pair is verified and ``degree`` sums the rows that each text links with.
+        """
         # texts with few shingles of their own first: they link with most
         order = np.lexsort((self.n, self.n - np.array([len(x) for x in self.sets])))
         met: dict[int, list[int]] = {}
@@ -151,23 +156,31 @@ class Family:
                         continue
                     tried.add(j)
                     a, b = self.root(i), self.root(j)
-                    if a != b and self.linked(i, j):
+                    if (a == b and weight is None) or not self.linked(i, j):
+                        continue
+                    if weight is not None:
+                        self.degree[i] += weight[j]
+                        self.degree[j] += weight[i]
+                    if a != b:
                         self.parent[a] = b
                         yield i, j
             for token in self.first[i]:
                 met.setdefault(token, []).append(i)
 
 
-def _compare(t: Fraction):
+def _compare(t: Fraction, count: bool):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.reset_index(drop=True)
         one = frame["i"].iloc[0] == frame["j"].iloc[0]
         family = Family(frame, t)
-        for _ in family.links(None if one else frame["block"].to_numpy()):
+        for _ in family.links(None if one else frame["block"].to_numpy(), frame["copies"].to_numpy() if count else None):
             pass
         ids = frame["doc_id"].to_numpy()
         roots = [family.root(i) for i in range(len(ids))]
         pairs = [(ids[i], ids[r]) for i, r in enumerate(roots) if i != r]
+        if count:  # a text's sum stands on a row of its own, where a = b
+            rows = [(a, b, 0) for a, b in pairs] + [(i, i, n) for i, n in zip(ids, family.degree, strict=True) if n]
+            return pd.DataFrame(rows, columns=["a", "b", "n"], dtype="int64")
         return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
 
     return run
@@ -179,6 +192,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``threshold`` is compared in integers.  ``component_id`` is the least id
     reachable by links, the row's own id included; null ids are never least.
     """
+    return _join(docs, id_col, text_col, width, threshold, block, block_tokens, False)
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, threshold: Fraction = Fraction(9, 10), block: int = BLOCK, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """``jaccard_components`` and ``n_links``: how many other rows the row is linked with, rows of equal sets included.
+
+    A set that only rows without an id have is linked with its equals alone.
+    """
+    return _join(docs, id_col, text_col, width, threshold, block, block_tokens, True)
+
+
+def _join(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: Fraction, block: int, block_tokens: int, count: bool) -> DataFrame:
     chunks = build_chunks(docs, id_col, text_col)
     asks = ask(chunks, _ask(width), ranges_for(chunks))
     answers = answer(asks, _answer)
@@ -187,11 +212,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # equal sets are one class; its least id stands for it
     filled = sets.where("n_shingles > 0")
-    classes = filled.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
+    classes = filled.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), *([F.count("*").alias("copies")] if count else []))
+    more = ["copies"] if count else []
     named = filled.where("bucket is not null and doc_id is not null")
     reps = stage(
-        named.join(classes.select("n_shingles", "d1", "d2", F.col("rep").alias("doc_id")), ["n_shingles", "d1", "d2", "doc_id"], "left_semi")
-        .dropDuplicates(["n_shingles", "d1", "d2"]).select("doc_id", "n_shingles", "bucket", "shared", "classes"),
+        named.join(classes.select("n_shingles", "d1", "d2", F.col("rep").alias("doc_id"), *more), ["n_shingles", "d1", "d2", "doc_id"], "inner" if count else "left_semi")
+        .dropDuplicates(["n_shingles", "d1", "d2"]).select("doc_id", "n_shingles", "bucket", "shared", "classes", *more),
         "reps",
     )
     # families: a row per posting, then a star per bucket
@@ -209,14 +235,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "n_shingles", "shared", "classes")
+        .select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "n_shingles", "shared", "classes", *more)
     )
     # else a shuffle by family alone would do for the grouping, and a large family be one task again
     dealt = dealt.repartition("family", "i", "j")
-    links = dealt.groupBy("family", "i", "j").applyInPandas(_compare(threshold), "a long, b long")
+    links = dealt.groupBy("family", "i", "j").applyInPandas(_compare(threshold, count), "a long, b long, n long" if count else "a long, b long")
+    if count:
+        links = stage(links, "links")
     component = connected_components(links).withColumnRenamed("node", "rep").withColumnRenamed("component", "least")
-    found = classes.join(component, "rep", "left").select("n_shingles", "d1", "d2", F.coalesce("least", "rep").alias("component_id"))
-    return sets.select("doc_id", "n_shingles", "d1", "d2").join(found, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = classes.join(component, "rep", "left").select("n_shingles", "d1", "d2", F.coalesce("least", "rep").alias("component_id"), *(["rep", "copies"] if count else []))
+    if count:
+        sums = links.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
+        found = found.join(sums, "rep", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
+    n_links = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if count else []
+    return sets.select("doc_id", "n_shingles", "d1", "d2").join(found, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *n_links)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -15,6 +15,9 @@ r as (select doc_id as id, doc_id as at from n union select r.id, l.b from r joi
 select n.doc_id, n.n as n_shingles, min(r.at) as component_id from n join r on r.id = n.doc_id group by 1, 2
 """
 
+_OP1_END = "select n.doc_id, n.n as n_shingles"
+OP1_LINKS = OP1.replace(_OP1_END, "select c.*, coalesce(k.n_links, 0) as n_links from (" + _OP1_END) + ") c left join (select a, count(*) as n_links from l group by 1) k on k.a = c.doc_id"
+
 OP2 = """
 with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
 w as (select doc_id, p, md5(substring(h, 2 * p + 1, 400)) as k from (select doc_id, h, unnest(range(0, length(h) // 2 - 199)) as p from d where length(h) >= 400)),
@@ -83,6 +86,7 @@ select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_acc
 
 ORACLE_SQL = {
     "op1_ngram_jaccard_join": OP1,
+    "op1_ngram_jaccard_links": OP1_LINKS,
     "op2_suffix_array_dedup": OP2,
     "op5_warc": OP5,
     "op7_benchmark_decontamination": OP7,

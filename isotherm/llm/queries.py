@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from isotherm.llm.arc_to_warc import archive_round_trip
 from isotherm.llm.chat_format import chat_digests
 from isotherm.llm.decontaminate import contaminated_pairs
-from isotherm.llm.jaccard_join import jaccard_components
+from isotherm.llm.jaccard_join import jaccard_components, jaccard_links
 from isotherm.llm.oracle import ORACLE_SQL  # noqa: F401
 from isotherm.llm.packing import best_fit_packing
 from isotherm.llm.pii import personal_digests
@@ -28,6 +28,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"))
 
 
+def op1_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_links(_read(spark, sf_dir, "documents"))
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_read(spark, sf_dir, "documents"))
 
@@ -77,6 +81,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op1_ngram_jaccard_links": op1_ngram_jaccard_links,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,

@@ -98,6 +98,24 @@ def test_jaccard_in_blocks(spark):
     assert got == brute_components(rows, 3, Fraction(9, 10))
 
 
+def test_every_link_is_counted(spark):
+    g, base = random.Random(6), words(120, 7).split()
+    rows = [(100, ""), (101, None), (102, words(50, 3))]
+    for i in range(60):
+        w = list(base)
+        for _ in range(g.randrange(4)):
+            w[g.randrange(len(w))] = f"w{g.randrange(50)}"
+        rows += [(i, " ".join(w))] * (1 + (i % 20 == 0))
+    sets = [(i, shingle_set(x)) for i, x in rows]
+    want = Counter((i, sum(bool(a and b) and 10 * len(a & b) >= 9 * len(a | b) for k, (_, b) in enumerate(sets) if k != j)) for j, (i, a) in enumerate(sets))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (8, 1500):
+        got = jaccard_join.jaccard_links(df, block=block).collect()
+        assert Counter((r.doc_id, r.n_links) for r in got) == want
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 3, Fraction(9, 10))
+    assert max(n for _, n in want) > 10 and jaccard_join.jaccard_links(df.limit(0)).count() == 0
+
+
 def test_jaccard_empty_and_keep_one(docs, none):
     assert jaccard_join.jaccard_components(none).count() == 0
     kept = jaccard_join.keep_one(docs, width=5, threshold=Fraction(4, 5))
