@@ -16,6 +16,7 @@ packed one by one.  Extra columns are ignored.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,15 +26,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isotherm.llm.encoder import WordEncoder
-from isotherm.llm.store import stage
+from isotherm.llm.store import small, stage
 
 CAPACITY = 2048
 SALTS = 512
-#: texts are tokenized in batches of about so many characters
-BATCH_CHARS = 2_000_000
+#: texts are tokenized in batches of about so many characters; longer texts are cut at white space for it
+BATCH_CHARS = 250_000
+SPACE = re.compile(r"[ \t\n\x0b\x0c\r]")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def segments(text: str, size: int = BATCH_CHARS) -> Iterator[str]:
+    """``text`` cut at the first white space after every ``size`` characters; no token reaches across one."""
+    at = 0
+    while len(text) - at > size:
+        cut = SPACE.search(text, at + size)
+        if not cut:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
 def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", close: int = 0, ids: bool = False) -> DataFrame:
     """Pieces of the token ids of each text and a closing id; with ``ids``, the ids themselves as well."""
 
@@ -45,8 +59,12 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_
         n = 6 if ids else 5
 
         def encoded(keys: list, texts: list[str]) -> pa.RecordBatch:
+            if len(texts) == 1:
+                found = [b"".join(encoder.encode([part])[0] for part in segments(texts[0]))]
+            else:
+                found = encoder.encode(texts)
             rows = []
-            for key, own in zip(keys, encoder.encode(texts), strict=True):
+            for key, own in zip(keys, found, strict=True):
                 own += end
                 for piece, at in enumerate(range(0, len(own), 4 * capacity)):
                     cut = own[at : at + 4 * capacity]
@@ -56,13 +74,14 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_
 
         keys, texts, size = [], [], 0
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys.append(key)
-                texts.append(text.as_py() or "")
-                size += len(texts[-1])
-                if size >= BATCH_CHARS:
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = value.as_py() or ""
+                if keys and size + len(text) > BATCH_CHARS:
                     yield encoded(keys, texts)
                     keys, texts, size = [], [], 0
+                keys.append(key)
+                texts.append(text)
+                size += len(text)
         if keys:
             yield encoded(keys, texts)
 
@@ -134,7 +153,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> Dat
     # each (length, salt) takes along the few lines that its ranks cross
     table = spark.createDataFrame(lines, "length long, low long, pieces long, bin long, per long, at long")
     crossed = (F.col("low") < F.col("base") + F.col("n")) & (F.col("low") + F.col("pieces") > F.col("base"))
-    spread = offsets.join(F.broadcast(table), "length").where(crossed)
+    spread = offsets.join(small(table, len(lines)), "length").where(crossed)
     spread = spread.groupBy("length", "salt", "base").agg(F.array_sort(F.collect_list(F.struct("low", "pieces", "bin", "per", "at"))).alias("lines"))
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("k", F.row_number().over(within) - 1).join(spread, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("k"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +18,13 @@ _KEPT: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (tests) a temporary one is set."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir``; where it is unset on a local master (tests) a temporary one is set, on a cluster it must be."""
+    conf = spark.sparkContext.getConf()
+    at = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        master = conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="isotherm-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -43,9 +48,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Deletes a stage table that nothing will read again."""
-    drop(df.sparkSession, df.stage_path)
+def release(*tables: DataFrame) -> None:
+    """Deletes stage tables that nothing will read again."""
+    for df in tables:
+        drop(df.sparkSession, df.stage_path)
+
+
+def staged_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``make()`` as a stage table; every other table that was staged on the way to it is deleted."""
+    before = len(_KEPT)
+    out = stage(make(), name)
+    for path in _KEPT[before:-1]:
+        drop(out.sparkSession, path)
+    del _KEPT[before:-1]
+    return out
 
 
 #: rows up to which a table of ids or small keys is broadcast
