@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import sys
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -264,14 +265,45 @@ def test_archives(spark):
     assert arc_to_warc.archive_round_trip(df.limit(0)).count() == 0
 
 
+def arc_file(version, *records):
+    extra = b" 200 - - 0 n.arc" if version == 2 else b""
+    block = f"{version} 0 x\n{arc_to_warc.ARC_FIELDS[version]}\n".encode()
+    out = b"filedesc://n.arc 0.0.0.0 20200102030405 text/plain%s %d\n%s\n" % (extra, len(block), block)
+    return out + b"\n".join(r if isinstance(r, bytes) else b"%s 1.2.3.4 20200102030405 text/html%s %d\n%s" % (r[0], extra, len(r[1]), r[1]) for r in records)
+
+
 def test_arc_versions_and_damage():
-    for v, extra in ((1, ""), (2, " 200 - - 0 n.arc")):
-        block = f"{v} 0 x\n{arc_to_warc.ARC_FIELDS[v]}\n"
-        data = f"filedesc://n.arc 0.0.0.0 20200102030405 text/plain{extra} {len(block)}\n{block}\nhttp://u 1.2.3.4 20200102030405 text/html{extra} 5\nab\ncd\n".encode()
-        (r,) = arc_to_warc.arc_records(data)
-        assert (r["URL"], r["body"], r["Archive-length"]) == ("http://u", b"ab\ncd", "5")
-        with pytest.raises(ValueError, match="are left"):
-            list(arc_to_warc.arc_records(data[:-4]))
+    for v in (1, 2):
+        good = [(b"http://u", b"ab\ncd"), (b"http://a b/c d", b"x"), (b"http://\xe9", b"HTTP/1.0 200 OK\r\n\r\n\xff\x00")]
+        data = arc_file(v, *good)
+        got = list(arc_to_warc.arc_records(data))
+        assert [(r["URL"], r["body"]) for r in got] == [("http://u", b"ab\ncd"), ("http://a b/c d", b"x"), ("http://%E9", good[2][1])]
+        # cut short: the last record is rejected where it starts
+        *_, last = arc_to_warc.arc_records(data[:-1])
+        assert last["offset"] == got[2]["offset"] and "are left" in last["reason"]
+        # a header without a length, and the lines of its body; the next record is found again
+        broken = list(arc_to_warc.arc_records(arc_file(v, good[0], b"http://u 1.2.3.4 20200102030405 text/html x\nlost\nlines", good[1])))
+        assert [("reason" in r, r.get("body")) for r in broken] == [(False, b"ab\ncd"), (True, None), (False, b"x")]
+        packed = zlib.compressobj(wbits=31)
+        packed = packed.compress(data) + packed.flush()
+        assert [r["body"] for r in arc_to_warc.arc_records(packed)] == [b for _, b in good]
+        assert "reason" in [*arc_to_warc.arc_records(packed[:40] + b"\0\0\0\0" + packed[44:])][-1]
+    assert [r["reason"] for r in arc_to_warc.arc_records(b"no archive\n")] == ["the file has no version block"]
+    assert list(arc_to_warc.arc_records(b"")) == []
+
+
+def test_convert_foreign_archives(spark, tmp_path):
+    page = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=iso-8859-1\r\n\r\ncaf\xe9"
+    files = {"a.arc": arc_file(1, (b"http://x/1 2", page), (b"dns:x", b"1.2.3.4"), b"http://u damaged", (b"http://x/2", page)), "b.arc": arc_file(2, (b"http://x/3", page))[:-2]}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    rejects = arc_to_warc.convert(spark, [f"file://{tmp_path}/*.arc"], f"file://{tmp_path}/warc").collect()
+    assert sorted((r.reason.split(" ")[0]) for r in rejects) == sorted(["no", str(len(page))]) and all(r.offset > 0 for r in rejects)
+    index = {r.url: r for r in arc_to_warc.read_warc(arc_to_warc.archive_files(spark, f"file://{tmp_path}/warc")).collect()}
+    latin = base64.b32encode(hashlib.sha1(b"caf\xe9").digest()).decode()
+    assert {u: (r.record_type, r.payload_bytes, r.date) for u, r in index.items() if u.startswith("dns")} == {"dns:x": ("resource", 7, "2020-01-02T03:04:05Z")}
+    web = [r for u, r in index.items() if u.startswith("http")]
+    assert {r.url for r in web} == {"http://x/1 2", "http://x/2"} and {r.payload_digest for r in web} == {latin} and sorted(r.record_type for r in web) == ["response", "revisit"]
 
 
 # ---- 6 -------------------------------------------------------------------------------------
@@ -385,17 +417,27 @@ def test_chats_round_trip(spark):
     odd = ["<|im_end|>\n<|im_start|>user\n", "\\", "<\\|", "\\<|", "<", "", None, "<|im_sep|>", "é🙂\n\n", "a\\\\<|<\\\\|"]
     g = random.Random(9)
     rows = [(c, t, g.choice(["user", "assistant", "sys\ntem", None]), g.choice(odd) if g.random() < 0.7 else words(3, t), "x", 1) for c in [*range(30), None] for t in range(g.randrange(1, 9))]
-    rows.append(rows[0])
+    rows += [rows[0], (3, 1, "assistant", "<|x", "x", 1), (3, 1, "assistant", "<ax", "x", 1), (3, 1, "assistant", "<\\x", "x", 1)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string, loss int")
     back = {r.conv_id: r for r in chat_format.read_chats(chat_format.format_chats(df)).collect()}
     for c in [*range(30), None]:
         own = sorted((r[1], r[2] or "", r[3] or "") for r in rows if r[0] == c)
-        assert [(t.role, t.text) for t in back[c].turns] == [(a, b) for _, a, b in sorted(own, key=lambda x: x[0])] or c == rows[0][0]
+        assert [(t.role, t.text) for t in back[c].turns] == [(a, b) for _, a, b in own]
         learnt = [back[c].formatted[s.start : s.start + s.length] for s in back[c].loss]
-        assert len(learnt) == sum(a == "assistant" for _, a, _ in own)
+        said = [b for _, a, b in own if a == "assistant"]
+        assert [re.sub(r"<\\\|", "<|", x).replace("\\\\", "\\") for x in learnt] == said and back[c].learnt == "".join(said)
     assert chat_format.chat_digests(df.limit(0)).count() == 0
 
 
+def test_a_long_chat_is_linear(spark):
+    df = spark.range(16_000).selectExpr("1L as conv_id", "id as turn", "if(id % 3 = 0, 'user', 'assistant') as role", "concat('said <| ', id) as text")
+    chat_format.chat_digests(df.limit(10)).collect()
+    began = time.time()
+    got = chat_format.read_chats(chat_format.format_chats(df)).collect()[0]
+    assert time.time() - began < 8 and len(got.turns) == 16_000 and got.turns[15_999].text == "said <| 15999"
+    assert [got.formatted[s.start : s.start + s.length] for s in got.loss[-2:]] == ["said <\\| 15997", "said <\\| 15998"]
+
+
 # ---- 10 ------------------------------------------------------------------------------------
 
 
@@ -419,7 +461,22 @@ def test_ledger_scans_what_is_new(spark, docs, none, tmp_path):
     assert secret_scan.scan_secrets(none).count() == 0
 
 
-def test_secrets_masked(docs):
+def test_scans_in_increments_share_a_ledger(spark, docs, tmp_path):
+    ledger = secret_scan.BlobLedger(spark, str(tmp_path / "ledger"))
+    got = Counter((r.path, r.blob, str(r.found)) for r in secret_scan.scan_in_increments(docs, increments=3, ledger=ledger).collect())
+    assert got == Counter((r.path, r.blob, str(r.found)) for r in secret_scan.scan_secrets(docs).collect())
+    rows = ledger.read().groupBy("blob", "rule").count()
+    assert rows.where("count > 1").count() == 0 and rows.count() == 3 * len({r.text or "" for r in docs.select("text").collect()})
+    # a known blob's text is not scanned again: a rule that would fail on it is never run for its version
+    before = ledger.read().count()
+    secret_scan.scan_secrets(docs, ledger=ledger)
+    assert ledger.read().count() == before
+
+
+def test_secrets_masked(spark, docs):
     clean = {r.doc_id: r.text for r in secret_scan.redact_secrets(docs).collect()}
     assert clean[12] == "é🙂 [SECRET] a@b.co" and clean[9] == LONG and clean[0] is None
     assert secret_scan.redact_secrets(docs).columns == docs.columns
+    clash = spark.createDataFrame([(1, "token=abcdef123", "f", "b", "r", "c", 1), (1, "token=abcdef123", "f", "b", "r", "c", 1), (None, None, "f", "b", "r", "c", 2)], "doc_id long, text string, found string, _blob string, row string, clean string, blob int")
+    assert Counter(tuple(r) for r in secret_scan.redact_secrets(clash).collect()) == Counter({(1, "[SECRET]", "f", "b", "r", "c", 1): 2, (None, None, "f", "b", "r", "c", 2): 1})
+    assert secret_scan.redact_secrets(clash.limit(0)).count() == 0
