@@ -1,7 +1,8 @@
 """Chat formatting in relational expressions only, and its exact inverse.
 
 Turn structs of a conversation are collected and sorted; adjacent turns of one
-role merge by array aggregation; each message becomes
+role merge (each array element is compared with its neighbours, so the work is linear in the
+turns); each message becomes
 
     <|im_start|>ROLE\\n TEXT <|im_sep|> TEXT ... <|im_end|>\\n
 
@@ -10,8 +11,8 @@ Control strings in a text are escaped reversibly: a backslash doubles, and
 ``<|`` becomes ``<\\|``, so no text can hold ``<|``.  A line end in a role becomes
 ``<\\r>``.
 
-Null texts and roles count as empty.  Turns sort by ``turn``, then role, then
-text, nulls first; repeated rows are turns of their own.  A null ``conv_id`` is a
+Null texts and roles count as empty.  Turns sort by ``turn`` (nulls first), then role, then
+text, as they are before escaping; repeated rows are turns of their own.  A null ``conv_id`` is a
 conversation.  Extra columns are ignored.  A conversation is one row of the
 output, so it is the one thing here that must fit a task.
 """
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 
 #: fixed values: the template's control strings
 START, END, SEAM = "<|im_start|>", "<|im_end|>\n", "<|im_sep|>"
-TURNS = "array<struct<role:string,texts:array<string>>>"
 
 
 def escape(text: Column) -> Column:
@@ -42,24 +42,26 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("<\\r>"), F.lit("\n")))
 
 
-def _merge(done: Column, turn: Column) -> Column:
-    """``turn`` appended to the last message if the role is the same, else as a message of its own."""
-    one = F.array(F.struct(turn["role"].alias("role"), F.array(turn["text"]).alias("texts")))
-    last = F.element_at(done, -1)
-    joined = F.array(F.struct(turn["role"].alias("role"), F.array_append(last["texts"], turn["text"]).alias("texts")))
-    return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["role"] == turn["role"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), joined)).otherwise(F.concat(done, one))
-
-
 def format_chats(turns: DataFrame) -> DataFrame:
     """``conv_id, formatted`` from rows ``conv_id, turn, role, text``."""
-    rows = turns.select(
-        "conv_id",
-        F.struct(F.col("turn"), escape_role(F.coalesce("role", F.lit(""))).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text")).alias("turn"),
-    )
-    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
-    messages = chats.select("conv_id", F.aggregate("turns", F.array().cast(TURNS), _merge).alias("messages"))
-    text = F.transform("messages", lambda m: F.concat(F.lit(START), m["role"], F.lit("\n"), F.array_join(m["texts"], SEAM), F.lit(END)))
-    return messages.select("conv_id", F.array_join(text, "").alias("formatted"))
+    turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    chats = turns.select("conv_id", turn.alias("turn")).groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    other = lambda t, i: F.coalesce(F.get("turns", i)["role"] != t["role"], F.lit(True))  # noqa: E731  no neighbour there, or one of another role
+    open_ = lambda t, i: F.when(other(t, i - 1), F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"))).otherwise(F.lit(SEAM))
+    close = lambda t, i: F.when(other(t, i + 1), F.lit(END)).otherwise(F.lit(""))
+    pieces = F.transform("turns", lambda t, i: F.concat(open_(t, i), escape(t["text"]), close(t, i)))
+    return chats.select("conv_id", F.array_join(pieces, "").alias("formatted"))
+
+
+def starts_of(lengths: str, piece: int = 256) -> Column:
+    """Running sums before each element of an array column, in runs of ``piece`` so that no long array is copied per element."""
+    zero = lambda at: F.struct(at.alias("at"), F.array().cast("array<int>").alias("before"))
+    step = lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["before"], a["at"]).alias("before"))
+    numbers = F.sequence(F.lit(0), (F.size(lengths) / piece).cast("int"))
+    cut = lambda k: F.slice(lengths, k * piece + 1, piece)
+    totals = F.transform(numbers, lambda k: F.struct(k.alias("k"), F.aggregate(cut(k), F.lit(0), lambda a, n: a + n).alias("n")))
+    bases = F.aggregate(totals, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<k:int,at:int>>").alias("runs")), lambda a, t: F.struct((a["at"] + t["n"]).alias("at"), F.array_append(a["runs"], F.struct(t["k"].alias("k"), a["at"].alias("at"))).alias("runs")), lambda a: a["runs"])
+    return F.flatten(F.transform(bases, lambda b: F.aggregate(cut(b["k"]), zero(b["at"]), step, lambda a: a["before"])))
 
 
 def read_chats(formatted: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -67,7 +69,7 @@ def read_chats(formatted: DataFrame, key: str = "conv_id") -> DataFrame:
 
     ``turns``: array of (role, text), unescaped, one per original turn.
     ``loss``: array of (start, length) in code points of ``formatted``: every
-    assistant text, without the template around it.
+    assistant text, without the template around it.  ``learnt``: the texts under that mask, unescaped, one after another.
     """
     blocks = F.transform(
         F.filter(F.split("formatted", r"<\|im_end\|>\n"), lambda b: b != ""),
@@ -93,27 +95,22 @@ def read_chats(formatted: DataFrame, key: str = "conv_id") -> DataFrame:
             ),
         )
     )
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-    masked = F.aggregate(
-        "pieces",
-        zero,
-        lambda a, p: F.struct(
-            (a["at"] + p["before"] + p["n"] + p["after"]).alias("at"),
-            F.when(p["learnt"], F.array_append(a["spans"], F.struct((a["at"] + p["before"]).alias("start"), p["n"].alias("length")))).otherwise(a["spans"]).alias("spans"),
-        ),
-        lambda a: a["spans"],
-    )
-    return read.select(key, "formatted", turns.alias("turns"), pieces.alias("pieces")).select(key, "formatted", "turns", masked.alias("loss"))
+    rows = read.select(key, "formatted", "messages", turns.alias("turns"), pieces.alias("pieces"))
+    rows = rows.select("*", F.transform("pieces", lambda p: p["before"] + p["n"] + p["after"]).alias("lengths"))
+    rows = rows.select("*", F.arrays_zip(F.col("pieces").alias("p"), starts_of("lengths").alias("at")).alias("placed"))
+    loss = F.transform(F.filter("placed", lambda x: x["p"]["learnt"]), lambda x: F.struct((x["at"] + x["p"]["before"]).alias("start"), x["p"]["n"].alias("length")))
+    learnt = F.flatten(F.transform(F.filter("messages", lambda m: m["role"] == "assistant"), lambda m: F.transform(m["texts"], unescape)))
+    return rows.select(key, "formatted", "turns", loss.alias("loss"), F.array_join(learnt, "").alias("learnt"))
 
 
 def chat_digests(turns: DataFrame) -> DataFrame:
     """Digests of what is read back from the formatted output."""
     back = read_chats(format_chats(turns))
-    learnt = F.array_join(F.transform("loss", lambda s: unescape(F.col("formatted").substr(s["start"] + 1, s["length"]))), "")
     return back.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.encode(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), "UTF-8"), 256).alias("turns_sha256"),
-        learnt.alias("learnt"),
+        F.length("learnt").cast("long").alias("loss_chars"),
+        F.sha2(F.encode("learnt", "UTF-8"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
-    ).select("conv_id", "n_turns", "turns_sha256", F.length("learnt").cast("long").alias("loss_chars"), F.sha2(F.encode("learnt", "UTF-8"), 256).alias("loss_sha256"), "formatted_chars")
+    )
