@@ -11,11 +11,12 @@ Positions come from built-in functions: the pieces between matches and the
 matches themselves alternate, so running sums of their lengths give each start.
 
 Null text counts as empty.  Rows that repeat a path and text give equal rows
-again.  Extra columns are ignored; a null path is a path.
+again.  Extra columns are ignored, and pass through ``redact_secrets`` whatever their names; a null path is a path.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +45,10 @@ RULES = (
 )
 LEDGER = "blob string, rule string, version string, spans array<struct<start:int,stop:int>>"
 _SPANS = "array<struct<start:int,stop:int>>"
+#: a row of unseen pairs counts as so many rows of ``store.BROADCAST_ROWS``
+UNSEEN_WEIGHT = 50
+#: scans of the query, one after another against one ledger
+INCREMENTS = 2
 
 
 def spans_of(text: Column, rule: Rule) -> Column:
@@ -91,6 +96,9 @@ class BlobLedger:
             wanted = wanted.withColumn("seen", F.lit(None).cast("array<string>"))
         names = F.array(*[F.lit(f"{r.name}@{r.version}") for r in rules])
         wanted = wanted.withColumn("unseen", F.array_except(names, F.coalesce("seen", F.array().cast("array<string>")))).where(F.size("unseen") > 0).drop("seen")
+        wanted = stage(wanted, "unseen")
+        # few new blobs: no text is shuffled
+        wanted = small(wanted, wanted.count() * UNSEEN_WEIGHT)
         texts = versions.select(F.col(path_col).alias("rep"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         blobs = texts.join(wanted.withColumnRenamed("rep", "r"), F.col("rep").eqNullSafe(F.col("r")))
         # the representative's path may have other versions
@@ -123,8 +131,18 @@ def scan_secrets(docs: DataFrame, path_col: str = "doc_id", text_col: str = "tex
     return paths.join(ledger.findings(rules), "blob", "left").select("path", "blob", F.coalesce("found", empty).alias("found"))
 
 
+def scan_in_increments(docs: DataFrame, path_col: str = "doc_id", text_col: str = "text", increments: int = INCREMENTS, ledger: BlobLedger | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``scan_secrets`` of all rows, which arrive in ``increments`` parts: each scan takes what the ledger lacks by then."""
+    ledger = ledger or BlobLedger(docs.sparkSession)
+    part = F.pmod(F.xxhash64(path_col), F.lit(increments))
+    paths = [ledger.scan(docs.where(part == k), path_col, text_col, rules) for k in range(increments)]
+    empty = F.array().cast("array<struct<start:int,order:int,kind:string,stop:int>>")
+    every = functools.reduce(DataFrame.unionByName, paths)
+    return every.join(ledger.findings(rules), "blob", "left").select("path", "blob", F.coalesce("found", empty).alias("found"))
+
+
 def secret_digests(docs: DataFrame) -> DataFrame:
-    found = scan_secrets(docs)
+    found = scan_in_increments(docs)
     joined = F.array_join(F.transform("found", lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(F.col("path").alias("doc_id"), *[count(r.name) for r in RULES], joined.alias("spans")).withColumn("base_sha256", F.sha2(F.encode("spans", "UTF-8"), 256))
@@ -134,9 +152,11 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", path_col: str = "doc
     """``docs`` with every found span of a text replaced by ``mask``; overlapping spans are replaced as one."""
     ledger = BlobLedger(docs.sparkSession)
     ledger.scan(docs, path_col, text_col)
-    found = small(stage(ledger.findings(), "findings"))
-    keyed = docs.withColumn("_blob", F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256))
-    text = F.col(text_col)
+    found = stage(ledger.findings(), "findings")
+    size = found.agg(F.sum(F.size("found"))).first()[0] or 0
+    # the row as a struct: no column of it can clash with what stands beside it
+    text = F.col("text")
+    held = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"), F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256).alias("blob"))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
 
     def step(a: Column, s: Column) -> Column:
@@ -144,4 +164,5 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", path_col: str = "doc
         return F.struct(F.greatest(a["at"], s["stop"]).alias("at"), F.concat(a["done"], between).alias("done"))
 
     clean = F.aggregate("found", zero, step, lambda a: F.concat(a["done"], text.substr(a["at"] + 1, F.length(text))))
-    return keyed.join(found.withColumnRenamed("blob", "_blob"), "_blob", "left").withColumn(text_col, F.when(F.col("found").isNull(), text).otherwise(clean)).select(*docs.columns)
+    masked = held.join(small(found, size), "blob", "left").select("row", F.when(F.col("found").isNull(), text).otherwise(clean).alias("clean"))
+    return masked.select(*[F.col("clean").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
