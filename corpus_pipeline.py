@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 and read again as the next one's ``docs``; all but the last return the columns of ``docs``.
+
+Null and blank texts stay to the end and are packed as the closing id alone; so do rows
+without an id (they are no near copies of others but of their equals, and no benchmark
+item is sought in them).  Rows that repeat an id are judged by their own texts.  Extra columns,
+whatever their names, pass through.  No documents: no pieces.
 """
 
 from __future__ import annotations
@@ -16,8 +21,8 @@ from isotherm.llm.jaccard_join import keep_one
 from isotherm.llm.packing import best_fit_packing
 from isotherm.llm.queries import tokenizer_path
 from isotherm.llm.secret_scan import redact_secrets
-from isotherm.llm.store import stage
-from isotherm.llm.toxicity import score, train
+from isotherm.llm.store import release, staged_alone
+from isotherm.llm.toxicity import below, train
 
 SHINGLE_WORDS = 5
 SIMILARITY = Fraction(4, 5)
@@ -26,7 +31,7 @@ SIMILARITY = Fraction(4, 5)
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores under one half."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model, score_col="_score").where("_score < 0.5").drop("_score")
+    return below(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,12 +63,16 @@ STAGES = [
     ("best_fit_packing", pack_documents),
 ]
 
-#: classifier and tokenizer are beyond SQL; tests hold the stages against brute force
+#: classifier and tokenizer are beyond SQL; tests hold each stage against a brute-force version
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name)
+        docs = staged_alone(lambda step=step, docs=docs: step(spark, docs, sf_dir), name)
+        if before is not None:
+            release(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
