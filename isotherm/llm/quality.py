@@ -4,10 +4,17 @@ Viterbi decoding marks each line as content or boilerplate; a text is kept if
 its base counts pass and content lines hold at least ``SHARE`` of its words.
 
 The field has one weight per (label, line feature) and per label pair.  It is
-trained by maximum likelihood (forward-backward gradients) on a bounded sample:
-per quality class the ``per_class`` labelled texts of least ``xxhash64(doc_id)``, in one
-task.  Only texts are labelled, so a line's training label is its text's: content if its quality is 1
-(a line that repeats an earlier one is a feature, not a label).  All lines of a sampled text
+trained by maximum likelihood (forward-backward gradients) on a bounded sample of labelled texts
+(``sampling``), in one task.  Only texts are labelled, so lines are labelled by constrained EM:
+
+* a line of fewer than ``SHORT`` words that stands in ``COMMON`` or more different texts of the sample is boilerplate (these lines
+  are part of the model, and being one of them is a feature);
+* other lines of a text of quality 1 are content;
+* lines of a text of quality 0 are latent.  They start as boilerplate where their features are more usual
+  in quality 0 than in quality 1; then, in turns, the field is fitted and they take its Viterbi labels, at least one
+  of them boilerplate (the likeliest), until no label changes or ``TURNS`` are over.
+
+So one text holds lines of both labels, and transitions are learnt.  All lines of a sampled text
 count; sequences longer than ``SEGMENT`` lines are trained in segments and decoded whole.
 
 Null texts have no words, fail the base rule, and are not kept.  Rows that repeat an id get rows of
@@ -16,6 +23,7 @@ their own; extra columns are ignored.  Without labels every line is content.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,15 +32,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from isotherm.llm.sampling import labelled_sample
+
 PER_CLASS = 600
 SEGMENT = 256
+SHORT, COMMON = 16, 3
+TURNS = 6
 SHARE = 0.5
 #: fixed value: characters that count as symbols
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 8
-N_FEATURES = 12
-RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines long, content_share double"
+N_FEATURES = 16
+RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines long, n_boilerplate long, content_share double"
 
 
 # ---- base rules ----------------------------------------------------------------
@@ -75,8 +87,8 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
 # ---- line features ---------------------------------------------------------------
 
 
-def line_masks(text: str) -> tuple[list[int], list[int]]:
-    """For each line with a word: its binary features as a bit mask, and its number of words."""
+def line_masks(text: str, common: frozenset[str] = frozenset()) -> tuple[list[int], list[int]]:
+    """For each line with a word: its binary features as a bit mask, and its number of words; ``common``: lines known from many texts."""
     masks, sizes, seen = [], [], set()
     for line in text.split("\n"):
         words = line.split()
@@ -86,7 +98,7 @@ def line_masks(text: str) -> tuple[list[int], list[int]]:
         chars = len(line)
         symbols = sum(map(line.count, SYMBOLS))
         mask = 1
-        mask |= 2 if n < 4 else 4 if n < 10 else 8
+        mask |= 2 if n < 4 else 4 if n < 10 else 8 if n < 30 else 32768
         if symbols * 10 > chars:
             mask |= 16
         elif symbols:
@@ -103,9 +115,14 @@ def line_masks(text: str) -> tuple[list[int], list[int]]:
             mask |= 1024
         if chars > 12 * n:
             mask |= 2048
+        if line in common:
+            mask |= 16384
         seen.add(line)
         masks.append(mask)
         sizes.append(n)
+    if len(masks) > 3:  # in a shorter text a place says little
+        masks[0] |= 4096
+        masks[-1] |= 8192
     return masks, sizes
 
 
@@ -115,8 +132,15 @@ BITS = (np.arange(1 << N_FEATURES)[:, None] >> np.arange(N_FEATURES)) & 1
 # ---- the field -------------------------------------------------------------------
 
 
-def fit(sequences: list[list[int]], labels: list[list[int]], rounds: int = 150, penalty: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Emission weights (feature, label) and transition weights (label, label)."""
+#: emission weights, transition weights, and the common lines
+Model = tuple[np.ndarray, np.ndarray, frozenset[str]]
+
+
+def fit(sequences: list[list[int]], labels: list[list[int]], start: tuple[np.ndarray, np.ndarray] | None = None, rounds: int = 150, penalty: float = 1e-3, stay: float = 3e-2) -> tuple[np.ndarray, np.ndarray]:
+    """Emission weights (feature, label) and transition weights (label, label), from ``start`` on.
+
+    ``penalty`` and ``stay`` are their L2 penalties; a strong one on transitions keeps a plain line among marked ones content.
+    """
     cut = [(s[i : i + SEGMENT], y[i : i + SEGMENT]) for s, y in zip(sequences, labels, strict=True) for i in range(0, len(s), SEGMENT)]
     if not cut:
         return np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
@@ -132,7 +156,7 @@ def fit(sequences: list[list[int]], labels: list[list[int]], rounds: int = 150,
     gold_e = BITS.T @ counts
     both = real[1:] & real[:-1]
     gold_t = np.bincount((gold[:-1] * 2 + gold[1:])[both], minlength=4).reshape(2, 2).astype(float)
-    we, wt = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
+    we, wt = (x.copy() for x in start) if start else (np.zeros((N_FEATURES, 2)), np.zeros((2, 2)))
     me, ve, mt, vt = np.zeros_like(we), np.zeros_like(we), np.zeros_like(wt), np.zeros_like(wt)
     for r in range(1, rounds + 1):
         e = (BITS @ we)[mask]
@@ -150,7 +174,7 @@ def fit(sequences: list[list[int]], labels: list[list[int]], rounds: int = 150,
         counts = np.stack([np.bincount(mask[real], weights=p[real][:, k], minlength=len(BITS)) for k in (0, 1)], axis=1)
         pair = np.exp(np.minimum(a[:-1, :, :, None] + wt + (e[1:] + b[1:])[:, :, None, :] - z[:, None, None], 0)) * both[..., None, None]
         ge = (gold_e - BITS.T @ counts) / total - penalty * we
-        gt = (gold_t - pair.sum((0, 1))) / total - penalty * wt
+        gt = (gold_t - pair.sum((0, 1))) / total - stay * wt
         me, ve = 0.9 * me + 0.1 * ge, 0.99 * ve + 0.01 * ge**2
         mt, vt = 0.9 * mt + 0.1 * gt, 0.99 * vt + 0.01 * gt**2
         rate = 0.2 / np.sqrt(1 + r / 20)
@@ -159,7 +183,7 @@ def fit(sequences: list[list[int]], labels: list[list[int]], rounds: int = 150,
     return we, wt
 
 
-def viterbi(masks: list[int], table: list[tuple[float, float]], wt: list[list[float]]) -> list[int]:
+def viterbi(masks: list[int], table: list[tuple[float, float]] | dict[int, tuple[float, float]], wt: list[list[float]]) -> list[int]:
     """The likeliest labels, 1 for content; ties go to content."""
     if not masks:
         return []
@@ -179,29 +203,69 @@ def viterbi(masks: list[int], table: list[tuple[float, float]], wt: list[list[fl
     return out[::-1]
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS) -> tuple[np.ndarray, np.ndarray]:
-    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
-    by = [F.xxhash64("id"), F.col("id")]
-    picked = marked.where("label = 1").orderBy(*by).limit(per_class).unionByName(marked.where("label = 0").orderBy(*by).limit(per_class))
-    # at most 2 * per_class ids
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
+def lines_of(text: str) -> list[str]:
+    """Lines with a word, as ``line_masks`` takes them."""
+    return [x for x in text.split("\n") if x.split()]
+
+
+def common_lines(texts: list[str]) -> frozenset[str]:
+    """Short lines in ``COMMON`` or more different texts."""
+    found = Counter(x for t in set(texts) for x in set(lines_of(t)) if len(x.split()) < SHORT)
+    return frozenset(x for x, n in found.items() if n >= COMMON)
+
+
+def fit_lines(texts: list[str], quality: list[int]) -> Model:
+    """Constrained EM: line labels of texts of which only the quality is known, and the field."""
+    common = common_lines(texts)
+    sequences = [line_masks(t, common)[0] for t in texts]
+    fixed = [[0 if x in common else 1 if y else -1 for x in lines_of(t)] for t, y in zip(texts, quality, strict=True)]
+    # how much more usual each mask is in quality 0
+    good, bad = (np.bincount(np.array([m for s, q in zip(sequences, quality, strict=True) if q == y for m in s], dtype=np.int64), minlength=len(BITS)) for y in (1, 0))
+    odds = np.log((bad + 0.5) / max(1, bad.sum())) - np.log((good + 0.5) / max(1, good.sum()))
+
+    def labelled(found: list[int], known: list[int], masks: list[int], score: np.ndarray) -> list[int]:
+        out = [f if k < 0 else k for f, k in zip(found, known, strict=True)]
+        if known and min(known) < 0 and 0 not in out:  # a text of quality 0 has a boilerplate line
+            latent = [i for i, k in enumerate(known) if k < 0]
+            out[max(latent, key=lambda i: score[masks[i]])] = 0
+        return out
+
+    labels = [labelled([int(odds[m] <= 0) for m in s], k, s, odds) for s, k in zip(sequences, fixed, strict=True)]
+    model = None
+    for turn in range(TURNS):
+        model = fit(sequences, labels, model, rounds=150 if turn == 0 else 40)
+        scores = BITS @ model[0]
+        table, wt = [tuple(x) for x in scores.tolist()], model[1].tolist()
+        new = [labelled(viterbi(s, table, wt) if -1 in k else k, k, s, scores[:, 0] - scores[:, 1]) for s, k in zip(sequences, fixed, strict=True)]
+        if new == labels:
+            break
+        labels = new
+    return *model, common
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS) -> Model:
+    sample, _ = labelled_sample(docs, labels, id_col, text_col, label_col, per_class)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["id", "label"]).head(2 * per_class)
-        sequences = [line_masks(t or "")[0] for t in frame["text"]]
-        gold = [[int(y == 1)] * len(s) for s, y in zip(sequences, frame["label"], strict=True)]
-        we, wt = fit(sequences, gold)
-        return pd.DataFrame({"e": [we.reshape(-1).tolist()], "t": [wt.reshape(-1).tolist()]})
+        frame = frame.sort_values(["id", "label", "text"])
+        we, wt, common = fit_lines(frame["text"].tolist(), frame["label"].tolist())
+        return pd.DataFrame({"e": [we.reshape(-1).tolist()], "t": [wt.reshape(-1).tolist()], "common": [sorted(common)]})
 
-    rows = sample.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "e array<double>, t array<double>").collect()
+    rows = sample.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "e array<double>, t array<double>, common array<string>").collect()
     if not rows:
-        return np.tile([-1.0, 1.0], (N_FEATURES, 1)), np.zeros((2, 2))
-    return np.array(rows[0].e).reshape(N_FEATURES, 2), np.array(rows[0].t).reshape(2, 2)
+        return np.tile([-1.0, 1.0], (N_FEATURES, 1)), np.zeros((2, 2)), frozenset()
+    return np.array(rows[0].e).reshape(N_FEATURES, 2), np.array(rows[0].t).reshape(2, 2), frozenset(rows[0].common)
+
+
+def line_labels(text: str, model: Model) -> list[int]:
+    """The field's label of each line with a word: 1 for content."""
+    masks = line_masks(text, model[2])[0]
+    return viterbi(masks, {m: tuple((BITS[m] @ model[0]).tolist()) for m in set(masks)}, model[1].tolist())
 
 
-def judge(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
+def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
     table = [tuple(x) for x in (BITS @ model[0]).tolist()]
-    wt = model[1].tolist()
+    wt, common = model[1].tolist(), model[2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,12 +274,12 @@ def judge(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "
                 text = value.as_py() or ""
                 n, chars, symbols, dup, repeat = base_counts(text)
                 failed = n < 20 or 100 * repeat > 30 * n
-                masks, sizes = line_masks(text)
+                masks, sizes = line_masks(text, common)
                 label = viterbi(masks, table, wt)
                 of = sum(sizes)
                 content = sum(s for s, y in zip(sizes, label, strict=True) if y) / of if of else 0.0
-                rows.append((key, n, chars, symbols, dup, repeat, failed, not failed and content >= share, len(masks), content))
-            types = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.int64(), pa.float64()]
+                rows.append((key, n, chars, symbols, dup, repeat, failed, not failed and content >= share, len(masks), label.count(0), content))
+            types = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.int64()] * 2 + [pa.float64()]
             names = [x.split()[0] for x in RESULT.split(", ")]
             columns = list(zip(*rows, strict=True)) or [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
