@@ -14,6 +14,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+import xxhash
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
@@ -118,12 +119,64 @@ def test_every_link_is_counted(spark):
     assert max(n for _, n in want) > 10 and jaccard_join.jaccard_links(df.limit(0)).count() == 0
 
 
-def test_jaccard_empty_and_keep_one(docs, none):
+def test_a_large_family_is_linked_in_levels(spark):
+    g, base = random.Random(8), words(200, 17).split()
+    rows, chain = [], list(base)
+    for i in range(150):  # near copies, some far enough to hang by one link or by none
+        w = list(base)
+        for _ in range(g.choice([0, 1, 1, 2, 2, 3, 9])):
+            w[g.randrange(len(w))] = f"w{g.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    for i in range(40):  # a chain, each link linked with its neighbours alone
+        chain[5 * i] = f"c{i}"
+        rows.append((200 + i, " ".join(chain)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute_components(rows, 3, Fraction(9, 10))
+    for block in (4, 16):
+        assert Counter(tuple(r) for r in jaccard_join.jaccard_components(df, block=block).collect()) == want
+    assert Counter(tuple(r) for r in jaccard_join.jaccard_components(df, block_tokens=900).collect()) == want
+    assert len({c for _, _, c in want}) > 3
+
+
+def brute_keep(rows, width, t):
+    """Rows that stay: of each group the least (no id, id, text hash); what has no words stays."""
+    sets = [shingle_set(x, width) for _, x in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and t.denominator * len(a & b) >= t.numerator * len(a | b):
+                root[find(i)] = find(j)
+    h = lambda x: int(np.uint64(xxhash.xxh64_intdigest((x or "").encode(), 42)).astype(np.int64))
+    best = {}
+    for i, (k, x) in enumerate(rows):
+        best[find(i)] = min(best.get(find(i), (2,)), (k is None, k or 0, h(x)))
+    kept, seen = Counter(), set()
+    for i, (k, x) in enumerate(rows):
+        if not sets[i]:
+            kept[k, x] += 1
+        elif best[find(i)] == (k is None, k or 0, h(x)) and (find(i), k, x) not in seen:
+            seen.add((find(i), k, x))
+            kept[k, x] += 1
+    return kept
+
+
+def test_jaccard_empty_and_keep_one(spark, docs, none):
     assert jaccard_join.jaccard_components(none).count() == 0
     kept = jaccard_join.keep_one(docs, width=5, threshold=Fraction(4, 5))
     assert kept.columns == docs.columns
-    ids = Counter(r.doc_id for r in kept.collect())
-    assert ids[5] == 1 and 6 not in ids and 7 not in ids and ids[0] == ids[1] == ids[2] == 1 and ids[None] == 1
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == brute_keep([(r.doc_id, r.text) for r in docs.collect()], 5, Fraction(4, 5))
+    # ids that repeat with linked, equal and other texts; rows without an id; columns named as the operator's own
+    a, b, c = words(60, 1), words(60, 2), words(60, 3)
+    rows = [(1, a), (1, b), (2, a), (2, a + " more"), (2, c), (2, c), (None, b), (None, None), (None, ""), (None, words(60, 4)), (None, words(60, 4)), (7, ""), (7, "")]
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id long, text string, gone_id long, gone_hash long, first long, count long").repartition(3)
+    got = jaccard_join.keep_one(df, width=5, threshold=Fraction(4, 5))
+    assert got.columns == df.columns and Counter((r.doc_id, r.text) for r in got.collect()) == brute_keep(rows, 5, Fraction(4, 5))
     assert jaccard_join.keep_one(none).count() == 0
 
 
