@@ -30,7 +30,19 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: rows of an Arrow batch between Spark and Python, where the session sets none: with whole texts the
+#: default of 10,000 takes hundreds of MB beside the heap of an executor
+ARROW_ROWS = 500
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    if _ARROW not in spark.conf.getAll:
+        spark.conf.set(_ARROW, ARROW_ROWS)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
+    small_batches(spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     if not _KEPT:
         atexit.register(_sweep)
