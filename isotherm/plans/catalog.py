@@ -136,19 +136,19 @@ def semi_filter(spark, d):
     return read(spark, d, "lineitem", "l_suppkey").withColumnRenamed("l_suppkey", "unit").join(named, "unit", "left_semi").groupBy("unit").agg(F.count("*").alias("n"))
 
 
-@query("with a as (select c_custkey as id, nullif(c_nationkey % 7, 0) as k from customer), b as (select n_nationkey as v, nullif(n_nationkey, 0) as k from nation where n_nationkey < 5) select id, a.k, v from a left join b on a.k is not distinct from b.k")
-def null_safe_join(spark, d, nations: str = "n_nationkey < 5"):
+@query("with a as (select c_custkey as id, nullif(c_nationkey % 7, 0) as k from customer), b as (select n_nationkey as v, nullif(n_nationkey, 0) as k from nation) select id, a.k, v from a left join b on a.k is not distinct from b.k")
+def null_safe_join(spark, d):
     """JN6, JN7 with missing keys."""
     zero = lambda c: F.when(c != 0, c)
     a = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), zero(F.col("c_nationkey") % 7).alias("k"))
-    b = read(spark, d, "nation").where(nations).select(zero(F.col("n_nationkey")).alias("k"), F.col("n_nationkey").alias("v"))
+    b = read(spark, d, "nation").select(zero(F.col("n_nationkey")).alias("k"), F.col("n_nationkey").alias("v"))
     return panel.null_safe_left(a, b, ["k"])
 
 
-@query(ORACLE_SQL["null_safe_join"].replace(" where n_nationkey < 5", ""))
+@query(ORACLE_SQL["null_safe_join"])
 def null_safe_join_all_nations(spark, d):
-    """JN6, JN7 with every nation."""
-    return null_safe_join(spark, d, "true")
+    """The same as ``null_safe_join``, under its older name."""
+    return null_safe_join(spark, d)
 
 
 # ---- thresholds and frequencies -----------------------------------------------------------
@@ -282,7 +282,9 @@ def last_wins_mosaic(spark, d):
     return zonal.last_wins(read(spark, d, "customer").select((k * 13 % 60).cast("int").alias("lat_i"), (k * 17 % 90).cast("int").alias("lon_i"), k.alias("raster_id")), ["lat_i", "lon_i"], "raster_id")
 
 
-@query()
+@query("""with u as (select s_suppkey as id, cast(s_suppkey * 31 % 340 - 170 as double) as w, cast(s_suppkey * 17 % 160 - 80 as double) as s from supplier)
+  select cast(r as int) as lat_i, cast(c as int) as lon_i, cast(max(id) as int) as raster_id from u, range(360) tc(c), range(181) tr(r)
+  where c - 180.5 <= w + 3.7 and c - 179.5 >= w + 0.2 and 89.5 - r <= s + 2.6 and 90.5 - r >= s + 0.2 group by 1, 2""")
 def burn_units(spark, d):
     """JN17, SF10: rectangles of suppliers onto a one degree grid."""
     k = F.col("s_suppkey")
@@ -375,6 +377,14 @@ def stars(spark, d):
     return read(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_discount").withColumn("stars", scalar.stars("l_discount"))
 
 
+def tail_sql(t: str, df: str) -> str:
+    """Two-sided p of Student's t with whole degrees of freedom, by the finite series in the angle."""
+    a = f"atan(abs({t}) / sqrt({df}))"
+    odd = f"2 / pi() * ({a} + sin({a}) * coalesce(list_sum(list_transform(range(0, cast(({df} - 1) // 2 as bigint)), lambda j: exp(2 * j * ln(2.0) + 2 * lgamma(j + 1.0) - lgamma(2.0 * j + 2)) * cos({a}) ** (2 * j + 1))), 0))"
+    even = f"sin({a}) * list_sum(list_transform(range(0, cast({df} // 2 as bigint)), lambda j: exp(lgamma(2.0 * j + 1) - 2 * j * ln(2.0) - 2 * lgamma(j + 1.0)) * cos({a}) ** (2 * j)))"
+    return f"(1 - case when {df} % 2 = 1 then {odd} else {even} end)"
+
+
 # ---- regression ------------------------------------------------------------------------------------
 
 TREND = f"""{UNITS}, c as (select unit, year, country, y, year - avg(year) over (partition by country) as x from units),
@@ -388,44 +398,50 @@ def country_detrend(spark, d):
     return econometrics.detrend_quadratic(units(spark, d), ["y"], "country", "year").select("unit", "year", r("y", 5).alias("y"))
 
 
-# every supplier has lines in every year, where the short form of the two-way transform is exact;
-# the queries named all_years take the whole panel, the others the years to 2000
-UP_TO_2000 = " where year <= 2000"
-WITHIN = f"{UNITS}, w as (select unit, year, y - avg(y) over (partition by unit) - avg(y) over (partition by year) + avg(y) over () as y, x1 - avg(x1) over (partition by unit) - avg(x1) over (partition by year) + avg(x1) over () as x1 from units where year <= 2000)"
+# every supplier has lines in every year, where the short form of the two-way transform is exact
+WITHIN = f"{UNITS}, w as (select unit, year, y - avg(y) over (partition by unit) - avg(y) over (partition by year) + avg(y) over () as y, x1 - avg(x1) over (partition by unit) - avg(x1) over (partition by year) + avg(x1) over () as x1 from units)"
 
 
-def within(spark, d, all_years: bool = False) -> DataFrame:
-    u = units(spark, d) if all_years else units(spark, d).where("year <= 2000")
+def within(spark, d, panel_: DataFrame | None = None) -> DataFrame:
+    u = units(spark, d) if panel_ is None else panel_
     return econometrics.within_two_ways(u.select("unit", "year", "y", "x1"), ["y", "x1"], "unit", "year")
 
 
-def whole_panel(name: str) -> str:
-    return ORACLE_SQL[name].replace(UP_TO_2000, "")
+def standard_error(v) -> float:
+    return round(float(max(v[0, 0], 0.0)) ** 0.5, 6)
+
+
+def fitted(panel_: DataFrame, rows: Callable[[econometrics.Fit], list[tuple]], schema: str) -> DataFrame:
+    """Rows made of a fit of y on x1; the transformed panel is held while its sums are taken, and no longer."""
+    held = panel_.persist()
+    try:
+        return panel_.sparkSession.createDataFrame(rows(econometrics.Fit(held, "y", ["x1"], "unit", "year")), schema)
+    finally:
+        held.unpersist()
 
 
 @query(f"with {WITHIN} select unit, year, round(y, 6) as y, round(x1, 6) as x1 from w")
-def twoway_within(spark, d, all_years: bool = False):
+def twoway_within(spark, d):
     """WN4."""
-    return within(spark, d, all_years).select("unit", "year", r("y").alias("y"), r("x1").alias("x1"))
+    return within(spark, d).select("unit", "year", r("y").alias("y"), r("x1").alias("x1"))
 
 
-@query(whole_panel("twoway_within"))
+@query(ORACLE_SQL["twoway_within"])
 def twoway_within_all_years(spark, d):
-    """WN4 on the whole panel."""
-    return twoway_within(spark, d, True)
+    """The same query under its older name."""
+    return twoway_within(spark, d)
 
 
 @query(f"with {WITHIN}, b as (select sum(x1*y) / sum(x1*x1) as beta, count(*) as n from w) select round(beta, 6) as beta, n, round((select sum((y - beta*x1) * (y - beta*x1)) from w), 4) as rss from b")
-def fe_ols_beta(spark, d, all_years: bool = False):
+def fe_ols_beta(spark, d):
     """EC3, AG17, AG18."""
-    fit = econometrics.Fit(within(spark, d, all_years), "y", ["x1"], "unit", "year")
-    return spark.createDataFrame([(round(float(fit.beta[0]), 6), fit.n, round(fit.rss, 4))], "beta double, n long, rss double")
+    return fitted(within(spark, d), lambda fit: [(round(float(fit.beta[0]), 6), fit.n, round(fit.rss, 4))], "beta double, n long, rss double")
 
 
-@query(whole_panel("fe_ols_beta"))
+@query(ORACLE_SQL["fe_ols_beta"])
 def fe_ols_beta_all_years(spark, d):
-    """EC3, AG17, AG18 on the whole panel."""
-    return fe_ols_beta(spark, d, True)
+    """The same query under its older name."""
+    return fe_ols_beta(spark, d)
 
 
 @query(f"""with {WITHIN}, b as (select sum(x1*y) / sum(x1*x1) as beta, sum(x1*x1) as xx, count(*) as n, count(distinct unit) as u, count(distinct year) as t from w),
@@ -433,17 +449,15 @@ def fe_ols_beta_all_years(spark, d):
   select 'time' as kind, round(sqrt(mt.m) / xx * sqrt(n / (n - 1 - u - t + 1)), 6) as se from b, mt union all
   select 'unit', round(sqrt(mu.m) / xx * sqrt(n / (n - 1 - u - t + 1)), 6) from b, mu union all
   select 'two_way', round(sqrt(greatest(mu.m + mt.m - mr.m, 0)) / xx * sqrt(n / (n - 1 - u - t + 1)), 6) from b, mu, mt, mr""")
-def cluster_scores(spark, d, all_years: bool = False):
+def cluster_scores(spark, d):
     """AG16, EC4."""
-    fit = econometrics.Fit(within(spark, d, all_years), "y", ["x1"], "unit", "year")
-    rows = [(k, round(float(max(fit.covariance(k)[0, 0], 0.0)) ** 0.5, 6)) for k in ("time", "unit", "two_way")]
-    return spark.createDataFrame(rows, "kind string, se double")
+    return fitted(within(spark, d), lambda fit: [(k, standard_error(fit.covariance(k))) for k in ("time", "unit", "two_way")], "kind string, se double")
 
 
-@query(whole_panel("cluster_scores"))
+@query(ORACLE_SQL["cluster_scores"])
 def cluster_scores_all_years(spark, d):
-    """AG16, EC4 on the whole panel."""
-    return cluster_scores(spark, d, True)
+    """The same query under its older name."""
+    return cluster_scores(spark, d)
 
 
 XYZ = f"{PLACES}, p as (select id, cos(radians(lat)) * cos(radians(lon)) as x, cos(radians(lat)) * sin(radians(lon)) as y, sin(radians(lat)) as z from places)"
@@ -460,21 +474,38 @@ def distance_pairs(spark, d):
 @query(f"""with {WITHIN}, {XYZ}, e as (select unit, sum(x1 * (y - (select sum(x1*y) / sum(x1*x1) from w) * x1)) as s from w group by 1),
   pr as (select a.id as i, b.id as j, greatest(0, 1 - {KM} / 1000) as k from p a join p b on a.id < b.id where {KM} <= 1000 and a.id in (select unit from e) and b.id in (select unit from e)), n as (select count(*) as n from e)
   select round(sqrt(greatest(((select sum(s*s) from e) + coalesce((select 2 * sum(k * x.s * y.s) from pr join e x on x.unit = i join e y on y.unit = j), 0)) * n / (n - 1), 0)) / (select sum(x1*x1) from w), 6) as se, n as n_placed from n""")
-def conley_meat(spark, d, all_years: bool = False):
+def conley_meat(spark, d):
     """EC7: spatial standard error at 1000 km."""
-    fit = econometrics.Fit(within(spark, d, all_years), "y", ["x1"], "unit", "year")
     own = places(spark, d).join(read(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), "id", "left_semi")
-    v, n = fit.conley(econometrics.distance_pairs(own, 1000.0), 1000.0)
-    return spark.createDataFrame([(round(float(max(v[0, 0], 0.0)) ** 0.5, 6), n)], "se double, n_placed long")
 
+    def rows(fit: econometrics.Fit) -> list[tuple]:
+        v, n = fit.conley(econometrics.distance_pairs(own, 1000.0), 1000.0)
+        return [(standard_error(v), n)]
 
-@query(whole_panel("conley_meat"))
+    return fitted(within(spark, d), rows, "se double, n_placed long")
+
+
+@query(ORACLE_SQL["conley_meat"])
 def conley_meat_all_years(spark, d):
-    """EC7 on the whole panel."""
-    return conley_meat(spark, d, True)
+    """The same query under its older name."""
+    return conley_meat(spark, d)
 
 
-@query()
+def _spline_sql() -> str:
+    """The natural cubic spline through four knots, its second derivatives by Cramer's rule."""
+    d1, d2 = ("1 / h0", "-1 / h0 - 1 / h1", "1 / h1", "0"), ("0", "1 / h1", "-1 / h1 - 1 / h2", "1 / h2")
+    second = ", ".join(f"((h1 + h2) / 3 * ({d1[i]}) - h1 / 6 * ({d2[i]})) / det as m1{i}, ((h0 + h1) / 3 * ({d2[i]}) - h1 / 6 * ({d1[i]})) / det as m2{i}" for i in range(4))
+    m = lambda j, i: f"m{j}{i}" if j in (1, 2) else "0"
+    bend = lambda j, i, side, at: f"{m(at, i)} * h{j} * h{j} / 6 * ({side}{j} * {side}{j} * {side}{j} - {side}{j})"
+    piece = lambda i, j: f"{int(i == j)} * l{j} + {int(i == j + 1)} * r{j} + {bend(j, i, 'l', j)} + {bend(j, i, 'r', j + 1)}"
+    columns = ", ".join(f"round(case when x2 <= k[2] then {piece(i, 0)} when x2 <= k[3] then {piece(i, 1)} else {piece(i, 2)} end, 8) as s{i + 1}" for i in range(4))
+    sides = ", ".join(f"(k[{j + 2}] - x2) / h{j} as l{j}, (x2 - k[{j + 1}]) / h{j} as r{j}" for j in range(3))
+    return f"""with {UNITS}, q as (select quantile_cont(x2, [0, 1 / 3, 2 / 3, 1]) as k from (select distinct x2 from units)),
+      h as (select k, k[2] - k[1] as h0, k[3] - k[2] as h1, k[4] - k[3] as h2 from q), a as (select *, (h0 + h1) * (h1 + h2) / 9 - h1 * h1 / 36 as det from h),
+      b as (select *, {second} from a), p as (select unit, year, x2, b.*, {sides} from units, b) select unit, year, {columns} from p"""
+
+
+@query(_spline_sql())
 def spline_basis(spark, d):
     """WN9: the basis at every observation; rows add up to 1."""
     u = units(spark, d)
@@ -524,20 +555,19 @@ def djf_assembly(spark, d):
     return rows.groupBy("cell", "hDate").agg(F.count("*").alias("n"), r(F.sum("value"), 2).alias("total"))
 
 
-PROB = f"{MEMBERS}, lim as (select cell, cast(dayofyear(inidate) as int) as doy, quantile_cont(value, 0.9) as thresh from members where hDate <= 1999 group by 1, 2), pr as (select m.hDate, m.cell, avg(case when value >= thresh then 1.0 else 0.0 end) as prob, count(*) as n from members m left join lim on lim.cell = m.cell and lim.doy = least(dayofyear(inidate), 365) where month(inidate) = 1 group by 1, 2)"
+PROB = f"{MEMBERS}, lim as (select cell, cast(dayofyear(inidate) as int) as doy, quantile_cont(value, 0.9) as thresh from members where hDate <= 1999 group by 1, 2), pr as (select m.hDate, m.cell, avg(case when value >= thresh then 1.0 else 0.0 end) as prob, count(*) as n from members m left join lim on lim.cell = m.cell and lim.doy = least(dayofyear(inidate), 365) group by 1, 2)"
 
 
-def probability(spark, d, floor: bool, all_dates: bool = False) -> DataFrame:
+def probability(spark, d, floor: bool) -> DataFrame:
     m = members(spark, d)
-    scored = m if all_dates else m.where(F.month("inidate") == 1)
     lim = m.where("hDate <= 1999").groupBy("cell", F.dayofyear("inidate").alias("dayofyear")).agg(METHODS["linear"]("value", 90).alias("thresh"))
-    p = ensemble.exceedance_probability(scored, lim, ["cell"], ["hDate"], "value", "inidate", last_day=365, floor=floor)
+    p = ensemble.exceedance_probability(m, lim, ["cell"], ["hDate"], "value", "inidate", last_day=365, floor=floor)
     return p.withColumns({"prob": r("prob"), "log_prob": r("log_prob")})
 
 
 @query(f"with {PROB} select hDate, cell, round(prob, 6) as prob, case when prob > 0 then round(ln(prob), 6) end as log_prob from pr")
 def ensemble_prob(spark, d):
-    """AG19, JN3, SF5 without a floor."""
+    """AG19, JN3, SF5 without a floor; day 366 is held against the limit of day 365."""
     return probability(spark, d, False)
 
 
@@ -547,20 +577,16 @@ def ensemble_prob_floor(spark, d):
     return probability(spark, d, True)
 
 
-# every initial date, so that day 366 is held against the limit of day 365
-JANUARY = " where month(inidate) = 1"
-
-
-@query(ORACLE_SQL["ensemble_prob"].replace(JANUARY, ""))
+@query(ORACLE_SQL["ensemble_prob"])
 def ensemble_prob_all_dates(spark, d):
-    """AG19, JN3, SF5 without a floor, over all initial dates."""
-    return probability(spark, d, False, True)
+    """The same query under its older name."""
+    return probability(spark, d, False)
 
 
-@query(ORACLE_SQL["ensemble_prob_floor"].replace(JANUARY, ""))
+@query(ORACLE_SQL["ensemble_prob_floor"])
 def ensemble_prob_floor_all_dates(spark, d):
-    """AG19 with the floor of one member, over all initial dates."""
-    return probability(spark, d, True, True)
+    """The same query under its older name."""
+    return probability(spark, d, True)
 
 
 @query(f"with {MEMBERS}, e as (select hDate, cell, avg(value) as value from members group by 1, 2) select hDate, cell, round(value, 4) as value, round(value - avg(value) over (partition by cell), 4) as anomaly from e")
@@ -578,7 +604,9 @@ def pointwise_ols(spark, d):
     return fit.select("country", r("slope").alias("slope"), r("stderr").alias("stderr"), "n")
 
 
-@query()
+@query(f"""with {UNITS}, f as (select unit, regr_slope(y, x1) as slope, regr_sxx(y, x1) as sxx, regr_syy(y, x1) as syy, regr_sxy(y, x1) as sxy, count(*) as n from units group by 1 having count(*) >= 2),
+  e as (select unit, slope, n, case when n > 2 then slope / sqrt((1 - sxy*sxy/(sxx*syy)) * syy / sxx / (n - 2)) end as t from f), p as (select unit, slope, {tail_sql("t", "(n - 2)")} as p from e)
+  select unit, case when p <= 0.05 then round(slope, 6) end as slope, round(p, 6) as p_value, round(exp(case when p <= 0.05 then slope end), 6) as risk_ratio from p""")
 def significance_filter(spark, d):
     """FL12, SF11, SF16."""
     fit = ensemble.pointwise_ols(units(spark, d), ["unit"], "x1", "y")
@@ -603,7 +631,17 @@ def hemisphere_stitch(spark, d):
     return ensemble.stitch_hemispheres(p.withColumn("side", F.lit("north")), p.withColumn("side", F.lit("south")))
 
 
-@query()
+_S_LAT = 800.0 / ensemble.KM_PER_LAT / 10.0
+_R_LAT = int(4 * _S_LAT + 0.5)
+
+
+@query(f"""with g as (select cast(c_custkey % 19 as int) as lat_i, cast(c_custkey % 36 as int) as lon_i, avg(c_acctbal) as value from customer group by 1, 2),
+  v as (select o, exp(-0.5 * (o / {_S_LAT}::double) ** 2) / sum(exp(-0.5 * (o / {_S_LAT}::double) ** 2)) over () as w from range({-_R_LAT}, {_R_LAT + 1}) t(o)),
+  a as (select j as lat_i, lon_i, sum(value * w) as value from range(19) t(j), v, g where lat_i = least(greatest(j + o, 0), 18) group by 1, 2),
+  p as (select j as lat_i, least({800.0 / ensemble.KM_PER_LON / 10.0}::double / greatest(cos(radians(90 - j * 10.0::double)), 0.05::double), {max(3 * _S_LAT, 200.0)}::double) as s from range(19) t(j)),
+  h as (select lat_i, o, exp(-0.5 * (o / s) ** 2) / sum(exp(-0.5 * (o / s) ** 2)) over (partition by lat_i) as w from p, range(-900, 901) t(o) where abs(o) <= cast(floor(4 * s + 0.5) as int)),
+  b as (select a.lat_i, ((a.lon_i + o) % 36 + 36) % 36 as lon_i, sum(value * w) as value from a join h using (lat_i) group by 1, 2)
+  select 0 as hDate, cast(lat_i as int) as lat_i, cast(lon_i as int) as lon_i, round(b.value, 4) as value from b semi join g using (lat_i, lon_i)""")
 def smooth_kernel(spark, d):
     """WN5, WN6, SF15: a Gaussian of 800 km on a coarse grid."""
     k = F.col("c_custkey")
