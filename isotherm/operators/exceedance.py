@@ -12,13 +12,15 @@ from isotherm.functions.percentile import METHODS
 def thresholds(daily: DataFrame, cell: list[str], value: str, date: str, years: tuple[int, int], load_months: list[int], season_months: list[int], percent: float = 95.0, half_width: int = 7, method: str = "nearest", to: str = "threshold") -> DataFrame:
     """``cell..., doy, threshold``: percentile of all values within ``half_width`` calendar days, over all years.
 
-    Target days are the calendar days seen in a season month in any year.  The
-    window is an explode and an equi-grouping, so no band join is planned;
+    Target days are the calendar days seen in a season month in any year.  Values
+    are shuffled once, by cell; the window is an explode and an equi-grouping within the cell's
+    partition, so no band join is planned and no copy of a value is sent;
     nulls leave before it.  One percentile group holds years x (2 half_width + 1) values.
     """
     base = daily.where(F.year(date).between(*years) & F.month(date).isin(load_months)).withColumn("doy", F.dayofyear(date))
     targets = base.where(F.month(date).isin(season_months)).select(F.col("doy").alias("target_doy")).distinct()
-    pooled = pooled_days(base.where(F.col(value).isNotNull()).select(*cell, "doy", value), "doy", half_width)
+    held = base.where(F.col(value).isNotNull()).select(*cell, "doy", value).repartition(*cell)
+    pooled = pooled_days(held, "doy", half_width)
     kept = pooled.join(F.broadcast(targets), "target_doy", "left_semi")  # at most 366 rows
     return kept.groupBy(*cell, F.col("target_doy").alias("doy")).agg(METHODS[method](value, percent).alias(to))
 
@@ -48,6 +50,11 @@ def mean_frequency(freq: DataFrame, cell: list[str], n_years: int, value: str =
     return freq.groupBy(*cell).agg(F.when(F.count(value) == n_years, F.avg(value)).alias("mean_freq"))
 
 
+def on_land(df: DataFrame, mask: DataFrame, cell: list[str], flag: str = "topo", land: int = 1) -> DataFrame:
+    """Rows of ``df`` in cells that the mask calls land; cells that it lacks are none.  The mask joins as its size allows."""
+    return df.join(mask.where(F.col(flag) == land).select(*cell), cell, "left_semi")
+
+
 def valid_cells(df: DataFrame, cell: list[str], value: str) -> DataFrame:
     """Cells with a value on any day, and how many days."""
     return df.groupBy(*cell).agg(F.count(value).alias("n_valid")).where("n_valid > 0")

@@ -95,15 +95,29 @@ def require_sample(df: DataFrame, unit: str, rows: int = 1000, units: int = 50)
     return found.rows >= rows and found.units >= units
 
 
+CONTROLS = ["annual_temp_c", "annual_precip_mm"]
+
+
 def assemble(heat: DataFrame, growth: DataFrame, controls: DataFrame | None, unit: str = "GID_2", lag: int = 0) -> DataFrame:
-    """Heat with growth (``lag`` years on) and controls; terciles before rows without controls leave; squares."""
+    """Heat with growth (``lag`` years on) and controls; terciles before rows without controls leave; the square of temperature.
+
+    Without a table of controls their columns are there and NULL.  Years are named ``year``, or already ``year_heat`` and ``year_gdp``.
+    """
     base = heat.withColumnRenamed("year", "year_heat") if "year" in heat.columns else heat
     panel = lead_join(base, growth.withColumnRenamed("year", "year_gdp") if "year" in growth.columns else growth, unit, lead=lag)
     panel = panel.na.drop(subset=["admin2_growth", "heat_freq_weighted"])
     if "gdp_per_capita" in panel.columns:
         panel = terciles(panel, unit, "gdp_per_capita", "income_tercile")
-    if controls is not None:
-        c = controls.select(unit, F.col("year").alias("year_heat"), "annual_temp_c", "annual_precip_mm")
-        panel = panel.join(c, [unit, "year_heat"], "left").na.drop(subset=["annual_temp_c", "annual_precip_mm"])
-        panel = panel.withColumn("annual_temp_sq", F.col("annual_temp_c") * F.col("annual_temp_c"))
-    return panel
+    if controls is None:
+        return panel.withColumns({c: F.lit(None).cast("double") for c in [*CONTROLS, "annual_temp_c_sq"]})
+    c = controls.select(unit, F.col("year").alias("year_heat"), *CONTROLS)
+    panel = panel.join(c, [unit, "year_heat"], "left").na.drop(subset=CONTROLS)
+    return panel.withColumn("annual_temp_c_sq", F.col("annual_temp_c") * F.col("annual_temp_c"))
+
+
+def monotonic_steps(df: DataFrame, order: str, value: str, by: list[str] = ()) -> DataFrame:
+    """``by..., monotonic``: whether the values, in order, never fall or never rise."""
+    step = F.col(value) - F.lag(value).over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(order))
+    steps = df.select(*by, step.alias("step"))
+    never = F.coalesce(F.bool_and(F.col("step") >= 0) | F.bool_and(F.col("step") <= 0), F.lit(True)).alias("monotonic")
+    return steps.groupBy(*by).agg(never) if by else steps.agg(never)

@@ -16,6 +16,7 @@ from isotherm.functions import calendar, grid, scalar
 from isotherm.functions.percentile import METHODS
 from isotherm.operators import econometrics, ensemble, exceedance, panel, zonal
 from isotherm.plans import specs
+from isotherm.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -249,6 +250,38 @@ def zonal_plain(spark, d):
     return zonal.zonal(cells(spark, d).withColumnRenamed("lat_i", "unit"), ["unit"], "value").withColumn("mean", r("mean", 4))
 
 
+@query(f"""with {CELLS}, z as (select lat_i as unit, value as t, case when lon_i % 4 <> 0 then lon_i / 10.0::double end as p from cells)
+  select unit, round(avg(t), 4) as t, round(avg(p), 4) as p, cast(count(t) as int) as n_cells from z group by 1 having count(t) > 0""")
+def zonal_two_values(spark, d):
+    """AG6 of two values, each over its own valid cells."""
+    z = cells(spark, d).select(F.col("lat_i").alias("unit"), F.col("value").alias("t"), F.when(F.col("lon_i") % 4 != 0, F.col("lon_i") / 10.0).alias("p"))
+    return zonal.two_zonal(z, ["unit"], "t", "p").withColumns({"t": r("t", 4), "p": r("p", 4)})
+
+
+@query(f"with {CELLS}, k as (select lat_i, lon_i, case when (lat_i + 2 * lon_i) % 3 = 0 then 0 else 1 end as topo from cells where lat_i < 50 group by 1, 2), s as (select lat_i, round(sum(value), 2) as total, count(*) as n from cells semi join (select * from k where topo = 1) using (lat_i, lon_i) group by 1) select * from s")
+def land_mask(spark, d):
+    """SC11, FL11: cells that a mask calls land; a cell outside the mask is none."""
+    c = cells(spark, d)
+    mask = c.where("lat_i < 50").select("lat_i", "lon_i", F.when((F.col("lat_i") + 2 * F.col("lon_i")) % 3 == 0, 0).otherwise(1).alias("topo")).distinct()
+    return exceedance.on_land(c, mask, ["lat_i", "lon_i"]).groupBy("lat_i").agg(r(F.sum("value"), 2).alias("total"), F.count("*").alias("n"))
+
+
+@query(f"with {CELLS} select lat_i, lon_i, count(value) as n_valid from cells group by 1, 2 having count(value) > 0")
+def valid_cells(spark, d):
+    """AG27, FL17, FL3: cells with any value, and how many."""
+    return exceedance.valid_cells(cells(spark, d), ["lat_i", "lon_i"], "value")
+
+
+@query(f"with {DAILY}, t as (select cast(cell as int) as lat_i, date, cast(value as float) as v, year(date) as y, month(date) as m from daily where cell between 3 and 15) select lat_i, cast(y + (case when m >= 11 then 1 else 0 end) as int) as season_year, count(*) as n, round(sum(v::double), 0) as total from t where m in (11, 12, 1, 2) and y + (case when m >= 11 then 1 else 0 end) between 1996 and 1998 group by 1, 2")
+def partitioned_scan(spark, d):
+    """SC1 to SC3, SK1: daily cells written by year and month, and a season of some years and rows read back; other months are never opened."""
+    path = tables.scratch_table(spark, "tmax_daily")
+    long = daily(spark, d).select(F.col("cell").cast("int").alias("lat_i"), F.lit(0).alias("lon_i"), "date", F.col("value").cast("float").alias("t2m_k"), F.year("date").alias("year"), F.month("date").alias("month"))
+    tables.write_partitioned(long, path, ["year", "month"])
+    season = tables.read_season(spark, path, (1996, 1998), [11, 12, 1, 2], box=(3, 15, 0, 0))
+    return season.groupBy("lat_i", "season_year").agg(F.count("*").alias("n"), r(F.sum("t2m_k"), 0).alias("total"))
+
+
 @query("select cast(y as int) as year, cast(case when y <= 2002 then 2000 when y <= 2007 then 2005 when y <= 2012 then 2010 when y <= 2017 then 2015 when y <= 2022 then 2020 else 2025 end as int) as epoch from range(1998, 2030) t(y)")
 def epoch_map(spark, d):
     """JN5."""
@@ -517,25 +550,173 @@ def study(spark, d) -> specs.Study:
     u = units(spark, d).withColumn("residual", F.col("y") - F.col("x2"))
     table = panel.terciles(u, "unit", "level", "income_tercile").select("unit", "year", "country", F.col("y").alias("growth"), "x1", "x2", "residual", "income_tercile")
     own = places(spark, d).join(read(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), "id", "left_semi").withColumnRenamed("id", "unit")
-    return specs.Study(table.persist(), own.persist(), y="growth", heat="x1", unit="unit", year="year", country="country")
+    out = specs.Study(table, own, y="growth", heat="x1", unit="unit", year="year", country="country")
+    out.panel, out.places = out.hold(table), out.hold(own)
+    return out
+
+
+CONTROL_SETS = {"bare": [], "full": ["x2"]}
 
 
 @query()
 def regression_table(spark, d):
-    """EC8 to EC14, EC16, PJ11: the tidy table of all specifications."""
-    return specs.regression_table(study(spark, d), {"full": ["x2"]})
+    """EC8 to EC14, EC16, PJ11, AG23 to AG25, ST5, PJ5, FL10: both control sets, every specification and the lags, as one tidy table."""
+    u = units(spark, d)
+    heat = u.select("unit", "year", "country", "x1", "x2")
+    return specs.regression_table(study(spark, d), CONTROL_SETS, heat=heat, growth=u.select("unit", F.col("year").alias("year_gdp"), F.col("y").alias("growth")))
 
 
-@query()
+# Regressions in SQL.  Trends per country, two-way effects (balanced panels), one control projected out, then
+# one regressor: its standard errors are plain sums.
+
+
+def _fit_sql(n: str, source: str, y: str, x: str, control: str | None) -> str:
+    """CTEs ``n_p`` (unit, year, y, x) without trends, effects and control, and ``n_b`` (beta and counts)."""
+    cols = dict.fromkeys([y, x, *([control] if control else [])])
+    moments = ", ".join(f"sum({c}) as b0{c}, sum(t*{c}) as b1{c}, sum(t*t*{c}) as b2{c}" for c in cols)
+    curves = ", ".join(f"(b2{c} - s2*b0{c}/n - s3*b1{c}/s2) / (s4 - s2*s2/n - s3*s3/s2) as q{c}" for c in cols)
+    rest = ", ".join(f"{c} - (b0{c} - s2*q{c})/n - (b1{c} - s3*q{c})/s2*t - q{c}*t*t as {c}" for c in cols)
+    effects = ", ".join(f"{c} - avg({c}) over (partition by unit) - avg({c}) over (partition by year) + avg({c}) over () as {c}" for c in cols)
+    out = lambda c: f"{c} - {control} * (select sum({c}*{control}) / sum({control}*{control}) from {n}_w)" if control else c
+    return f"""{n}_c as (select *, year - avg(year) over (partition by country) as t from {source}),
+      {n}_m as (select country, count(*) as n, sum(t*t) as s2, sum(t*t*t) as s3, sum(t*t*t*t) as s4, {moments} from {n}_c group by 1),
+      {n}_k as (select *, {curves} from {n}_m), {n}_d as (select unit, year, {rest} from {n}_c join {n}_k using (country)), {n}_w as (select unit, year, {effects} from {n}_d),
+      {n}_p as (select unit, year, {out(y)} as y, {out(x)} as x, {y} as whole from {n}_w),
+      {n}_e as (select unit, year, x, y - x * (select sum(x*y) / sum(x*x) from {n}_p) as e, whole from {n}_p),
+      {n}_b as (select (select sum(x*y) / sum(x*x) from {n}_p) as beta, sum(x*x) as xx, 1 - sum(e*e) / sum(whole*whole) as r2, count(*) as n, count(distinct unit) as u, count(distinct year) as ys, {1 + bool(control)} as k from {n}_e),
+      {n}_u as (select unit, sum(x*e) as s from {n}_e group by 1), {n}_t as (select sum(x*e) as s, row_number() over (order by year) as i from {n}_e group by year)"""
+
+
+_PAIRS = f"pairs as (select a.id as i, b.id as j, {KM} as km from p a join p b on a.id < b.id where {KM} <= 1000)"
+
+
+def _rows_sql(n: str, spec: str, depvar: str, variable: str, kinds: list[str]) -> str:
+    meats = {
+        "clustered_entity": f"(select sum(s*s) from {n}_u)", "clustered_time": f"(select sum(s*s) from {n}_t)",
+        "driscoll_kraay": f"((select sum(s*s) from {n}_t) + 2 * (select coalesce(sum((1 - (b.i - a.i) / 6) * a.s * b.s), 0) from {n}_t a join {n}_t b on b.i - a.i between 1 and 5))",
+    }
+    meats["clustered_two_way"] = f"({meats['clustered_entity']} + {meats['clustered_time']} - (select sum(x*e*x*e) from {n}_e))"
+    out = []
+    for kind in kinds:
+        if kind.startswith("conley"):
+            cut = float(kind.split("_")[1])
+            var = f"({meats['clustered_entity']} + 2 * coalesce((select sum((1 - km / {cut}) * a.s * b.s) from pairs join {n}_u a on a.unit = i join {n}_u b on b.unit = j where km <= {cut}), 0)) * u / (u - 1)"
+            df = "(n - u - k)"
+        else:
+            var, df = f"{meats[kind]} * n / (n - k - u - ys + 1)", "(n - k - u - ys + 1)"
+        out.append(f"select '{spec}' as spec, '{depvar}' as depvar, '{variable}' as variable, '{kind}' as se_type, beta, sqrt({var}) / xx as se, r2, n, u, {df} as df from {n}_b")
+    return " union all ".join(out)
+
+
+def _tidy_sql(rows: str) -> str:
+    return f"select spec, depvar, variable, se_type, round(beta, 6) as beta, round(se, 6) as se, round(beta / se, 4) as tstat, round({tail_sql('beta / se', 'df')}, 6) as pval, round(r2, 6) as r2_within, cast(n as int) as n_obs, cast(u as int) as n_entities from ({rows})"
+
+
+def _tidy(results: DataFrame) -> DataFrame:
+    return results.withColumns({"beta": r("beta"), "se": r("se"), "tstat": r("tstat", 4), "pval": r("pval"), "r2_within": r("r2_within")})
+
+
+_SETS = [("bare", None), ("full", "x2")]
+_MAIN = ", ".join(_fit_sql(f"{name}_{y}", "st", y, "x1", c) for name, c in _SETS for y in ("growth", "residual"))
+_ALL_KINDS = ["clustered_entity", "clustered_time", "clustered_two_way", "driscoll_kraay", "conley_250", "conley_500", "conley_1000"]
+_MAIN_ROWS = " union all ".join(
+    _rows_sql(f"{name}_{y}", f"{name}_{spec}", y, "x1", kinds) for name, _ in _SETS for spec, y, kinds in (("baseline", "growth", ["clustered_entity", "conley_500"]), ("se_comparison", "growth", _ALL_KINDS), ("residual_dv", "residual", ["clustered_entity", "conley_500"]))
+)
+
+
+@query(f"with {UNITS}, {XYZ}, {_PAIRS}, st as (select unit, year, country, y as growth, x1, x2, y - x2 as residual from units), {_MAIN} {_tidy_sql(_MAIN_ROWS)}")
+def regression_main(spark, d):
+    """EC4, EC5, EC7 to EC9, EC13, EC16: baseline, seven standard errors and the other outcome, under both control sets."""
+    chosen = [specs.baseline, specs.standard_errors, specs.residual_outcome]
+    return _tidy(specs.regression_table(study(spark, d), CONTROL_SETS, chosen))
+
+
+@query(f"""with {UNITS}, {XYZ}, {_PAIRS}, l0 as (select unit, year, country, x1, y as growth from units), l1 as (select h.unit, h.year, h.country, h.x1, g.y as growth from units h join units g on g.unit = h.unit and g.year = h.year + 1),
+  {_fit_sql("f0", "l0", "growth", "x1", None)}, {_fit_sql("f1", "l1", "growth", "x1", None)}
+  {_tidy_sql(_rows_sql("f0", "contemporaneous", "growth", "x1", ["clustered_entity", "conley_500"]) + " union all " + _rows_sql("f1", "lead_1", "growth", "x1", ["clustered_entity", "conley_500"]))}""")
 def lag_structure(spark, d):
     """EC15."""
     s = study(spark, d)
-    u = units(spark, d).persist()
-    rows = specs.lags(
-        specs.Study(s.panel, s.places, y="growth", heat="x1", unit="unit", year="year_heat", country="country"),
-        u.select("unit", F.col("year").alias("year_heat"), "country", "x1"), u.select("unit", F.col("year").alias("year_gdp"), F.col("y").alias("growth")),
-    )
-    return spark.createDataFrame([(*x[:9], int(x[9]), int(x[10])) for x in rows], specs.SCHEMAS["results"])
+    u = units(spark, d)
+    s.year = "year_heat"
+    rows = specs.lags(s, u.select("unit", F.col("year").alias("year_heat"), "country", "x1"), u.select("unit", F.col("year").alias("year_gdp"), F.col("y").alias("growth")))
+    s.close()
+    return _tidy(specs.tidy(spark, rows))
+
+
+KINDS = f"""{WITHIN}, b as (select sum(x1*y) / sum(x1*x1) as beta, sum(x1*x1) as xx, count(*) as n, count(distinct unit) as u, count(distinct year) as t from w),
+  e as (select unit, year, x1, y - beta*x1 as e from w, b), h as (select sum(x1*e) as s, row_number() over (order by year) as i from e group by year)"""
+
+
+@query(f"""with {KINDS} select 'kernel' as kind, round(sqrt(((select sum(s*s) from h) + 2 * (select sum((1 - (b.i - a.i) / 6) * a.s * b.s) from h a join h b on b.i - a.i between 1 and 5)) * n / (n - u - t)) / xx, 6) as se from b
+  union all select 'robust', round(sqrt((select sum(x1*e*x1*e) from e) * n / (n - u - t)) / xx, 6) from b union all select 'unadjusted', round(sqrt((select sum(e*e) from e) / (n - u - t) / xx), 6) from b""")
+def covariance_kinds(spark, d):
+    """EC5, EC6: kernel over years, robust and unadjusted."""
+    return fitted(within(spark, d), lambda fit: [(k, standard_error(fit.covariance(k))) for k in ("kernel", "robust", "unadjusted")], "kind string, se double")
+
+
+# supplier-years with small mean discounts count as not observed: an unbalanced panel
+SEEN = "x1 >= 0.47"
+_ROUNDS = 14
+
+
+def _projected_sql() -> str:
+    """Unit means and year means out in turns until nothing is left of either: the two-way residuals of any panel."""
+    steps = [f"{UNITS}, w0 as (select unit, year, y, x1 from units where {SEEN})"]
+    for i in range(2 * _ROUNDS):
+        by = "unit" if i % 2 == 0 else "year"
+        steps.append(f"w{i + 1} as (select unit, year, y - avg(y) over (partition by {by}) as y, x1 - avg(x1) over (partition by {by}) as x1 from w{i})")
+    return ", ".join(steps)
+
+
+@query(f"with {_projected_sql()} select unit, year, round(y, 5) as y, round(x1, 5) as x1 from w{2 * _ROUNDS}")
+def twoway_within_unbalanced(spark, d):
+    """WN4 where units lack years."""
+    u = within(spark, d, units(spark, d).where(SEEN))
+    return u.select("unit", "year", r("y", 5).alias("y"), r("x1", 5).alias("x1"))
+
+
+@query(f"with {_projected_sql()}, b as (select sum(x1*y) / sum(x1*x1) as beta, count(*) as n from w{2 * _ROUNDS}) select round(beta, 5) as beta, n from b")
+def fe_ols_unbalanced(spark, d):
+    """EC3 where units lack years."""
+    return fitted(within(spark, d, units(spark, d).where(SEEN)), lambda fit: [(round(float(fit.beta[0]), 5), fit.n)], "beta double, n long")
+
+
+_HEAT = "heat as (select unit as GID_2, country as iso3, year, case when x1 >= 0.42 then x1 end as heat_freq_weighted, level as gdp_per_capita from units)"
+
+
+@query(f"""with {UNITS}, {_HEAT}, j as (select h.GID_2, h.iso3, h.year as year_heat, g.year as year_gdp, heat_freq_weighted, gdp_per_capita, g.y as admin2_growth from heat h join units g on g.unit = h.GID_2 and g.year = h.year where heat_freq_weighted is not null and g.y is not null),
+  m as (select GID_2, median(gdp_per_capita) as v from j group by 1), e as (select quantile_cont(v, 1 / 3) as a, quantile_cont(v, 2 / 3) as b from m), t as (select GID_2, case when v > b then 'high' when v > a then 'mid' else 'low' end as income_tercile from m, e)
+  select j.GID_2, year_heat, year_gdp, income_tercile, round(heat_freq_weighted, 6) as heat_freq_weighted, round(admin2_growth, 6) as admin2_growth, round(c.x2, 6) as annual_temp_c, round(c.x2 * c.x2, 6) as annual_temp_c_sq
+  from j join t using (GID_2) join units c on c.unit = j.GID_2 and c.year = year_heat where c.x2 >= 2.3""")
+def panel_assembly(spark, d):
+    """EC1, JN9, JN10, FL15, PJ13, SO1: heat, growth and controls as one panel; units and rows must suffice."""
+    u = units(spark, d)
+    heat = u.select(F.col("unit").alias("GID_2"), F.col("country").alias("iso3"), "year", F.when(F.col("x1") >= 0.42, F.col("x1")).alias("heat_freq_weighted"), F.col("level").alias("gdp_per_capita"))
+    growth = u.select(F.col("unit").alias("GID_2"), "year", F.col("y").alias("admin2_growth"))
+    controls = u.select(F.col("unit").alias("GID_2"), "year", F.when(F.col("x2") >= 2.3, F.col("x2")).alias("annual_temp_c"), F.lit(1.0).alias("annual_precip_mm"))
+    out = panel.assemble(heat, growth, controls)
+    if not panel.require_sample(out, "GID_2", rows=100, units=10):
+        raise ValueError("the panel has too few rows or units")
+    own = out.select("GID_2", "year_heat", "year_gdp", "income_tercile", *[r(c).alias(c) for c in ("heat_freq_weighted", "admin2_growth", "annual_temp_c", "annual_temp_c_sq")])
+    return tables.sorted_panel(own, "GID_2", "year_heat")
+
+
+@query(f"with {UNITS}, q as (select country, year, avg(y) as y from units group by 1, 2), s as (select country, y - lag(y) over (partition by country order by year) as d from q) select country, coalesce(bool_and(d >= 0) or bool_and(d <= 0), true) as monotonic from s group by 1")
+def monotonic_test(spark, d):
+    """AG25: do the values of a group, in order, never fall or never rise?"""
+    means = units(spark, d).groupBy("country", "year").agg(F.avg("y").alias("y"))
+    return panel.monotonic_steps(means, "year", "y", ["country"])
+
+
+@query("""with p as (select l_linenumber as line, avg(l_discount) as b, avg(l_tax) / 10 as s, count(*) as n from lineitem group by 1)
+  select 'mean' as spec, 'line ' || line as variable, 'none' as se_type, case when b >= 0 then '+' else '' end || printf('%.5f', b) as beta, case when s >= 0 then '+' else '' end || printf('%.5f', s) as se,
+  case when s < 0.001 then '***' when s < 0.01 then '**' when s < 0.05 then '*' when s < 0.1 then '+' else '' end as stars, cast(n as int) as n_obs, 7 as n_entities from p""")
+def report_table(spark, d):
+    """SK8, SF14, SF13: numbers with fixed decimals and stars, as the console report has them."""
+    p = read(spark, d, "lineitem", "l_linenumber", "l_discount", "l_tax").groupBy("l_linenumber").agg(F.avg("l_discount").alias("beta"), (F.avg("l_tax") / 10).alias("se"), F.count("*").cast("int").alias("n_obs"))
+    rows = p.select(F.lit("mean").alias("spec"), F.concat(F.lit("line "), "l_linenumber").alias("variable"), F.lit("none").alias("se_type"), "beta", "se", F.col("se").alias("pval"), "n_obs", F.lit(7).alias("n_entities"))
+    return specs.report_lines(rows)
 
 
 # ---- ensembles -----------------------------------------------------------------------------------------

@@ -6,9 +6,10 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isotherm.functions.scalar import stars
 from isotherm.operators.econometrics import Fit, detrend_quadratic, distance_pairs, spline_basis, spline_knots, wald, within_two_ways
 from isotherm.operators.panel import dummies, lead_join, qcut
 from isotherm.schemas import SCHEMAS
@@ -31,19 +32,30 @@ class Study:
     country: str = "iso3"
     dof: str = "debiased"
     _pairs: DataFrame | None = None
+    _held: list[DataFrame] = field(default_factory=list)
+
+    def hold(self, df: DataFrame) -> DataFrame:
+        """``df`` persisted until ``close``."""
+        self._held.append(df.persist())
+        return self._held[-1]
+
+    def close(self) -> None:
+        while self._held:
+            self._held.pop().unpersist()
+        self._pairs = None
 
     def pairs(self) -> DataFrame:
         """All pairs within the largest cutoff, found once for the study."""
         if self._pairs is None:
-            self._pairs = distance_pairs(self.places, max(CUTOFFS), key=self.unit).persist()
+            self._pairs = self.hold(distance_pairs(self.places, max(CUTOFFS), key=self.unit))
         return self._pairs
 
     def fit(self, x: list[str], panel: DataFrame | None = None, y: str | None = None, min_norm: bool = False) -> Fit:
         """Country trends out, rows with a gap out, unit and year effects out, least squares; in this order."""
         y = y or self.y
         df = (self.panel if panel is None else panel).select(self.unit, self.year, self.country, y, *x)
-        df = detrend_quadratic(df, [y, *x], self.country, self.year).na.drop(subset=[y, *x]).drop(self.country)
-        return Fit(within_two_ways(df, [y, *x], self.unit, self.year).persist(), y, x, self.unit, self.year, min_norm)
+        df = self.hold(detrend_quadratic(df, [y, *x], self.country, self.year).na.drop(subset=[y, *x]).drop(self.country))
+        return Fit(self.hold(within_two_ways(df, [y, *x], self.unit, self.year)), y, x, self.unit, self.year, min_norm)
 
     def conley_rows(self, fit: Fit, spec: str, cutoff: float = 500.0, report: list[str] | None = None) -> list[Row]:
         v, n = fit.conley(self.pairs(), cutoff)
@@ -96,7 +108,10 @@ def bins(s: Study, n: int = 5) -> list[Row]:
     cut = dummies(qcut(s.panel, s.heat, n, "bin", duplicates="drop"), "bin", list(range(2, n + 1)), "bin_")
     names = [f"bin_{k}" for k in range(2, n + 1)]
     fit = s.fit([*names, *s.controls], cut)
-    return fit.rows("bins", fit.covariance("unit", s.dof), "clustered_entity", report=names) + s.conley_rows(fit, "bins", report=names)
+    out = fit.rows("bins", fit.covariance("unit", s.dof), "clustered_entity", report=names) + s.conley_rows(fit, "bins", report=names)
+    b = dict(zip(fit.x, fit.beta, strict=True))
+    nan = float("nan")
+    return [*out, ("bins", s.y, "monotonic", "none", float(monotonic([b[k] for k in names if k in b])), nan, nan, nan, fit.r2, fit.n, fit.n_units)]
 
 
 def monotonic(values: list[float]) -> bool:
@@ -135,13 +150,26 @@ def lags(s: Study, heat: DataFrame, growth: DataFrame) -> list[Row]:
 SPECS: list[Callable[[Study], list[Row]]] = [baseline, standard_errors, spline, quadratic, bins, residual_outcome, by_income]
 
 
+def tidy(spark: SparkSession, rows: list[Row]) -> DataFrame:
+    return spark.createDataFrame([(*r[:9], int(r[9]), int(r[10])) for r in rows], SCHEMAS["results"])
+
+
 def regression_table(study: Study, control_sets: dict[str, list[str]], specs: list[Callable[[Study], list[Row]]] = SPECS, heat: DataFrame | None = None, growth: DataFrame | None = None) -> DataFrame:
-    """Every specification under every control set, as the tidy table of results."""
+    """Every specification under every control set, as the tidy table of results; what was held for it is released."""
     rows = []
-    for name, controls in control_sets.items():
-        study.controls = controls
-        made = [r for spec in specs for r in spec(study)]
-        if heat is not None and growth is not None:
-            made += lags(study, heat, growth)
-        rows += [(f"{name}_{r[0]}", *r[1:9], int(r[9]), int(r[10])) for r in made]
-    return study.panel.sparkSession.createDataFrame(rows, SCHEMAS["results"])
+    try:
+        for name, controls in control_sets.items():
+            study.controls = controls
+            made = [r for spec in specs for r in spec(study)]
+            if heat is not None and growth is not None:
+                made += lags(study, heat, growth)
+            rows += [(f"{name}_{r[0]}", *r[1:]) for r in made]
+    finally:
+        study.close()
+    return tidy(study.panel.sparkSession, rows)
+
+
+def report_lines(results: DataFrame) -> DataFrame:
+    """The results as a reader wants them: numbers with fixed decimals, and the stars of their p-values."""
+    number = lambda c: F.when(F.col(c).isNull() | F.isnan(c), F.lit("")).otherwise(F.format_string("%+.5f", F.col(c)))
+    return results.select("spec", "variable", "se_type", number("beta").alias("beta"), number("se").alias("se"), stars("pval").alias("stars"), "n_obs", "n_entities")

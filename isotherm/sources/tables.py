@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,6 +92,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def scratch_table(spark: SparkSession, name: str) -> str:
+    """Place of a table that lives as long as the session: in ``spark.checkpoint.dir``, else, on a local master alone, in the warehouse."""
+    conf = spark.sparkContext.getConf()
+    at = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(at or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def built_once(spark: SparkSession, path: str, build: Callable[[], DataFrame], valid: Callable[[DataFrame], bool] | None = None) -> DataFrame:
     """The table at ``path`` if it was finished (and is valid), else built and written."""
     if exists(spark, path):
