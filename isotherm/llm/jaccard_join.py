@@ -375,7 +375,8 @@ def _join(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: Fr
     found = found.drop("node")
     both = classes.select(*digest, F.col("first").alias("own"), "copies").join(found, digest, "left")
     n_links = [(F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")] if count else []
-    both = both.select(*digest, F.coalesce("first", "own").alias("first"), *n_links)
+    # a table of its own, so that a digest which a third of all rows share is a skewed join that Spark can split
+    both = stage(both.select(*digest, F.coalesce("first", "own").alias("first"), *n_links), "groups")
     out = sets.select("doc_id", "text_hash", *digest).join(both, digest, "left")
     return out.select("doc_id", "text_hash", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"), "first", *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if count else []))
 

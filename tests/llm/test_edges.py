@@ -132,9 +132,7 @@ def test_a_large_family_is_linked_in_levels(spark):
         rows.append((200 + i, " ".join(chain)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     want = brute_components(rows, 3, Fraction(9, 10))
-    for block in (4, 16):
-        assert Counter(tuple(r) for r in jaccard_join.jaccard_components(df, block=block).collect()) == want
-    assert Counter(tuple(r) for r in jaccard_join.jaccard_components(df, block_tokens=900).collect()) == want
+    assert Counter(tuple(r) for r in jaccard_join.jaccard_components(df, block=6).collect()) == want
     assert len({c for _, _, c in want}) > 3
 
 
