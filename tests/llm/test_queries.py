@@ -42,3 +42,20 @@ def test_pipeline_stages(spark):
         docs = out
     packed = corpus_pipeline.run(spark, DATA)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_pipeline_edges(spark):
+    """Nulls, blanks, repeated rows and clashing columns through every stage; contamination and masking by plain rules."""
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").where("size(split(text, ' ')) > 8").first().text
+    plain = "these are the quiet words of an ordinary page about rivers and hills and trees"
+    texts = [(1, None), (2, ""), (3, plain), (3, plain), (None, None), (4, f"{plain} then {item} and more"), (5, "a page with token=abcdef123 in its midst and nothing else of note here")]
+    docs = spark.createDataFrame([(i, t, "x", "y", 0.5, 7) for i, t in texts], "doc_id long, text string, found string, _blob string, _score double, row int")
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        out = step(spark, docs, DATA).cache()
+        assert out.columns == docs.columns, name
+        docs = out
+    left = sorted(((r.doc_id, r.text, r.found, r._blob, r._score, r.row) for r in docs.collect()), key=repr)
+    want = [(1, None), (2, ""), (3, plain), (None, None), (5, texts[-1][1].replace("token=abcdef123", "[SECRET]"))]
+    assert left == sorted(((i, t, "x", "y", 0.5, 7) for i, t in want), key=repr)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
+    assert sorted((r.doc_id, r.piece) for r in packed if r.doc_id is not None) == [(1, 0), (2, 0), (3, 0), (5, 0)] and len(packed) == 5
