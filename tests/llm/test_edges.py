@@ -183,6 +183,18 @@ def test_components_of_a_path(spark):
     got = {r.node: r.component for r in connected_components(e).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 90, 90: 90}
 
+def test_components_of_many_shapes(spark):
+    r = np.random.default_rng(5)
+    star, ring, pairs = [(100, i) for i in range(101, 140)], [(i, 200 + (i - 199) % 30) for i in range(200, 230)], [(int(a), int(b)) for a, b in r.integers(300, 360, (50, 2))]
+    edges = star + ring + pairs + pairs[:5] + [(b, a) for a, b in pairs[5:9]]
+    least = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in least:
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {x.node: x.component for x in got} == least and len(got) == len(least)
+
 
 # ---- 2 -------------------------------------------------------------------------------------
 
