@@ -2,27 +2,75 @@
 
 from __future__ import annotations
 
+import calendar
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from isotherm.functions.calendar import pooled_days
+from isotherm.functions.calendar import CIRCLE, pooled_days
 from isotherm.functions.percentile import METHODS
 
+#: percentiles of one sorted pool of values; the place is a fraction of its last index
+POOLED = {
+    "nearest": lambda pool, share: pool[int(np.rint(share * (len(pool) - 1)))],
+    "linear": lambda pool, share: np.interp(share * (len(pool) - 1), np.arange(len(pool)), pool),
+}
+
+
+def _possible_days(months: list[int]) -> list[int]:
+    """Days of the year that fall in the months, in leap years or others."""
+    days = set()
+    for year in (2000, 2001):
+        ends = np.cumsum([0] + [calendar.monthrange(year, m)[1] for m in range(1, 13)])
+        days |= {d for m in months for d in range(ends[m - 1] + 1, ends[m] + 1)}
+    return sorted(int(d) for d in days)
+
+
+def _cell_thresholds(cell: list[str], value: str, days: list[int], share: float, half_width: int, method: str, schema: pa.Schema) -> Callable[[pa.Table], pa.Table]:
+    """One cell's thresholds: its values in the order of days, three times round the circle, so that each window is a slice."""
+    pick, wanted = POOLED[method], np.array(days)
+
+    def run(table: pa.Table) -> pa.Table:
+        doy, values = table.column("doy").to_numpy(), table.column(value).to_numpy()
+        order = np.argsort(doy, kind="stable")
+        doy, values = doy[order].astype(np.int64), np.tile(values[order], 3)
+        circle = np.concatenate([doy - CIRCLE, doy, doy + CIRCLE])
+        low, high = np.searchsorted(circle, wanted - half_width, side="left"), np.searchsorted(circle, wanted + half_width, side="right")
+        full = np.flatnonzero(high > low)
+        found = [pick(np.sort(values[a:b]), share) for a, b in zip(low[full], high[full], strict=True)]
+        key = [table.column(c).take(pa.array(np.zeros(len(full), dtype=np.int64))) for c in cell]
+        return pa.table([*key, pa.array(wanted[full], pa.int32()), pa.array(np.array(found, dtype=values.dtype if method == "nearest" else float))], names=schema.names).cast(schema)
+
+    return run
+
 
 def thresholds(daily: DataFrame, cell: list[str], value: str, date: str, years: tuple[int, int], load_months: list[int], season_months: list[int], percent: float = 95.0, half_width: int = 7, method: str = "nearest", to: str = "threshold") -> DataFrame:
     """``cell..., doy, threshold``: percentile of all values within ``half_width`` calendar days, over all years.
 
     Target days are the calendar days seen in a season month in any year.  Values
-    are shuffled once, by cell; the window is an explode and an equi-grouping within the cell's
-    partition, so no band join is planned and no copy of a value is sent;
-    nulls leave before it.  One percentile group holds years x (2 half_width + 1) values.
+    are shuffled once, by cell, and nulls leave before it.  Floats and integers
+    then go cell by cell, as Arrow, to slices of a circle of days: a value is
+    neither copied for each window nor kept beyond its cell (all days of the
+    loaded months and years, some 3,000 values).  Other types and the
+    approximate percentile explode each value to its windows instead.
     """
     base = daily.where(F.year(date).between(*years) & F.month(date).isin(load_months)).withColumn("doy", F.dayofyear(date))
-    targets = base.where(F.month(date).isin(season_months)).select(F.col("doy").alias("target_doy")).distinct()
-    held = base.where(F.col(value).isNotNull()).select(*cell, "doy", value).repartition(*cell)
-    pooled = pooled_days(held, "doy", half_width)
-    kept = pooled.join(F.broadcast(targets), "target_doy", "left_semi")  # at most 366 rows
-    return kept.groupBy(*cell, F.col("target_doy").alias("doy")).agg(METHODS[method](value, percent).alias(to))
+    targets = F.broadcast(base.where(F.month(date).isin(season_months)).select(F.col("doy").alias("target_doy")).distinct())  # at most 366 rows
+    held = base.where(F.col(value).isNotNull()).select(*cell, "doy", value)
+    kind = daily.schema[value].dataType
+    if method in POOLED and isinstance(kind, (T.FloatType, T.DoubleType, T.IntegralType)) and 2 * half_width < CIRCLE:
+        fields = [daily.schema[c] for c in cell] + [T.StructField("target_doy", T.IntegerType()), T.StructField(to, kind if method == "nearest" else T.DoubleType())]
+        schema = T.StructType(fields)
+        run = _cell_thresholds(cell, value, _possible_days(season_months), percent / 100, half_width, method, to_arrow_schema(schema))
+        found = held.groupBy(*cell).applyInArrow(run, schema).join(targets, "target_doy", "left_semi")
+        return found.select(*cell, F.col("target_doy").alias("doy"), to)
+    pooled = pooled_days(held.repartition(*cell), "doy", half_width).join(targets, "target_doy", "left_semi")
+    return pooled.groupBy(*cell, F.col("target_doy").alias("doy")).agg(METHODS[method](value, percent).alias(to))
 
 
 def exceeds(value: Column, limit: Column, inclusive: bool = False) -> Column:

@@ -272,3 +272,23 @@ def test_epochs_and_stars(spark):
     assert [r[0] for r in df.select(zonal.epoch_of(F.col("y"))).collect()] == [2000, 2000, 2005, 2005, 2010, 2010, 2015, 2015, 2020, 2020, 2025, 2025]
     p = spark.createDataFrame([(0.0005,), (0.001,), (0.01,), (0.05,), (0.1,), (None,)], "p double")
     assert [r[0] for r in p.select(scalar.stars("p")).collect()] == ["***", "**", "*", "+", "", ""]
+
+
+@pytest.mark.parametrize("kind", ["float", "double", "long"])
+@pytest.mark.parametrize("method", ["nearest", "linear"])
+def test_thresholds_are_those_of_exploded_windows(spark, kind, method):
+    """Cell by cell on a circle of days, and value by value on exploded windows: ties, nulls, a null cell, days at the year's ends."""
+    days = spark.sql("select explode(sequence(date'1999-12-01', date'2002-02-10')) as date").where("month(date) in (12, 1, 2)")
+    cells = spark.createDataFrame([(0, 1), (1, 1), (2, None)], "lat_i int, lon_i int")
+    value = F.when(F.pmod(F.xxhash64("lat_i", "date"), F.lit(9)) > 0, F.pmod(F.xxhash64("date", "lat_i"), F.lit(40)))
+    daily = cells.join(days).withColumn("v", value.cast(kind))
+    args = (["lat_i", "lon_i"], "v", "date", (1999, 2002), [12, 1, 2], [1, 2])
+    got = exceedance.thresholds(daily, *args, method=method)
+    base = daily.where("v is not null").withColumn("doy", F.dayofyear("date"))
+    pooled = calendar.pooled_days(base, "doy").where("target_doy <= 60").groupBy("lat_i", "lon_i", F.col("target_doy").alias("doy"))
+    want = pooled.agg(percentile.METHODS[method]("v", 95).alias("threshold"))
+    assert got.columns == want.columns and got.schema["threshold"].dataType == want.schema["threshold"].dataType
+    seen = {r[0] for r in base.where("month(date) < 3").select("doy").distinct().collect()}
+    table = lambda df: sorted(((r.lat_i, r.lon_i, r.doy, round(float(r.threshold), 9)) for r in df.collect() if r.doy in seen), key=repr)
+    assert table(got) == table(want) and len(table(got)) > 100
+    assert exceedance.thresholds(daily.where("false"), *args, method=method).count() == 0
