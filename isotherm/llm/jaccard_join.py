@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isotherm.llm.chunks import U64, answer, ask, build_chunks, flags_of, mix, ranges_for, unpack, with_answers
+from isotherm.llm.chunks import CHUNK_BYTES, U64, answer, ask, build_chunks, flags_of, mix, ranges_for, unpack, with_answers
 from isotherm.llm.components import connected_components
 from isotherm.llm.store import release, small, stage
 from isotherm.llm.words import set_digests, shingle_sets
@@ -329,23 +329,24 @@ def count_links(placed: DataFrame, t: Fraction, block: int, block_tokens: int) -
 # ---- the join --------------------------------------------------------------------------------
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, threshold: Fraction = Fraction(9, 10), block: int = BLOCK, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, threshold: Fraction = Fraction(9, 10), block: int = BLOCK, block_tokens: int = BLOCK_TOKENS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
     ``threshold`` is compared in integers.  ``component_id`` is the least id
     reachable by links, the row's own id included; null ids are never least.
+    ``chunk_bytes``: text packed into one row; larger chunks ask in fewer rows and take more memory in a task.
     """
-    return _join(docs, id_col, text_col, width, threshold, block, block_tokens, False).select("doc_id", "n_shingles", "component_id")
+    return _join(docs, id_col, text_col, width, threshold, block, block_tokens, chunk_bytes, False).select("doc_id", "n_shingles", "component_id")
 
 
-def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, threshold: Fraction = Fraction(9, 10), block: int = 4 * BLOCK, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, threshold: Fraction = Fraction(9, 10), block: int = 4 * BLOCK, block_tokens: int = BLOCK_TOKENS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``jaccard_components`` and ``n_links``: how many other rows the row is linked with, rows of equal sets included."""
-    return _join(docs, id_col, text_col, width, threshold, block, block_tokens, True).select("doc_id", "n_shingles", "component_id", "n_links")
+    return _join(docs, id_col, text_col, width, threshold, block, block_tokens, chunk_bytes, True).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
-def _join(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: Fraction, block: int, block_tokens: int, count: bool) -> DataFrame:
+def _join(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: Fraction, block: int, block_tokens: int, chunk_bytes: int, count: bool) -> DataFrame:
     """``doc_id, text_hash, n_shingles, component_id, first`` (the row of the least id, then text hash, in its group), and ``n_links``."""
-    chunks = build_chunks(docs, id_col, text_col)
+    chunks = build_chunks(docs, id_col, text_col, chunk_bytes)
     asks = ask(chunks, _ask(width), ranges_for(chunks))
     answers = answer(asks, _answer)
     sets = stage(with_answers(chunks, answers, _sets(width, threshold), SETS), "sets")
@@ -387,7 +388,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     A row without an id stays only in a group without ids.  Blank texts all stay.  Of rows that
     repeat an id and a text one stays; rows that repeat an id with texts that are not linked all stay.
     """
-    how = {"width": 3, "threshold": Fraction(9, 10), "block": BLOCK, "block_tokens": BLOCK_TOKENS} | how
+    how = {"width": 3, "threshold": Fraction(9, 10), "block": BLOCK, "block_tokens": BLOCK_TOKENS, "chunk_bytes": CHUNK_BYTES} | how
     found = stage(_join(docs, id_col, text_col, count=False, **how).where("n_shingles > 0"), "linked")
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     key = [F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")]

@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from isotherm.llm.chunks import U64, Rolling, answer, ask, ask_rows, build_chunks, flags_of, mix, ranges_for, unpack, with_answers
+from isotherm.llm.chunks import CHUNK_BYTES, U64, Rolling, answer, ask, ask_rows, build_chunks, flags_of, mix, ranges_for, unpack, with_answers
 from isotherm.llm.store import stage
 
 K = 50
@@ -224,9 +224,12 @@ def _cut(length: int, k: int, n_ranges: int, texts: bool):
     return run
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, k: int = K, texts: bool = False) -> DataFrame:
-    """Per row ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, with ``texts``, ``kept``: the bytes left, as text."""
-    chunks = build_chunks(docs, id_col, text_col)
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, k: int = K, texts: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Per row ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, with ``texts``, ``kept``: the bytes left, as text.
+
+    ``chunk_bytes``: text packed into one row; larger chunks ask in fewer rows and take more memory in a task.
+    """
+    chunks = build_chunks(docs, id_col, text_col, chunk_bytes)
     n_ranges = ranges_for(chunks)
     first = stage(answer(ask(chunks, _ask(length, k), n_ranges), _answer), "answers")
     shown = with_answers(chunks, first, _ask_windows(length, k, n_ranges), "r int, chunk_id long, keys binary, extra binary")

@@ -9,7 +9,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import corpus_pipeline  # noqa: E402
-from isotherm.llm import queries, toxicity  # noqa: E402
+from isotherm.llm import jaccard_join, queries, suffix_dedup, toxicity  # noqa: E402
 from test_catalog import connection, rows  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
@@ -59,3 +59,10 @@ def test_pipeline_edges(spark):
     assert left == sorted(((i, t, "x", "y", 0.5, 7) for i, t in want), key=repr)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
     assert sorted((r.doc_id, r.piece) for r in packed if r.doc_id is not None) == [(1, 0), (2, 0), (3, 0), (5, 0)] and len(packed) == 5
+
+
+def test_chunks_of_any_size_give_the_same(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for apply in (jaccard_join.jaccard_components, suffix_dedup.suffix_dedup):
+        one, two = (sorted(map(tuple, apply(docs, chunk_bytes=n).collect())) for n in (1 << 15, 1 << 22))
+        assert one == two and len(one) == docs.count()
