@@ -84,6 +84,71 @@ q as (select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) fil
 select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, coalesce(spans, '') as spans, sha256(coalesce(spans, '')) as base_sha256 from t left join q using (doc_id)
 """
 
+_NUMBER = "cast(('0x' || substring(h, {at}, 8)) as bigint)"
+_SENTINEL = "(contains(x, '<P>') or contains(x, '<S>') or contains(x, '<M>'))"
+OP11 = f"""
+with t as (select doc_id, coalesce(text, '') as x, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+k as (select *, length(x) as n, {_NUMBER.format(at=1)} as h1, {_NUMBER.format(at=9)} as h2, {_NUMBER.format(at=17)} as h3, {_NUMBER.format(at=25)} as h4 from t),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+  case when x = '' or {_SENTINEL} or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from k),
+p as (select *, substring(x, 1, a) as pre, substring(x, a + 1, b - a) as mid, substring(x, b + 1) as suf from c)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+  sha256(case form when 'plain' then x when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+  sha256(x) as restored_sha256 from p
+"""
+
+_VALUE = "coalesce(cast(octet_length(encode(cast({c} as varchar))) as varchar) || ':' || cast({c} as varchar), '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_VALUE.format(c=c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+_UP = "select tree, l + 1, i // 3, sha256(string_agg(h, '' order by i)), (n + 2) // 3 from {t} where n > 1 group by tree, l, i // 3, n"
+# crc32 is not a function of DuckDB: bit by bit, one byte of the decimal id after the other
+_BIT = "case when c % 2 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end"
+
+
+def _byte(a: str) -> str:
+    return f"list_reduce(list_prepend({a}, [1::bigint, 2, 3, 4, 5, 6, 7, 8]), lambda c, z: {_BIT})"
+
+
+_CRC = f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(s) + 1), lambda j: cast(ascii(substring(s, j, 1)) as bigint))), lambda a, b: {_byte('xor(a, b)')}), 4294967295::bigint)"
+OP12 = f"""
+with recursive d as (select *, cast(doc_id as varchar) as s, coalesce('=' || source, '') as tree from documents),
+leaf as (select doc_id, tree, {_leaf("text")} as h, {_leaf("replace(text, chr(10), '')")} as cut, {_CRC} % 2 = 0 as even from d),
+lf as (select *, row_number() over (partition by tree order by doc_id nulls first, h) - 1 as i, count(*) over (partition by tree) as n from leaf),
+t(tree, l, i, h, n) as (select tree, 0, i, h, n from lf union all {_UP.format(t="t")}),
+sub as (select tree, max_by(h, l) as subroot, max(l) as high from t group by 1),
+o as (select tree, subroot, high, row_number() over (order by tree) - 1 as i, count(*) over () as n from sub),
+u(tree, l, i, h, n) as (select '', 0, i, subroot, n from o union all {_UP.format(t="u")}),
+r as (select max_by(h, l) as root, max(l) as top from u),
+step as (select a.doc_id, a.tree, a.i as own, e.l, e.i, e.h from lf a join o using (tree) join t e on e.tree = a.tree and e.l < o.high and e.i // 3 = (a.i // cast(3 ** e.l as bigint)) // 3 and e.i <> a.i // cast(3 ** e.l as bigint)
+  union all select a.doc_id, a.tree, a.i, o.high + u.l, u.i, u.h from lf a join o using (tree) join u on u.i // 3 = (o.i // cast(3 ** u.l as bigint)) // 3 and u.i <> o.i // cast(3 ** u.l as bigint)),
+proof as (select tree, own, sha256(string_agg(h, '' order by l, i)) as digest from step group by 1, 2),
+f(tree, own, l, h) as (select tree, i, 0, case when even then cut else h end from lf
+  union all select f.tree, f.own, f.l + 1, sha256(coalesce(string_agg(s.h, '' order by s.i) filter (s.i < p.place), '') || any_value(f.h) || coalesce(string_agg(s.h, '' order by s.i) filter (s.i > p.place), ''))
+  from f join o using (tree) cross join r join lateral (select case when f.l < o.high then f.own // cast(3 ** f.l as bigint) else o.i // cast(3 ** (f.l - o.high) as bigint) end as place) p on true
+  left join step s on s.tree = f.tree and s.own = f.own and s.l = f.l where f.l < o.high + r.top group by f.tree, f.own, f.l, p.place),
+g as (select tree, own, max_by(h, l) as folded from f group by 1, 2)
+select lf.doc_id, lf.h as leaf, o.subroot, r.root, coalesce(proof.digest, sha256('')) as proof_sha256, g.folded as folded_root, g.folded = r.root as verified
+from lf join o using (tree) cross join r left join proof on proof.tree = lf.tree and proof.own = lf.i join g on g.tree = lf.tree and g.own = lf.i
+"""
+
+OP13 = f"""
+with d as (select doc_id, source, cast(len({WORDS.format(t="coalesce(text, '')")}) as bigint) as size, cast(('0x' || substring(sha256('mix:' || coalesce(cast(doc_id as varchar), '')), 1, 15)) as bigint) as key from documents),
+s as (select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) - 1 as i from d group by 1),
+w as (select source, source_size, case i % 3 when 0 then 5 when 1 then 2 else 1 end as weight, 2 * source_size as cap from s),
+v as (select *, coalesce(sum(cap) over o, 0) as caps, count(*) over o as k, sum(weight) over () - coalesce(sum(weight) over o, 0) as rest, 1.5::double * sum(source_size) over () as wanted from w
+  window o as (order by cap / weight, source rows between unbounded preceding and 1 preceding)),
+l as (select min_by((wanted - caps) / rest, k) filter (weight * ((wanted - caps) / rest) <= cap) as level from v),
+t as (select source, source_size, least(cast(cap as double), weight * level) as target from w, l),
+p as (select d.*, source_size, target, cast(round_even(target, 0) as bigint) as budget, coalesce(sum(size) over (partition by d.source order by key, doc_id, size rows between unbounded preceding and 1 preceding), 0) as before
+  from d join t on d.source is not distinct from t.source)
+select doc_id, size, source_size, round(target, 6) as target, cast(case when source_size = 0 then 0 else
+  budget // source_size * size + greatest(0, least(size, budget % source_size - before)) end as bigint) as taken from p
+"""
+
 ORACLE_SQL = {
     "op1_ngram_jaccard_join": OP1,
     "op1_ngram_jaccard_links": OP1_LINKS,
@@ -92,4 +157,7 @@ ORACLE_SQL = {
     "op7_benchmark_decontamination": OP7,
     "op9_chat_formatting": OP9,
     "op10_secret_scans": OP10,
+    "op11_fill_in_middle": OP11,
+    "op12_merkle_manifest": OP12,
+    "op13_mixture": OP13,
 }

@@ -1,4 +1,4 @@
-"""The ten operators over their whole tables, and their SQL where SQL can say it."""
+"""The thirteen operators over their whole tables, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from isotherm.llm.arc_to_warc import archive_round_trip
 from isotherm.llm.chat_format import chat_digests
 from isotherm.llm.decontaminate import contaminated_pairs
+from isotherm.llm.fim import fim_digests
 from isotherm.llm.jaccard_join import jaccard_components, jaccard_links
+from isotherm.llm.merkle import merkle_digests
+from isotherm.llm.mixture import mixture
 from isotherm.llm.oracle import ORACLE_SQL  # noqa: F401
 from isotherm.llm.packing import best_fit_packing
 from isotherm.llm.pii import personal_digests
@@ -79,6 +82,18 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(_read(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_digests(_read(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_digests(_read(spark, sf_dir, "documents"))
+
+
+def op13_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op1_ngram_jaccard_links": op1_ngram_jaccard_links,
@@ -91,4 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_secret_scans": op10_secret_scans,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_mixture": op13_mixture,
 }
