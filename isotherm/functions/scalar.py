@@ -43,17 +43,12 @@ def finite(c: Name) -> Column:
     return F.coalesce(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), F.lit(False))
 
 
+def missing_is_null(c: Name) -> Column:
+    """NaN as NULL."""
+    c = _c(c)
+    return F.when(~F.isnan(c), c)
+
+
 def stars(p: Name) -> Column:
     p = _c(p)
     return F.when(p.isNull() | F.isnan(p), "").when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").when(p < 0.1, "+").otherwise("")
-
-
-def ring_centroid(ring: Name) -> tuple[Column, Column]:
-    """Planar centroid (lon, lat) of one closed ring, an array of structs lon, lat; by the shoelace rule."""
-    ring = _c(ring)
-    n = F.size(ring) - 1
-    pairs = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.element_at(ring, i).alias("a"), F.element_at(ring, i + 1).alias("b")))
-    cross = lambda p: p["a"]["lon"] * p["b"]["lat"] - p["b"]["lon"] * p["a"]["lat"]
-    total = lambda f: F.aggregate(pairs, F.lit(0.0), lambda s, p: s + f(p))
-    area = total(cross) * 3
-    return total(lambda p: (p["a"]["lon"] + p["b"]["lon"]) * cross(p)) / area, total(lambda p: (p["a"]["lat"] + p["b"]["lat"]) * cross(p)) / area

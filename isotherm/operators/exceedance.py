@@ -78,15 +78,16 @@ def exceeds(value: Column, limit: Column, inclusive: bool = False) -> Column:
     return F.coalesce(value >= limit if inclusive else value > limit, F.lit(False))
 
 
-def frequency(daily: DataFrame, limits: DataFrame, cell: list[str], value: str, date: str, months: list[int], years: tuple[int, int], year: Column | None = None, limit: str = "threshold", inclusive: bool = False, nodata: str = "zero") -> DataFrame:
+def frequency(daily: DataFrame, limits: DataFrame, cell: list[str], value: str, date: str, months: list[int], years: tuple[int, int], year: Column | None = None, limit: str = "threshold", inclusive: bool = False, nodata: str = "zero", limit_cell: list[str] | None = None) -> DataFrame:
     """``cell..., year, n_days, n_exceed, freq``: share of all days of the season, days without a value included.
 
     ``nodata="zero"``: a cell without any value has frequency 0; ``"null"``: none.
+    ``limit_cell``: the columns of ``cell`` that limits have, all unless given.
     """
     year = F.year(date) if year is None else year
     days = daily.where(F.month(date).isin(months)).withColumns({"year": year, "doy": F.dayofyear(date)}).where(F.col("year").between(*years))
     hit = exceeds(F.col(value), F.col(limit), inclusive)
-    out = days.join(limits, [*cell, "doy"], "left").groupBy(*cell, "year").agg(
+    out = days.join(limits, [*(limit_cell or cell), "doy"], "left").groupBy(*cell, "year").agg(
         F.count("*").alias("n_days"), F.count_if(hit).alias("n_exceed"), F.count(value).alias("_n")
     )
     freq = F.col("n_exceed") / F.col("n_days")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isotherm.operators.quantiles import quantiles
 from isotherm.sources.tables import equal_or_both_null
 
 
@@ -39,12 +40,6 @@ def lead_join(heat: DataFrame, growth: DataFrame, unit: str, heat_year: str = "y
     return heat.withColumn(growth_year, F.col(heat_year) + lead).join(growth, [unit, growth_year])
 
 
-def quantile_edges(df: DataFrame, value: str, bins: int, by: list[str] = ()) -> DataFrame:
-    p = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    out = df.groupBy(*by) if by else df
-    return out.agg(F.percentile(value, p).alias("edges"))
-
-
 def bin_number(value: Column, edges: Column) -> Column:
     """1 for the lowest bin; bins are open below and closed above, the lowest includes its edge."""
     inner = F.slice(edges, F.lit(2), F.greatest(F.size(edges) - 2, F.lit(0)))
@@ -57,7 +52,7 @@ def qcut(df: DataFrame, value: str, bins: int, to: str, duplicates: str = "raise
 
     The edges (``bins + 1`` numbers) are found first and become literals of the plan.
     """
-    edges = quantile_edges(df, value, bins).first().edges
+    edges = quantiles(df, value, [i / bins for i in range(bins + 1)])
     if edges is None:
         return df.withColumn(to, F.lit(None).cast("int"))
     distinct = sorted(set(edges))

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isotherm.functions.calendar import days_in_month
 from isotherm.functions.grid import axes, coarser_index, mollweide_inverse, lat_index, lon_index
-from isotherm.functions.scalar import finite
+from isotherm.functions.scalar import finite, missing_is_null
 
 
 def coarsen(df: DataFrame, value: str, lead: list[str] = (), step: float = 0.1, to: float = 0.25, edge: str = "wrap", dense: bool = False) -> DataFrame:
@@ -74,60 +72,9 @@ def last_wins(cells: DataFrame, cell: list[str], order: str, value: str | None =
     return cells.groupBy(*cell).agg(F.max_by(value, order).alias(value))
 
 
-def _touches(ring: np.ndarray, west: np.ndarray, south: np.ndarray, step: float) -> np.ndarray:
-    """Which of the square cells a ring's area or outline touches."""
-    x, y = west + step / 2, south + step / 2
-    inside = np.zeros(len(x), dtype=bool)
-    hit = np.zeros(len(x), dtype=bool)
-    east, north = west + step, south + step
-    for (x0, y0), (x1, y1) in zip(ring[:-1], ring[1:], strict=True):
-        if y0 != y1:
-            crosses = (y0 > y) != (y1 > y)
-            inside ^= crosses & (x < (x1 - x0) * (y - y0) / (y1 - y0) + x0)
-        # clip the edge to each cell, one axis after the other
-        low, high = np.zeros(len(x)), np.ones(len(x))
-        for p, d, a, b in ((x0, x1 - x0, west, east), (y0, y1 - y0, south, north)):
-            if d == 0:
-                low = np.where((p < a) | (p > b), 2.0, low)
-            else:
-                s, e = (a - p) / d, (b - p) / d
-                low, high = np.maximum(low, np.minimum(s, e)), np.minimum(high, np.maximum(s, e))
-        hit |= low <= high
-    return inside | hit
-
-
-def burn(units: DataFrame, raster_id: str = "raster_id", rings: str = "rings", step: float = 0.1) -> DataFrame:
-    """``lat_i, lon_i, raster_id`` of all cells that a unit touches; later (larger) ids win.
-
-    ``rings``: array of closed rings, each an array of structs lon, lat; holes are
-    rings as well (a cell inside an even number of them is outside, unless touched).
-    Only the cells of a ring's bounding box are tested.
-    """
-
-    def run(frames):
-        for frame in frames:
-            for unit, parts in zip(frame[raster_id], frame[rings], strict=True):
-                shapes = [np.array([(p["lon"], p["lat"]) for p in ring]) for ring in parts]
-                if not shapes:
-                    continue
-                every = np.concatenate(shapes)
-                c0, c1 = (np.floor((every[:, 0].min() + 180) / step + 0.5), np.floor((every[:, 0].max() + 180) / step + 0.5))
-                r0, r1 = (np.floor((90 - every[:, 1].max()) / step + 0.5), np.floor((90 - every[:, 1].min()) / step + 0.5))
-                for r in np.arange(r0, r1 + 1):
-                    c = np.arange(c0, c1 + 1)
-                    west, south = -180 + (c - 0.5) * step, np.full(len(c), 90 - (r + 0.5) * step)
-                    inside = np.zeros(len(c), dtype=bool)
-                    for ring in shapes:
-                        inside |= _touches(ring, west, south, step)
-                    if inside.any():
-                        yield pd.DataFrame({"lat_i": np.full(inside.sum(), r, dtype=np.int32), "lon_i": (c[inside] % round(360 / step)).astype(np.int32), raster_id: np.full(inside.sum(), unit, dtype=np.int32)})
-
-    cells = units.select(raster_id, rings).mapInPandas(run, f"lat_i int, lon_i int, {raster_id} int")
-    return last_wins(cells, ["lat_i", "lon_i"], raster_id)
-
-
 def reproject_built(points: DataFrame, step: float = 0.1) -> DataFrame:
-    """Mollweide pixels (x, y, epoch, value) averaged per cell and epoch; missing counts as 0."""
+    """Mollweide pixels (x, y, epoch, value) averaged per cell and epoch: missing pixels are left out, a cell of none but missing ones has 0."""
     lat, lon = mollweide_inverse("x", "y")
-    keyed = points.select("epoch", lat_index(lat, step).alias("lat_i"), lon_index(lon, step).alias("lon_i"), F.coalesce("value", F.lit(0.0)).alias("value"))
-    return keyed.where("lat_i is not null and lon_i is not null").groupBy("lat_i", "lon_i", "epoch").agg(F.avg("value").cast("float").alias("built_surface"))
+    keyed = points.select("epoch", lat_index(lat, step).alias("lat_i"), lon_index(lon, step).alias("lon_i"), missing_is_null(F.col("value").cast("double")).alias("value"))
+    mean = F.coalesce(F.avg("value"), F.lit(0.0)).cast("float").alias("built_surface")
+    return keyed.where("lat_i is not null and lon_i is not null").groupBy("lat_i", "lon_i", "epoch").agg(mean)

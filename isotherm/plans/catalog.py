@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from isotherm.functions import calendar, grid, scalar
 from isotherm.functions.percentile import METHODS
-from isotherm.operators import econometrics, ensemble, exceedance, panel, zonal
+from isotherm.operators import econometrics, ensemble, exceedance, panel, polygons, zonal
 from isotherm.plans import specs
-from isotherm.sources import tables
+from isotherm.sources import geometry, tables
+from isotherm.sources.tiles import TileRun
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -116,10 +117,12 @@ def lon_wrap(spark, d):
     return cells(spark, d).select("key", turned.alias("turned"), r(grid.lon_of("lon_i", 0.1), 4).alias("lon"), r(grid.lat_of("lat_i", 0.1), 4).alias("lat"), r(grid.wrap_degrees(F.col("lon_i") * 0.1), 4).alias("wrapped"))
 
 
-@query("select cast(i // 24 as int) as lat_i, cast(i % 24 as int) as lon_i, round(90 - (i // 24) * 15.0::double, 4) as lat from range(13 * 24) t(i)")
+@query("select cast(i // 24 as int) as lat_i, cast(i % 24 as int) as lon_i, count(c_custkey) as n from range(13 * 24) t(i) left join customer on c_custkey * 13 % 13 = i // 24 and c_custkey * 17 % 24 = i % 24 group by 1, 2")
 def grid_axes(spark, d):
-    """SC14: a generated grid."""
-    return grid.axes(spark, 13, 24).withColumn("lat", r(grid.lat_of("lat_i", 15.0), 4))
+    """SC14: every cell of a generated grid, with how many customers it has."""
+    k = F.col("c_custkey")
+    own = read(spark, d, "customer", "c_custkey").select((k * 13 % 13).cast("int").alias("lat_i"), (k * 17 % 24).cast("int").alias("lon_i")).groupBy("lat_i", "lon_i").agg(F.count("*").alias("n"))
+    return grid.axes(spark, 13, 24).join(own, ["lat_i", "lon_i"], "left").fillna(0, ["n"])
 
 
 @query(f"with {PLACES}, m as (select id, lon * 100000.0 as x, lat * 90000.0 as y, asin(lat * 90000.0 / (6378137.0 * sqrt(2))) as t from places where abs(lat * 90000.0 / (6378137.0 * sqrt(2))) <= 1) select id, round(degrees(asin((2 * t + sin(2 * t)) / pi())), 6) as lat, round(degrees(pi() * x / (2 * 6378137.0 * sqrt(2) * cos(t))), 6) as lon from m where abs(degrees(pi() * x / (2 * 6378137.0 * sqrt(2) * cos(t)))) <= 180")
@@ -146,12 +149,6 @@ def null_safe_join(spark, d):
     return panel.null_safe_left(a, b, ["k"])
 
 
-@query(ORACLE_SQL["null_safe_join"])
-def null_safe_join_all_nations(spark, d):
-    """The same as ``null_safe_join``, under its older name."""
-    return null_safe_join(spark, d)
-
-
 # ---- thresholds and frequencies -----------------------------------------------------------
 
 POOL = f"""{DAILY}, base as (select *, dayofyear(date) as doy from daily where year(date) between 1995 and 1999 and month(date) between 5 and 9),
@@ -216,6 +213,23 @@ def mean_freq_nan_guard(spark, d):
     return exceedance.mean_frequency(freq, ["cell"], 5).withColumn("mean_freq", r("mean_freq"))
 
 
+@query(f"select printf('r%02d_c%02d', cell // 10, cell % 10 // 5) as tile, cell, year, n_days, n_exceed, freq from ({_freq_sql('>')})")
+def tiled_frequency(spark, d):
+    """SK6, ST3, PJ10: frequencies by tile and year, in a run that ends after one batch and another that computes the rest; then merged."""
+    days, lim = daily(spark, d), limits(spark, d)
+    tile = grid.tile_label((F.col("cell") / 10).cast("int"), F.col("cell") % 10, 1, 5)
+    run = TileRun(spark, tables.scratch_table(spark, "tiles"))
+    wanted = days.select(tile.alias("tile"), F.year("date").alias("year")).where(F.col("year").between(1996, 2000)).distinct()
+
+    def compute(keys: DataFrame) -> DataFrame:
+        own = days.withColumns({"tile": tile, "year": F.year("date")}).join(F.broadcast(keys), ["tile", "year"], "left_semi")  # at most a batch of keys
+        return exceedance.frequency(own, lim, ["tile", "cell"], "value", "date", SEASON, (1996, 2000), limit_cell=["cell"])
+
+    run.run(wanted, compute, batch_keys=10, most_batches=1)
+    run.run(wanted, compute, batch_keys=10)
+    return run.read("cell int, n_days long, n_exceed long, freq double").drop("place").withColumn("freq", r("freq"))
+
+
 @query(f"with {DAILY}, m as (select distinct cell, year(date) as year, month(date) as month from daily where month(date) between 6 and 8 and not (year(date) = 1998 and month(date) = 7)) select cell, cast(year as int) as year, count(*) as months from m where year in (select year from m group by 1 having count(distinct month) = 3) group by 1, 2")
 def complete_seasons(spark, d):
     """SC3 policy: a season without one of its months is left out."""
@@ -282,10 +296,11 @@ def partitioned_scan(spark, d):
     return season.groupBy("lat_i", "season_year").agg(F.count("*").alias("n"), r(F.sum("t2m_k"), 0).alias("total"))
 
 
-@query("select cast(y as int) as year, cast(case when y <= 2002 then 2000 when y <= 2007 then 2005 when y <= 2012 then 2010 when y <= 2017 then 2015 when y <= 2022 then 2020 else 2025 end as int) as epoch from range(1998, 2030) t(y)")
+@query("select cast(case when y <= 2002 then 2000 when y <= 2007 then 2005 when y <= 2012 then 2010 when y <= 2017 then 2015 when y <= 2022 then 2020 else 2025 end as int) as epoch, count(*) as n, round(sum(o_totalprice), 2) as total from (select year(o_orderdate) + 4 * (o_custkey % 7) as y, o_totalprice from orders) group by 1")
 def epoch_map(spark, d):
-    """JN5."""
-    return spark.range(1998, 2030).select(F.col("id").cast("int").alias("year")).withColumn("epoch", zonal.epoch_of(F.col("year")))
+    """JN5: values of years spread over 1995 to 2025, by settlement epoch."""
+    y = F.year("o_orderdate") + 4 * (F.col("o_custkey") % 7)
+    return read(spark, d, "orders", "o_orderdate", "o_custkey", "o_totalprice").groupBy(zonal.epoch_of(y).alias("epoch")).agg(F.count("*").alias("n"), r(F.sum("o_totalprice"), 2).alias("total"))
 
 
 MONTHLY = f"{DAILY}, monthly as (select cell, cast(year(date) as int) as year, cast(month(date) as int) as month, case when (cell + month(date)) % 23 <> 0 then avg(value) / 100000 end as rate from daily group by cell, year(date), month(date))"
@@ -315,27 +330,68 @@ def last_wins_mosaic(spark, d):
     return zonal.last_wins(read(spark, d, "customer").select((k * 13 % 60).cast("int").alias("lat_i"), (k * 17 % 90).cast("int").alias("lon_i"), k.alias("raster_id")), ["lat_i", "lon_i"], "raster_id")
 
 
+def rectangle(west: Column, south: Column, east: Column, north: Column) -> Column:
+    corner = lambda x, y: F.struct(x.alias("lon"), y.alias("lat"))
+    return F.array(corner(west, south), corner(east, south), corner(east, north), corner(west, north), corner(west, south))
+
+
+def supplier_polygons(spark, d) -> DataFrame:
+    """id and polygons of suppliers: rectangles, some with a hole, some in two parts, in degrees."""
+    k = F.col("s_suppkey")
+    w, s = (k * 31 % 340 - 170).cast("double"), (k * 17 % 160 - 80).cast("double")
+    own = rectangle(w + 0.2, s + 0.2, w + 3.7, s + 2.6)
+    hole = F.when(k % 3 == 1, F.array(own, rectangle(w + 1, s + 1, w + 2, s + 2))).otherwise(F.array(own))
+    parts = F.when(k % 3 == 0, F.array(hole, F.array(rectangle(w + 5.2, s + 0.2, w + 8.7, s + 2.6)))).otherwise(F.array(hole))
+    return read(spark, d, "supplier").select(k.alias("id"), parts.alias("polygons"))
+
+
+CENTRES = """centres as (select s_suppkey as id, case s_suppkey % 3 when 0 then w + 4.45 when 1 then (8.4 * (w + 1.95) - (w + 1.5)) / 7.4 else w + 1.95 end as lon,
+  case s_suppkey % 3 when 1 then (8.4 * (s + 1.4) - (s + 1.5)) / 7.4 else s + 1.4 end as lat
+  from (select s_suppkey, cast(s_suppkey * 31 % 340 - 170 as double) as w, cast(s_suppkey * 17 % 160 - 80 as double) as s from supplier))"""
+
+
 @query("""with u as (select s_suppkey as id, cast(s_suppkey * 31 % 340 - 170 as double) as w, cast(s_suppkey * 17 % 160 - 80 as double) as s from supplier)
-  select cast(r as int) as lat_i, cast(c as int) as lon_i, cast(max(id) as int) as raster_id from u, range(360) tc(c), range(181) tr(r)
-  where c - 180.5 <= w + 3.7 and c - 179.5 >= w + 0.2 and 89.5 - r <= s + 2.6 and 90.5 - r >= s + 0.2 group by 1, 2""")
+  select cast(r as int) as lat_i, cast(c as int) as lon_i, max(id) as raster_id from u, range(360) tc(c), range(181) tr(r)
+  where 89.5 - r <= s + 2.6 and 90.5 - r >= s + 0.2 and ((c - 180.5 <= w + 3.7 and c - 179.5 >= w + 0.2) or (id % 3 = 0 and c - 180.5 <= w + 8.7 and c - 179.5 >= w + 5.2)) group by 1, 2""")
 def burn_units(spark, d):
-    """JN17, SF10: rectangles of suppliers onto a one degree grid."""
+    """JN17: polygons of suppliers onto a one degree grid; their holes are smaller than a cell."""
+    u = supplier_polygons(spark, d).select(F.col("id").alias("raster_id"), F.flatten("polygons").alias("rings"))
+    return polygons.burn(u, step=1.0)
+
+
+@query("""with u as (select s_suppkey as id, 172.31 + s_suppkey % 5 as w, cast(s_suppkey * 17 % 150 - 80 as double) + 0.23 as s from supplier)
+  select cast(r as int) as lat_i, cast(c % 360 as int) as lon_i, max(id) as raster_id from u, range(340, 380) tc(c), range(181) tr(r)
+  where c - 180.5 <= w + 9.6 and c - 179.5 >= w and 89.5 - r <= s + 7.4 and 90.5 - r >= s
+    and not (c - 180.5 > w + 2.4 and c - 179.5 < w + 7.2 and 89.5 - r > s + 1.1 and 90.5 - r < s + 6.3) group by 1, 2""")
+def burn_date_line(spark, d):
+    """JN17: rectangles with holes over the date line, through binary geometry of both byte orders."""
     k = F.col("s_suppkey")
-    west, south = (k * 31 % 340 - 170).cast("double"), (k * 17 % 160 - 80).cast("double")
-    corner = lambda x, y: F.struct((west + x).alias("lon"), (south + y).alias("lat"))
-    ring = F.array(corner(0.2, 0.2), corner(3.7, 0.2), corner(3.7, 2.6), corner(0.2, 2.6), corner(0.2, 0.2))
-    return zonal.burn(read(spark, d, "supplier").select(k.cast("int").alias("raster_id"), F.array(ring).alias("rings")), step=1.0)
+    w, s = F.lit(172.31) + k % 5, (k * 17 % 150 - 80).cast("double") + 0.23
+    turned = lambda ring: F.transform(ring, lambda p: F.struct(F.when(p["lon"] > 180, p["lon"] - 360).otherwise(p["lon"]).alias("lon"), p["lat"].alias("lat")))
+    one = F.array(F.array(turned(rectangle(w, s, w + 9.6, s + 7.4)), turned(rectangle(w + 2.4, s + 1.1, w + 7.2, s + 6.3))))
+    u = read(spark, d, "supplier").select(k.alias("raster_id"), one.alias("polygons"))
+    held = u.select("raster_id", F.when(F.col("raster_id") % 2 == 0, geometry.binary_of("polygons")).otherwise(geometry.binary_of("polygons", big_endian=True)).alias("geometry"))
+    return polygons.burn(held.select("raster_id", F.flatten(geometry.polygons_of("geometry")).alias("rings")), step=1.0)
 
 
-@query("select s_suppkey as id, round(cast(s_suppkey * 31 % 340 - 170 as double) + 1.95, 6) as lon, round(cast(s_suppkey * 17 % 160 - 80 as double) + 1.4, 6) as lat from supplier")
+@query(f"with {CENTRES} select id, round(lon, 6) as lon, round(lat, 6) as lat from centres")
 def ring_centroid(spark, d):
-    """SF10, EC2."""
-    k = F.col("s_suppkey")
-    west, south = (k * 31 % 340 - 170).cast("double"), (k * 17 % 160 - 80).cast("double")
-    corner = lambda x, y: F.struct((west + x).alias("lon"), (south + y).alias("lat"))
-    ring = F.array(corner(0.2, 0.2), corner(3.7, 0.2), corner(3.7, 2.6), corner(0.2, 2.6), corner(0.2, 0.2))
-    lon, lat = scalar.ring_centroid("ring")
-    return read(spark, d, "supplier").select(k.alias("id"), ring.alias("ring")).select("id", r(lon).alias("lon"), r(lat).alias("lat"))
+    """SF10, EC2: centroids of polygons with parts and holes."""
+    lon, lat = polygons.centroid(F.col("polygons"))
+    return supplier_polygons(spark, d).select("id", r(lon).alias("lon"), r(lat).alias("lat"))
+
+
+@query(f"""with {UNITS}, {CENTRES} select unit, year, round(x1, 6) as x1, round(lon, 6) as lon, round(lat, 6) as lat, cast(case when id is null then null when id % 3 = 2 then 5 else 10 end as int) as n_points
+  from units left join (select * from centres where id % 7 <> 0) on id = unit""")
+def panel_geometry(spark, d):
+    """JN8, SC6, SK4: a panel with the geometry of its units, written as binary, read back without the columns not needed; units without a geometry stay."""
+    path = tables.scratch_table(spark, "units")
+    tables.write_vectors(supplier_polygons(spark, d).where("id % 7 <> 0").select(F.col("id").alias("unit"), F.lit("x").alias("name"), "polygons"), path)
+    shapes = tables.read_vectors(spark, path, ignore=["name"])
+    lon, lat = polygons.centroid(F.col("polygons"))
+    n = F.aggregate(F.flatten("polygons"), F.lit(0), lambda a, ring: a + F.size(ring))
+    placed = shapes.select("unit", r(lon).alias("lon"), r(lat).alias("lat"), n.alias("n_points"))
+    return units(spark, d).select("unit", "year", r("x1").alias("x1")).join(placed, "unit", "left")
 
 
 @query("""with p as (select c_custkey % 3000 * 4000.0::double - 6e6 as x, c_custkey * 7 % 1500 * 8000.0::double - 6e6 as y, c_acctbal as v from customer),
@@ -459,24 +515,12 @@ def twoway_within(spark, d):
     return within(spark, d).select("unit", "year", r("y").alias("y"), r("x1").alias("x1"))
 
 
-@query(ORACLE_SQL["twoway_within"])
-def twoway_within_all_years(spark, d):
-    """The same query under its older name."""
-    return twoway_within(spark, d)
-
-
 @query(f"with {WITHIN}, b as (select sum(x1*y) / sum(x1*x1) as beta, count(*) as n from w) select round(beta, 6) as beta, n, round((select sum((y - beta*x1) * (y - beta*x1)) from w), 4) as rss from b")
 def fe_ols_beta(spark, d):
     """EC3, AG17, AG18."""
     return fitted(within(spark, d), lambda fit: [(round(float(fit.beta[0]), 6), fit.n, round(fit.rss, 4))], "beta double, n long, rss double")
 
 
-@query(ORACLE_SQL["fe_ols_beta"])
-def fe_ols_beta_all_years(spark, d):
-    """The same query under its older name."""
-    return fe_ols_beta(spark, d)
-
-
 @query(f"""with {WITHIN}, b as (select sum(x1*y) / sum(x1*x1) as beta, sum(x1*x1) as xx, count(*) as n, count(distinct unit) as u, count(distinct year) as t from w),
   s as (select unit, year, x1 * (y - beta*x1) as s from w, b), mu as (select sum(t*t) as m from (select sum(s) as t from s group by unit)), mt as (select sum(t*t) as m from (select sum(s) as t from s group by year)), mr as (select sum(s*s) as m from s)
   select 'time' as kind, round(sqrt(mt.m) / xx * sqrt(n / (n - 1 - u - t + 1)), 6) as se from b, mt union all
@@ -487,12 +531,6 @@ def cluster_scores(spark, d):
     return fitted(within(spark, d), lambda fit: [(k, standard_error(fit.covariance(k))) for k in ("time", "unit", "two_way")], "kind string, se double")
 
 
-@query(ORACLE_SQL["cluster_scores"])
-def cluster_scores_all_years(spark, d):
-    """The same query under its older name."""
-    return cluster_scores(spark, d)
-
-
 XYZ = f"{PLACES}, p as (select id, cos(radians(lat)) * cos(radians(lon)) as x, cos(radians(lat)) * sin(radians(lon)) as y, sin(radians(lat)) as z from places)"
 KM = "2 * 6371.0 * asin(least(1, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) / 2))"
 
@@ -518,12 +556,6 @@ def conley_meat(spark, d):
     return fitted(within(spark, d), rows, "se double, n_placed long")
 
 
-@query(ORACLE_SQL["conley_meat"])
-def conley_meat_all_years(spark, d):
-    """The same query under its older name."""
-    return conley_meat(spark, d)
-
-
 def _spline_sql() -> str:
     """The natural cubic spline through four knots, its second derivatives by Cramer's rule."""
     d1, d2 = ("1 / h0", "-1 / h0 - 1 / h1", "1 / h1", "0"), ("0", "1 / h1", "-1 / h1 - 1 / h2", "1 / h2")
@@ -758,18 +790,6 @@ def ensemble_prob_floor(spark, d):
     return probability(spark, d, True)
 
 
-@query(ORACLE_SQL["ensemble_prob"])
-def ensemble_prob_all_dates(spark, d):
-    """The same query under its older name."""
-    return probability(spark, d, False)
-
-
-@query(ORACLE_SQL["ensemble_prob_floor"])
-def ensemble_prob_floor_all_dates(spark, d):
-    """The same query under its older name."""
-    return probability(spark, d, True)
-
-
 @query(f"with {MEMBERS}, e as (select hDate, cell, avg(value) as value from members group by 1, 2) select hDate, cell, round(value, 4) as value, round(value - avg(value) over (partition by cell), 4) as anomaly from e")
 def ensemble_anomaly(spark, d):
     """AG20."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from isotherm.schemas import SCHEMAS, nan_to_null
+from isotherm.sources.geometry import binary_of, polygons_of
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -47,10 +48,16 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return nan_to_null(spark.read.schema(SCHEMAS.get(schema, schema)).csv(path, header=True))
 
 
-def read_vectors(spark: SparkSession, path: str, ignore: list[str] = ()) -> DataFrame:
-    """A table of units with a ``geometry`` column (rings as arrays, or WKB); ``ignore`` is never read."""
+def read_vectors(spark: SparkSession, path: str, ignore: list[str] = (), geometry: str = "geometry", to: str = "polygons") -> DataFrame:
+    """A table of units; ``ignore`` is never read, and a binary ``geometry`` is decoded to polygons."""
     df = spark.read.parquet(path)
-    return df.select(*[c for c in df.columns if c not in ignore])
+    df = df.select(*[c for c in df.columns if c not in ignore])
+    return df.withColumn(to, polygons_of(geometry)).drop(geometry) if dict(df.dtypes).get(geometry) == "binary" else df
+
+
+def write_vectors(df: DataFrame, path: str, polygons: str = "polygons", geometry: str = "geometry") -> None:
+    """Rows with polygons as Parquet with a binary geometry."""
+    df.withColumn(geometry, binary_of(polygons)).drop(polygons).write.mode("overwrite").parquet(path)
 
 
 def read_cube(spark: SparkSession, path: str, variable: str, fmt: str = "netcdf") -> DataFrame:

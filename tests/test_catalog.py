@@ -58,10 +58,10 @@ WHOLE = ("twoway_within", "fe_ols_beta", "cluster_scores", "conley_meat")
 
 
 def test_whole_panel_and_nations(spark):
-    years = {r.year for r in catalog.QUERIES["twoway_within_all_years"](spark, DATA).select("year").distinct().collect()}
+    years = {r.year for r in catalog.QUERIES["twoway_within"](spark, DATA).select("year").distinct().collect()}
     assert years == set(range(1995, 2002))
-    assert not any("2000" in catalog.ORACLE_SQL[f"{k}_all_years"] for k in WHOLE)
-    assert {r.v for r in catalog.QUERIES["null_safe_join_all_nations"](spark, BIGGER).collect()} >= {5, 6}
+    assert not any("2000" in catalog.ORACLE_SQL[k] for k in WHOLE)
+    assert {r.v for r in catalog.QUERIES["null_safe_join"](spark, BIGGER).collect()} >= {5, 6}
 
 
 def test_whole_unbalanced_panel_matches_lsdv(spark, tmp_path):
@@ -74,14 +74,14 @@ def test_whole_unbalanced_panel_matches_lsdv(spark, tmp_path):
     d = np.array([[i == u for u in range(1, 21)] + [t == y for y in range(1995, 2002)] for i, t in held], dtype=float)
     z = np.array([(x[2] / 1000, x[3] * 10) for x in lines])
     z -= d @ np.linalg.lstsq(d, z, rcond=None)[0]
-    got = {(x.unit, x.year): (x.y, x.x1) for x in catalog.QUERIES["twoway_within_all_years"](spark, str(tmp_path)).collect()}
+    got = {(x.unit, x.year): (x.y, x.x1) for x in catalog.QUERIES["twoway_within"](spark, str(tmp_path)).collect()}
     assert np.allclose([got[k] for k in held], z, atol=1e-5) and len(got) == len(held)
     beta = float(z[:, 1] @ z[:, 0] / (z[:, 1] @ z[:, 1]))
-    fit = catalog.QUERIES["fe_ols_beta_all_years"](spark, str(tmp_path)).first()
+    fit = catalog.QUERIES["fe_ols_beta"](spark, str(tmp_path)).first()
     assert fit.n == len(held) and abs(fit.beta - beta) < 1e-5 and abs(fit.rss - float(((z[:, 0] - beta * z[:, 1]) ** 2).sum())) < 1e-3
 
 
-@pytest.mark.parametrize("name", ["ensemble_prob_all_dates", "ensemble_prob_floor_all_dates"])
+@pytest.mark.parametrize("name", ["ensemble_prob", "ensemble_prob_floor"])
 def test_every_member_is_scored(spark, name):
     assert "month(" not in catalog.ORACLE_SQL[name]
     every = connection(DATA).execute("with x as (select *, l_partkey % 12 as c, year(l_shipdate) as y, dayofyear(l_shipdate) as d, l_extendedprice as v from lineitem), lim as (select c, d, quantile_cont(v, 0.9) as t from x where y <= 1999 group by 1, 2) select y, x.c, sum(case when v >= t then 1 else 0 end), count(*) from x left join lim on lim.c = x.c and lim.d = least(x.d, 365) group by 1, 2")

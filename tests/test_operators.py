@@ -70,14 +70,6 @@ def test_zonal_masks(spark):
     assert [(r.unit, r.weighted, r.plain, r.total_weight, r.n_cells) for r in row] == [(1, 3.5, 3.0, 4.0, 2)]
 
 
-def test_burn_later_wins_and_touches(spark):
-    square = lambda w, s, e, n: [[(w, s), (e, s), (e, n), (w, n), (w, s)]]
-    rows = [(0, square(0.2, 0.2, 1.8, 1.8)), (1, square(1.6, 1.6, 2.4, 2.4))]
-    df = spark.createDataFrame(rows, "raster_id int, rings array<array<struct<lon:double,lat:double>>>")
-    got = {(90 - r.lat_i, r.lon_i - 180): r.raster_id for r in zonal.burn(df, step=1.0).collect()}
-    assert got == {(a, o): (1 if a == o == 2 else 0) for a in (0, 1, 2) for o in (0, 1, 2)}
-
-
 def test_mollweide_known_points(spark):
     r = 6378137.0
     df = spark.createDataFrame([(0.0, 0.0), (0.0, r * math.sqrt(2)), (2 * math.sqrt(2) * r, 0.0), (9e7, 0.0)], "x double, y double")
