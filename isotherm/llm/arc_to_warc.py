@@ -10,7 +10,7 @@ Heads and payloads are bytes from end to end, whatever their encoding.  Records
 status line become responses (or revisits); others become resources, whole.  What cannot be
 parsed (a header of too few fields, without a date or a length; a declared length beyond the end; broken
 compression) goes to a table of rejects with its file and offset, and reading goes on at the next line that is
-a header; spaces in a url are no damage, as fields are taken from the right.
+a header, or at the next member of the compression; spaces in a url are no damage, as fields are taken from the right.
 
 Files are written by Spark's text writer, whose separator is the archives'
 own end of record ("\\n", "\\r\\n\\r\\n"), so the commit protocol, retries and any
@@ -50,6 +50,7 @@ ARC_FIELDS = {
 WARC_END = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 CRAWL_DATE = "20240101000000"
+GZIP = b"\x1f\x8b\x08"
 
 
 def base32_sha1(data: bytes) -> str:
@@ -100,30 +101,74 @@ class _Stream:
 
     def __init__(self, data: bytes):
         self.data, self.at, self.buffer, self.offset = memoryview(data), 0, bytearray(), 0
-        self.packed = data[:2] == b"\x1f\x8b"
-        self.unpacker = zlib.decompressobj(31)
+        self.packed = data[:2] == GZIP[:2]
+        self.member, self.unpacker = 0, zlib.decompressobj(31)
+        self.broken: str | None = None
 
     def _more(self) -> bool:
-        if self.at >= len(self.data):
+        if self.broken or self.at >= len(self.data):
             return False
         piece = self.data[self.at : self.at + (1 << 18)]
         self.at += len(piece)
         if not self.packed:
             self.buffer += piece
             return True
-        self.buffer += self.unpacker.decompress(piece)
+        before = self.unpacker.copy()
+        try:
+            self.buffer += self.unpacker.decompress(piece)
+        except zlib.error as e:
+            self.broken = str(e)
+            self._salvage(before, piece)
+            return True
         if self.unpacker.eof:
             self.at -= len(self.unpacker.unused_data)
-            self.unpacker = zlib.decompressobj(31)
+            self.member, self.unpacker = self.at, zlib.decompressobj(31)
         return True
 
+    def _salvage(self, unpacker, piece: memoryview) -> None:
+        """What a broken member holds before its damage."""
+        for size in (64, 1):
+            for i in range(0, len(piece), size):
+                before = unpacker.copy()
+                try:
+                    self.buffer += unpacker.decompress(piece[i : i + size])
+                except zlib.error:
+                    unpacker, piece = before, piece[i : i + size]
+                    break
+
+    def resume(self) -> bool:
+        """Behind a damage of the compression: on to the next member that opens; what is left before it belongs to no record."""
+        self.offset += len(self.buffer)
+        self.buffer.clear()
+        data = self.data.obj
+        while (start := data.find(GZIP, self.member + 1)) >= 0:
+            self.member = start
+            try:
+                zlib.decompressobj(31).decompress(self.data[start : start + (1 << 16)])
+            except zlib.error:
+                continue
+            self.at, self.unpacker, self.broken = start, zlib.decompressobj(31), None
+            return True
+        self.at, self.broken = len(data), None
+        return False
+
+    def put_back(self, taken: bytes) -> None:
+        self.buffer[:0] = taken
+        self.offset -= len(taken)
+
+    def at_end_of_record(self) -> bool:
+        """Whether a line end, as stands before every record, or the end follows."""
+        while not self.buffer and self._more():
+            pass
+        return not self.buffer or self.buffer[:1] in (b"\n", b"\r")
+
     def line(self) -> bytes | None:
         """Up to and without the next line end; nothing at the end of the file."""
         searched = 0
         while (end := self.buffer.find(b"\n", searched)) < 0:
             searched = len(self.buffer)
             if not self._more():
-                return None if not self.buffer else self.take(len(self.buffer))
+                return None if self.broken or not self.buffer else self.take(len(self.buffer))
         out = self.take(end)
         self.take(1)
         return out
@@ -148,25 +193,36 @@ def header_of(line: bytes, fields: list[str]) -> dict[str, str] | None:
     values = line.rstrip(b"\r").rsplit(b" ", len(fields) - 1)
     named = dict(zip(fields, map(_text, values), strict=False))
     date, length = named.get("Archive-date", ""), named.get("Archive-length", "")
-    return named if re.fullmatch(r"[0-9]{12,17}", date) and re.fullmatch(r"[0-9]{1,18}", length) else None
+    return named if named.get("URL", "-") and re.fullmatch(r"[0-9]{12,17}", date) and re.fullmatch(r"[0-9]{1,18}", length) else None
 
 
 def arc_records(data: bytes) -> Iterator[dict]:
-    """Records of an ARC file of either version: its header fields by name, ``offset`` and ``body``; of damage ``offset`` and ``reason``."""
+    """Records of an ARC file of either version: its header fields by name, ``offset`` and ``body``; of damage ``offset`` and ``reason``.
+
+    Behind a damage reading goes on: at the next header line after a length that is too long or too short, at the next
+    member after broken compression (what the broken one holds before its damage is read).  A file
+    without a version block is one reject.
+    """
     stream, fields, name, lost = _Stream(data), None, "", False
     while True:
         offset = stream.offset
-        try:
-            line = stream.line()
-            if line is None:
+        line = stream.line()
+        if line is None:
+            if stream.broken is None:
                 return
-            if not line.strip():
-                continue
+            if not lost:
+                yield {"name": name, "offset": offset, "reason": stream.broken}
+            lost = True
+            if fields is None or not stream.resume():
+                return
+            continue
+        if not line.strip():
+            continue
+        try:
             if fields is None:
                 size = line.rsplit(b" ", 1)[-1].strip()
                 if not line.startswith(b"filedesc://") or not size.isdigit():
-                    yield {"name": name, "offset": offset, "reason": "the file has no version block"}
-                    return
+                    raise ValueError("the file has no version block")
                 name = _text(line.split(b" ")[0]).removeprefix("filedesc://")
                 block = stream.take(int(size)).split(b"\n")
                 fields = _text(block[1]).strip().split(" ") if len(block) > 1 else []
@@ -177,11 +233,18 @@ def arc_records(data: bytes) -> Iterator[dict]:
                     yield {"name": name, "offset": offset, "reason": "no header"}
                 lost = True
                 continue
+            body = stream.take(int(head["Archive-length"]))
+            if not stream.at_end_of_record():
+                stream.put_back(body)
+                raise ValueError(f"{len(body)} bytes are declared at offset {offset}, and no record ends there")
             lost = False
-            yield head | {"name": name, "offset": offset, "body": stream.take(int(head["Archive-length"]))}
-        except (ValueError, zlib.error) as e:
-            yield {"name": name, "offset": offset, "reason": str(e)}
-            return
+            yield head | {"name": name, "offset": offset, "body": body}
+        except ValueError as e:
+            yield {"name": name, "offset": offset, "reason": stream.broken or str(e)}
+            if fields is None:
+                return
+            # what follows the header line is read as lines, up to the next header
+            lost = True
 
 
 def http_parts(block: bytes) -> tuple[bytes, bytes, dict[str, str]]:

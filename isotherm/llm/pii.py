@@ -318,12 +318,13 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ge
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(row, start, levels(kind, text[start:stop])[0]) for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for start, kind, stop in base_spans(text)]
+            out = [(row, f"{KINDS[kind]}:{start}", levels(kind, text[start:stop])[0]) for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for start, kind, stop in base_spans(text)]
             columns = list(zip(*out, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string()), strict=True)], names=["row", "start", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)], names=["row", "at", "value"])
 
-    named = found.where("base <> ''").select("row", "text").mapInArrow(values, "row long, start int, value string")
-    names = named.join(safe, "value").groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct("start", "general"))).alias("names"))
+    named = found.where("base <> ''").select("row", "text").mapInArrow(values, "row long, at string, value string")
+    # spans of one kind never start at one place
+    names = named.join(safe, "value").groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct("at", "general"))).alias("names"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,7 +334,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ge
                 done, at = [], 0
                 for kind, start, stop in (x.split(":") for x in spans.split(",") if x):
                     if int(start) >= at:
-                        name = wider.get(int(start), kind).split(":", 1)
+                        name = wider.get(f"{kind}:{start}", kind).split(":", 1)
                         done += [text[at : int(start)], "<" + " ".join([name[0].upper(), *name[1:]]) + ">" if general else ""]
                     at = max(at, int(stop))
                 out.append("".join(done) + text[at:])

@@ -15,6 +15,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
@@ -414,6 +415,46 @@ def test_arc_versions_and_damage():
     assert list(arc_to_warc.arc_records(b"")) == []
 
 
+def zipped(data):
+    packer = zlib.compressobj(wbits=31)
+    return packer.compress(data) + packer.flush()
+
+
+@pytest.mark.parametrize("v", [1, 2])
+def test_records_behind_a_damage(v):
+    """Lengths that are too long (beyond the file, or into other records) and too short; broken members and broken streams."""
+    good = [(f"http://u/{i}".encode(), f"body {i}\nof lines\n".encode() * 20) for i in range(6)]
+    whole = arc_file(v, *good)
+    starts = [whole.index(b"http://u/%d" % i) for i in range(6)]
+
+    def urls(data):
+        out = list(arc_to_warc.arc_records(data))
+        return [r["URL"][-1] for r in out if "reason" not in r], sum("reason" in r for r in out)
+
+    assert urls(whole) == (list("012345"), 0)
+    length = str(len(good[2][1])).encode()
+    for wrong in (b"99999", b"700", b"100"):
+        line = whole[starts[2] : whole.index(b"\n", starts[2])]
+        assert line.endswith(b" " + length)
+        bad = whole[: starts[2]] + line[: -len(length)] + wrong + whole[starts[2] + len(line) :]
+        assert urls(bad) == (list("01345"), 1)
+        assert urls(zipped(bad)) == (list("01345"), 1)
+    # a member per record, as crawlers write: one is broken in its midst, one at its end
+    members = [zipped(whole[: starts[0]])] + [zipped(whole[a:b]) for a, b in zip(starts, [*starts[1:], len(whole)], strict=True)]
+    for k in (1, 3, 6):
+        cut = members[k][:20] + b"\xff\xff\xff\xff" + members[k][24:]
+        got = urls(b"".join([*members[:k], cut, *members[k + 1 :]]))
+        assert got == ([c for i, c in enumerate("012345") if i != k - 1], 1)
+    late = members[3][:-8] + b"\0\0\0\0" + members[3][-4:]  # a wrong checksum: the record itself is whole
+    assert urls(b"".join([*members[:3], late, *members[4:]])) == (list("012345"), 1)
+    # one stream: what comes before the damage is read
+    g = random.Random(1)
+    many = arc_file(v, *[(f"http://u/{i % 10}".encode(), bytes(g.choices(range(97, 123), k=3000))) for i in range(40)])
+    packed = zipped(many)
+    found, rejects = urls(packed[: len(packed) // 2] + b"\xff" * 8 + packed[len(packed) // 2 + 8 :])
+    assert 12 <= len(found) <= 22 and rejects == 1
+
+
 def test_convert_foreign_archives(spark, tmp_path):
     page = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=iso-8859-1\r\n\r\ncaf\xe9"
     files = {"a.arc": arc_file(1, (b"http://x/1 2", page), (b"dns:x", b"1.2.3.4"), b"http://u damaged", (b"http://x/2", page)), "b.arc": arc_file(2, (b"http://x/3", page))[:-2]}
@@ -565,6 +606,14 @@ def test_values_are_generalised(spark):
     assert "<" not in gone[0] and "@" not in gone[300]
 
 
+def test_two_kinds_at_one_place(spark):
+    """An address that is an email and an ip from its first character on, both with a wider entity that is safe."""
+    rows = [(i, f"{words(5, i)} 10.0.0.{i % 250}@corp.example {words(5, 900 + i)}") for i in range(80)] + [(200 + i, words(9, 50 + i)) for i in range(320)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert len(clean) == 400 and all("<EMAIL *@corp.example>" in clean[i] and "10.0.0" not in clean[i] for i in range(80))
+
+
 def test_disclosing_terms(spark, docs, none):
     rows = [(100 + i, f"{words(8, i)} secretmoniker bob@corp.example.com {words(8, i + 50)}", *EXTRA) for i in range(6)]
     df = docs.unionByName(spark.createDataFrame(rows, SCHEMA))
@@ -662,6 +711,46 @@ def test_scans_in_increments_share_a_ledger(spark, docs, tmp_path):
     assert ledger.read().count() == before
 
 
+def brute_secrets(text):
+    found = []
+    for k, rule in enumerate(secret_scan.RULES):
+        for m in re.finditer(rule.pattern.replace("(?i:", "(?i:"), text):
+            if len(m[rule.group]) >= rule.least:
+                found.append((m.start(), k, m.end()))
+    return sorted(found)
+
+
+def brute_masked(text, mask="[SECRET]"):
+    done, at = [], 0
+    for a, _, b in brute_secrets(text):
+        if a >= at:
+            done += [text[at:a], mask]
+        at = max(at, b)
+    return "".join(done) + text[at:]
+
+
+def test_spans_and_masks_as_plain_patterns(spark):
+    """Matches of several kinds, some over each other, in runs longer than one cut of the text."""
+    g = random.Random(8)
+    parts = ["token=abcdef123", "secret: AKIA" + "A" * 18, "api_key='" + "ab" * 15 + "'", "deadbeef" * 4, "é🙂", " ", "password =x", "AKIA1", "\n", "plain words"]
+    rows = [(i, "".join(g.choices(parts, k=n))) for i, n in enumerate((0, 1, 2, 30, 300, 2500))] + [(90, "token=abcdef"), (91, "token=" + "ab" * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.path: [(s.start, s.order, s.stop) for s in r.found] for r in secret_scan.scan_secrets(df).collect()}
+    assert {i: [(a, k + 1, b) for a, k, b in brute_secrets(t)] for i, t in rows} == got and len(got[5]) > 2 * secret_scan.PIECE
+    assert {r.doc_id: r.text for r in secret_scan.redact_secrets(df).collect()} == {i: brute_masked(t) for i, t in rows}
+
+
+def test_many_findings_are_linear(spark):
+    df = spark.createDataFrame([(1, "token=abcdef123 x " * 32_000)], "doc_id long, text string")
+    secret_scan.redact_secrets(df.limit(0)).count()
+    secret_scan.secret_digests(df.withColumn("text", F.lit("token=abcdef123 x"))).collect()
+    began = time.time()
+    assert secret_scan.secret_digests(df).first().n_assign == 32_000
+    one = time.time()
+    assert secret_scan.redact_secrets(df).first().text == "[SECRET] x " * 32_000
+    assert one - began < 8 and time.time() - one < 8
+
+
 def test_secrets_masked(spark, docs):
     clean = {r.doc_id: r.text for r in secret_scan.redact_secrets(docs).collect()}
     assert clean[12] == "é🙂 [SECRET] a@b.co" and clean[9] == LONG and clean[0] is None
