@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from isotherm.functions.scalar import finite
-from isotherm.functions.stats import t_p_value
+from isotherm.functions.stats import t_tail
 from isotherm.operators.exceedance import exceeds
 
 
@@ -44,7 +51,7 @@ def anomaly(df: DataFrame, cell: list[str], value: str, to: str = "anomaly") ->
 
 
 def pointwise_ols(df: DataFrame, cell: list[str], x: str, y: str, least: int = 2) -> DataFrame:
-    """Slope, standard error and p-value per cell over finite pairs; all in built-in aggregates but the t tail."""
+    """Slope, standard error and p-value per cell over finite pairs; all in built-in aggregates and expressions."""
     rows = df.where(finite(x) & finite(y))
     fit = rows.groupBy(*cell).agg(
         F.regr_slope(y, x).alias("slope"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"), F.regr_count(y, x).alias("n")
@@ -53,7 +60,7 @@ def pointwise_ols(df: DataFrame, cell: list[str], x: str, y: str, least: int = 2
     se = F.when((F.col("n") > 2) & (F.col("sxx") > 0) & (F.col("syy") > 0), F.sqrt(F.greatest(1 - r2, F.lit(0.0)) * F.col("syy") / F.col("sxx") / (F.col("n") - 2)))
     out = fit.withColumn("stderr", se)
     t = F.when(F.col("stderr") > 0, F.col("slope") / F.col("stderr"))
-    return out.withColumn("p_value", F.when(F.col("stderr") == 0, 0.0).otherwise(t_p_value(t, (F.col("n") - 2).cast("double")))).select(*cell, "slope", "p_value", "stderr", "n")
+    return out.withColumn("p_value", F.when(F.col("stderr") == 0, 0.0).otherwise(t_tail(t, (F.col("n") - 2).cast("double")))).select(*cell, "slope", "p_value", "stderr", "n")
 
 
 def significant(df: DataFrame, columns: list[str], p: str = "p_value", level: float = 0.05) -> DataFrame:
@@ -91,52 +98,63 @@ def risk_ratio(slope: str = "slope") -> Column:
 
 # ---- smoothing ---------------------------------------------------------------------------
 
+#: fixed values: kilometres of a degree
 KM_PER_LAT, KM_PER_LON = 110.574, 111.320
+#: fixed values: least cosine and, in rows of latitude, least cap of the width along a row
+LEAST_COS, LEAST_CAP = 0.05, 200.0
+
+
+def gaussian(sigma: float) -> np.ndarray:
+    """Weights of a Gaussian to four sigma on both sides, which add up to 1."""
+    reach = int(4 * sigma + 0.5)
+    w = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    return w / w.sum()
 
 
-def _reach(sigma: float) -> int:
-    return int(4 * sigma + 0.5)
+def _along(df: DataFrame, keys: list[str], axis: str, value: str, n: int, edge: str, sigma: Callable[[tuple], float], whole: bool) -> DataFrame:
+    """Each line of ``n`` cells (``keys`` name it) as one array, convolved.
+
+    ``edge``: how the line goes on beyond its ends, as ``numpy.pad`` names it.  Missing cells count as 0.  ``known``
+    marks cells that had a value at first; with ``whole`` the others are there as well, for the next axis.
+    """
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField(axis, T.IntegerType()), T.StructField(value, T.DoubleType()), T.StructField("known", T.BooleanType())])
+    arrow = to_arrow_schema(schema)
 
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        at = table.column(axis).to_numpy()
+        line, known = np.zeros(n), np.zeros(n, dtype=bool)
+        line[at] = table.column(value).to_numpy()
+        known[at] = table.column("known").to_numpy(zero_copy_only=False)
+        w = gaussian(sigma(tuple(k.as_py() for k in key)))
+        smooth = np.convolve(np.pad(line, len(w) // 2, mode=edge), w, mode="valid")
+        kept = np.arange(n) if whole else np.flatnonzero(known)
+        own = [pa.array([k.as_py()] * len(kept), f.type) for k, f in zip(key, arrow, strict=False)]
+        return pa.Table.from_arrays([*own, pa.array(kept.astype(np.int32)), pa.array(smooth[kept]), pa.array(known[kept])], schema=arrow)
 
-def _spread(df: DataFrame, by: list[str], along: str, value: str, reach: Column, sigma: Column, place: Column) -> DataFrame:
-    """Each value to all cells within reach, weighted by a Gaussian that is normalised over its whole reach."""
-    far = df.withColumn("_r", reach).withColumn("_s", sigma).withColumn("_o", F.explode(F.sequence(-F.col("_r"), F.col("_r"))))
-    w = F.exp(-0.5 * F.pow(F.col("_o") / F.col("_s"), 2))
-    whole = F.aggregate(F.sequence(-F.col("_r"), F.col("_r")), F.lit(0.0), lambda a, o: a + F.exp(-0.5 * F.pow(o / F.col("_s"), 2)))
-    moved = far.withColumn("_w", w / whole).withColumn(along, place)
-    return moved.groupBy(*by, along).agg(F.sum(F.col(value) * F.col("_w")).alias(value))
+    return df.groupBy(*keys).applyInArrow(run, schema)
+
+
+def _values(df: DataFrame, value: str, by: list[str], row: str, column: str) -> DataFrame:
+    cells = [F.col(c).cast("int").alias(c) for c in (row, column)]
+    return df.where(finite(value)).select(*by, *cells, F.col(value).cast("double").alias(value), F.lit(True).alias("known"))
 
 
 def smooth(df: DataFrame, value: str, by: list[str], step: float, n_lat: int, n_lon: int, radius_km: float = 200.0, north: float = 90.0, lat: str = "lat_i", lon: str = "lon_i") -> DataFrame:
     """Gaussian of a radius in km: along latitude (ends repeat), then along longitude (wraps), missing cells as 0 and missing again after.
 
-    Weights by offset are an explode and a grouped sum: a cell reaches
-    ``8 sigma + 1`` neighbours, and sums combine before the shuffle.
+    A grid line is one array: two shuffles of the cells, by column and by row, and no row per neighbour.
     """
     s_lat = radius_km / KM_PER_LAT / step
-    r_lat = _reach(s_lat)
-    keys = [*by, lat, lon]
-    real = df.where(finite(value))
-    known = real.select(*keys)
-    # ends repeat: the border row stands for the rows beyond it
-    border = F.when(F.col(lat) == 0, F.sequence(F.lit(-r_lat), F.lit(0))).when(F.col(lat) == n_lat - 1, F.sequence(F.lit(n_lat - 1), F.lit(n_lat - 1 + r_lat))).otherwise(F.array(F.col(lat)))
-    rows = real.select(*by, lon, F.explode(border).alias(lat), F.col(value).cast("double").alias(value))
-    first = _spread(rows, [*by, lon], lat, value, F.lit(r_lat), F.lit(float(s_lat)), F.col(lat) + F.col("_o")).where(F.col(lat).between(0, n_lat - 1))
-    cos = F.greatest(F.cos(F.radians(F.lit(north) - F.col(lat) * F.lit(step))), F.lit(0.05))
-    s_lon = F.least(F.lit(radius_km / KM_PER_LON / step) / cos, F.lit(float(max(3 * s_lat, 200.0))))
-    second = _spread(first, [*by, lat], lon, value, (4 * s_lon + 0.5).cast("int"), s_lon, F.pmod(F.col(lon) + F.col("_o"), F.lit(n_lon)))
-    return second.join(known, keys, "left_semi")
+
+    def s_lon(key: tuple) -> float:
+        cos = max(math.cos(math.radians(north - key[-1] * step)), LEAST_COS)
+        return min(radius_km / KM_PER_LON / step / cos, max(3 * s_lat, LEAST_CAP))
+
+    first = _along(_values(df, value, by, lat, lon), [*by, lon], lat, value, n_lat, "edge", lambda key: s_lat, True)
+    return _along(first, [*by, lat], lon, value, n_lon, "wrap", s_lon, False).select(*by, lat, lon, value)
 
 
 def smooth_isotropic(df: DataFrame, value: str, by: list[str], sigma: float, n_rows: int, n_columns: int, row: str = "lat_i", column: str = "lon_i") -> DataFrame:
     """Gaussian of ``sigma`` cells along both axes, edges mirrored, missing cells as 0 and missing again after."""
-    reach = _reach(sigma)
-    out = df.where(finite(value)).select(*by, row, column, F.col(value).cast("double").alias(value))
-    known = out.select(*by, row, column)
-    for axis, n, other in ((row, n_rows, column), (column, n_columns, row)):
-        turns = range(-(reach // (2 * n)) - 1, reach // (2 * n) + 2)
-        images = [F.lit(2 * n * k) + x for k in turns for x in (F.col(axis), -1 - F.col(axis))]
-        near = F.array_compact(F.array(*[F.when((x >= -reach) & (x < n + reach), x) for x in images]))
-        mirrored = out.select(*by, other, value, F.explode(near).alias(axis))
-        out = _spread(mirrored, [*by, other], axis, value, F.lit(reach), F.lit(float(sigma)), F.col(axis) + F.col("_o")).where(F.col(axis).between(0, n - 1))
-    return out.join(known, [*by, row, column], "left_semi").select(*by, row, column, value)
+    first = _along(_values(df, value, by, row, column), [*by, column], row, value, n_rows, "symmetric", lambda key: sigma, True)
+    return _along(first, [*by, row], column, value, n_columns, "symmetric", lambda key: sigma, False).select(*by, row, column, value)

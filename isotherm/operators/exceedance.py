@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import calendar
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from isotherm.functions.calendar import CIRCLE, pooled_days
 from isotherm.functions.percentile import METHODS
+from isotherm.operators.panel import null_safe_left
 
 #: percentiles of one sorted pool of values; the place is a fraction of its last index
 POOLED = {
@@ -22,55 +22,151 @@ POOLED = {
 }
 
 
-def _possible_days(months: list[int]) -> list[int]:
-    """Days of the year that fall in the months, in leap years or others."""
-    days = set()
-    for year in (2000, 2001):
-        ends = np.cumsum([0] + [calendar.monthrange(year, m)[1] for m in range(1, 13)])
-        days |= {d for m in months for d in range(ends[m - 1] + 1, ends[m] + 1)}
-    return sorted(int(d) for d in days)
+#: rows that a task sorts by cell at once before they are shuffled
+PACK = 1 << 20
+#: what a row is for: the climatology, the season; whether it has a value
+BASE, SEASON, VALID = 1, 2, 4
 
 
-def _cell_thresholds(cell: list[str], value: str, days: list[int], share: float, half_width: int, method: str, schema: pa.Schema) -> Callable[[pa.Table], pa.Table]:
-    """One cell's thresholds: its values in the order of days, three times round the circle, so that each window is a slice."""
-    pick, wanted = POOLED[method], np.array(days)
+def seen_days(daily: DataFrame, date: str, years: tuple[int, int], months: list[int]) -> list[int]:
+    """Calendar days that fall in the months in any of the years; at most 366, found by a scan of the dates alone."""
+    rows = daily.where(F.year(date).between(*years) & F.month(date).isin(months)).select(F.dayofyear(date).alias("doy")).distinct().collect()
+    return sorted(r.doy for r in rows)
 
-    def run(table: pa.Table) -> pa.Table:
-        doy, values = table.column("doy").to_numpy(), table.column(value).to_numpy()
-        order = np.argsort(doy, kind="stable")
-        doy, values = doy[order].astype(np.int64), np.tile(values[order], 3)
-        circle = np.concatenate([doy - CIRCLE, doy, doy + CIRCLE])
-        low, high = np.searchsorted(circle, wanted - half_width, side="left"), np.searchsorted(circle, wanted + half_width, side="right")
-        full = np.flatnonzero(high > low)
-        found = [pick(np.sort(values[a:b]), share) for a, b in zip(low[full], high[full], strict=True)]
-        key = [table.column(c).take(pa.array(np.zeros(len(full), dtype=np.int64))) for c in cell]
-        return pa.table([*key, pa.array(wanted[full], pa.int32()), pa.array(np.array(found, dtype=values.dtype if method == "nearest" else float))], names=schema.names).cast(schema)
 
-    return run
+def _number_type(kind: T.DataType) -> np.dtype | None:
+    """How values of a column are held in bytes; nothing for types that are not plain numbers."""
+    found = {T.FloatType: "<f4", T.DoubleType: "<f8", T.ByteType: "<i1", T.ShortType: "<i2", T.IntegerType: "<i4", T.LongType: "<i8"}.get(type(kind))
+    return np.dtype(found) if found else None
+
+
+def packed(rows: DataFrame, cell: list[str]) -> DataFrame:
+    """``cell..., d, y, u, v``: of ``rows`` (cell..., doy, year, use, value) a row per cell and task, the values as bytes.
+
+    So a cell's days are shuffled as a few rows of some eight bytes a day, not as rows of their own, and
+    are never sorted by Spark.
+    """
+    kind = _number_type(rows.schema["value"].dataType)
+
+    def pack(table: pa.Table) -> pa.RecordBatch:
+        codes = [table.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy() for c in cell]
+        order = np.lexsort(codes)
+        new = np.zeros(len(order), dtype=bool)
+        new[:1] = True
+        for c in codes:
+            new[1:] |= np.diff(c[order]) != 0
+        starts = np.flatnonzero(new)
+        value = table.column("value")
+        use = table.column("use").to_numpy() | np.where(value.is_valid().to_numpy(), VALID, 0)
+        parts = [table.column("doy").to_numpy().astype("<i2"), table.column("year").to_numpy().astype("<i2"), use.astype("u1"), value.fill_null(0).to_numpy().astype(kind)]
+        first = pa.array(order[starts])
+        keys = [table.column(c).combine_chunks().take(first) for c in cell]
+        return pa.RecordBatch.from_arrays([*keys, *(_blobs(x[order], starts) for x in parts)], names=[*cell, *"dyuv"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= PACK:
+                yield pack(pa.Table.from_batches(held))
+                held, n = [], 0
+        if n:
+            yield pack(pa.Table.from_batches(held))
+
+    schema = T.StructType([*[rows.schema[c] for c in cell], *[T.StructField(c, T.BinaryType()) for c in "dyuv"]])
+    return rows.select(*cell, "doy", "year", "use", "value").mapInArrow(run, schema)
+
+
+def _blobs(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    offsets = (np.append(starts, len(values)) * values.itemsize).astype("<i4")
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def _unpacked(table: pa.Table, kind: np.dtype) -> tuple[np.ndarray, ...]:
+    """Days, years, uses and values of a cell."""
+    return tuple(np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t) for c, t in zip("dyuv", ("<i2", "<i2", "u1", kind), strict=True))
+
+
+def _windows(doy: np.ndarray, values: np.ndarray, wanted: np.ndarray, share: float, half_width: int, method: str) -> tuple[np.ndarray, np.ndarray]:
+    """Days with values in their window, and the percentile of each: values in the order of days, three times round the circle, so that a window is a slice."""
+    pick = POOLED[method]
+    order = np.argsort(doy, kind="stable")
+    doy, values = doy[order].astype(np.int64), np.tile(values[order], 3)
+    circle = np.concatenate([doy - CIRCLE, doy, doy + CIRCLE])
+    low, high = np.searchsorted(circle, wanted - half_width, side="left"), np.searchsorted(circle, wanted + half_width, side="right")
+    full = np.flatnonzero(high > low)
+    return wanted[full], np.array([pick(np.sort(values[a:b]), share) for a, b in zip(low[full], high[full], strict=True)])
 
 
 def thresholds(daily: DataFrame, cell: list[str], value: str, date: str, years: tuple[int, int], load_months: list[int], season_months: list[int], percent: float = 95.0, half_width: int = 7, method: str = "nearest", to: str = "threshold") -> DataFrame:
     """``cell..., doy, threshold``: percentile of all values within ``half_width`` calendar days, over all years.
 
     Target days are the calendar days seen in a season month in any year.  Values
-    are shuffled once, by cell, and nulls leave before it.  Floats and integers
+    are shuffled once, by cell, packed (see ``packed``), and nulls leave before it.  Floats and integers
     then go cell by cell, as Arrow, to slices of a circle of days: a value is
     neither copied for each window nor kept beyond its cell (all days of the
     loaded months and years, some 3,000 values).  Other types and the
     approximate percentile explode each value to its windows instead.
     """
-    base = daily.where(F.year(date).between(*years) & F.month(date).isin(load_months)).withColumn("doy", F.dayofyear(date))
-    targets = F.broadcast(base.where(F.month(date).isin(season_months)).select(F.col("doy").alias("target_doy")).distinct())  # at most 366 rows
-    held = base.where(F.col(value).isNotNull()).select(*cell, "doy", value)
-    kind = daily.schema[value].dataType
-    if method in POOLED and isinstance(kind, (T.FloatType, T.DoubleType, T.IntegralType)) and 2 * half_width < CIRCLE:
-        fields = [daily.schema[c] for c in cell] + [T.StructField("target_doy", T.IntegerType()), T.StructField(to, kind if method == "nearest" else T.DoubleType())]
+    base = daily.where(F.year(date).between(*years) & F.month(date).isin(load_months))
+    targets = seen_days(base, date, years, season_months)
+    held = base.where(F.col(value).isNotNull()).select(*cell, F.dayofyear(date).alias("doy"), F.col(value).alias("value"))
+    kind = _number_type(daily.schema[value].dataType)
+    if method in POOLED and kind is not None and 2 * half_width < CIRCLE:
+        fields = [daily.schema[c] for c in cell] + [T.StructField("doy", T.IntegerType()), T.StructField(to, daily.schema[value].dataType if method == "nearest" else T.DoubleType())]
         schema = T.StructType(fields)
-        run = _cell_thresholds(cell, value, _possible_days(season_months), percent / 100, half_width, method, to_arrow_schema(schema))
-        found = held.groupBy(*cell).applyInArrow(run, schema).join(targets, "target_doy", "left_semi")
-        return found.select(*cell, F.col("target_doy").alias("doy"), to)
-    pooled = pooled_days(held.repartition(*cell), "doy", half_width).join(targets, "target_doy", "left_semi")
-    return pooled.groupBy(*cell, F.col("target_doy").alias("doy")).agg(METHODS[method](value, percent).alias(to))
+        arrow, wanted = to_arrow_schema(schema), np.array(targets, dtype=np.int64)
+
+        def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            doy, _, _, values = _unpacked(table, kind)
+            days, found = _windows(doy, values, wanted, percent / 100, half_width, method)
+            own = [pa.array([k.as_py()] * len(days), f.type) for k, f in zip(key, arrow, strict=False)]
+            return pa.table([*own, pa.array(days, pa.int32()), pa.array(found.astype(kind if method == "nearest" else float))], schema=arrow)
+
+        rows = held.select("*", F.lit(0).alias("year"), F.lit(BASE).alias("use"))
+        return packed(rows, cell).groupBy(*cell).applyInArrow(run, schema)
+    pooled = pooled_days(held.repartition(*cell), "doy", half_width).where(F.col("target_doy").isin(targets))
+    return pooled.groupBy(*cell, F.col("target_doy").alias("doy")).agg(METHODS[method]("value", percent).alias(to))
+
+
+def heat_frequency(daily: DataFrame, cell: list[str], value: str, date: str, years: tuple[int, int], load_months: list[int], season_months: list[int], freq_years: tuple[int, int], percent: float = 95.0, half_width: int = 7, method: str = "nearest", year: Column | None = None, inclusive: bool = False, nodata: str = "zero") -> DataFrame:
+    """``frequency`` over ``thresholds`` of the same table, in one shuffle: a cell's climatology, its thresholds and its season's days meet in one place.
+
+    Only for floats and integers, and for ``nearest`` and ``linear``.
+    """
+    kind = _number_type(daily.schema[value].dataType)
+    if kind is None or method not in POOLED or 2 * half_width >= CIRCLE:
+        limits = thresholds(daily, cell, value, date, years, load_months, season_months, percent, half_width, method)
+        return frequency(daily, limits, cell, value, date, season_months, freq_years, year, inclusive=inclusive, nodata=nodata)
+    base = F.year(date).between(*years) & F.month(date).isin(load_months)
+    own_year = F.year(date) if year is None else year
+    season = F.month(date).isin(season_months) & own_year.between(*freq_years)
+    use = F.when(base, BASE).otherwise(0) + F.when(season, SEASON).otherwise(0)
+    rows = daily.where(base | season).select(*cell, F.dayofyear(date).alias("doy"), own_year.alias("year"), use.alias("use"), F.col(value).alias("value"))
+    wanted = np.array(seen_days(daily.where(base), date, years, season_months), dtype=np.int64)
+    counts = ("n_days", "n_exceed", "_n")
+    schema = T.StructType([*[daily.schema[c] for c in cell], T.StructField("year", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in counts]])
+    arrow = to_arrow_schema(schema)
+    held = kind if method == "nearest" and kind.kind == "f" else np.dtype(float)
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        doy, years_, use, values = _unpacked(table, kind)
+        of_base = use & (BASE | VALID) == (BASE | VALID)
+        limit = np.full(CIRCLE + 1, np.nan, dtype=held)  # nothing exceeds a day without a threshold
+        days, found = _windows(doy[of_base], values[of_base], wanted, percent / 100, half_width, method)
+        limit[days] = found
+        own = use & SEASON > 0
+        valid, at = use[own] & VALID > 0, limit[doy[own]]
+        hit = valid & (values[own] >= at if inclusive else values[own] > at)
+        which, place = np.unique(years_[own], return_inverse=True)
+        sums = [np.bincount(place, weights=w, minlength=len(which)).astype(np.int64) for w in (np.ones(len(place)), hit, valid)]
+        keys = [pa.array([k.as_py()] * len(which), f.type) for k, f in zip(key, arrow, strict=False)]
+        return pa.table([*keys, pa.array(which.astype(np.int32)), *map(pa.array, sums)], schema=arrow)
+
+    out = packed(rows, cell).groupBy(*cell).applyInArrow(run, schema)
+    freq = F.col("n_exceed") / F.col("n_days")
+    return out.withColumn("freq", freq if nodata == "zero" else F.when(F.col("_n") > 0, freq)).drop("_n")
 
 
 def exceeds(value: Column, limit: Column, inclusive: bool = False) -> Column:
@@ -87,7 +183,7 @@ def frequency(daily: DataFrame, limits: DataFrame, cell: list[str], value: str,
     year = F.year(date) if year is None else year
     days = daily.where(F.month(date).isin(months)).withColumns({"year": year, "doy": F.dayofyear(date)}).where(F.col("year").between(*years))
     hit = exceeds(F.col(value), F.col(limit), inclusive)
-    out = days.join(limits, [*(limit_cell or cell), "doy"], "left").groupBy(*cell, "year").agg(
+    out = null_safe_left(days, limits, [*(limit_cell or cell), "doy"]).groupBy(*cell, "year").agg(
         F.count("*").alias("n_days"), F.count_if(hit).alias("n_exceed"), F.count(value).alias("_n")
     )
     freq = F.col("n_exceed") / F.col("n_days")

@@ -190,8 +190,7 @@ def _freq_sql(test: str) -> str:
 
 
 def _freq(spark, d, inclusive: bool) -> DataFrame:
-    days = daily(spark, d)
-    return exceedance.frequency(days, limits(spark, d), ["cell"], "value", "date", SEASON, (1996, 2000), inclusive=inclusive).withColumn("freq", r("freq"))
+    return exceedance.heat_frequency(daily(spark, d), ["cell"], "value", "date", YEARS, LOAD, SEASON, (1996, 2000), inclusive=inclusive).withColumn("freq", r("freq"))
 
 
 @query(_freq_sql(">"))
@@ -592,7 +591,7 @@ CONTROL_SETS = {"bare": [], "full": ["x2"]}
 
 @query()
 def regression_table(spark, d):
-    """EC8 to EC14, EC16, PJ11, AG23 to AG25, ST5, PJ5, FL10: both control sets, every specification and the lags, as one tidy table."""
+    """EC8 to EC14, EC16, PJ11, AG23 to AG25, ST5, PJ5, FL10, FL16: both control sets, every specification and the lags, as one tidy table."""
     u = units(spark, d)
     heat = u.select("unit", "year", "country", "x1", "x2")
     return specs.regression_table(study(spark, d), CONTROL_SETS, heat=heat, growth=u.select("unit", F.col("year").alias("year_gdp"), F.col("y").alias("growth")))
@@ -602,20 +601,28 @@ def regression_table(spark, d):
 # one regressor: its standard errors are plain sums.
 
 
-def _fit_sql(n: str, source: str, y: str, x: str, control: str | None) -> str:
-    """CTEs ``n_p`` (unit, year, y, x) without trends, effects and control, and ``n_b`` (beta and counts)."""
-    cols = dict.fromkeys([y, x, *([control] if control else [])])
+def _fit_sql(n: str, source: str, y: str, x: str, controls: list[str]) -> str:
+    """CTEs ``n_p`` (unit, year, y, x) without trends, effects and controls, and ``n_b`` (beta and counts).
+
+    Controls are projected out of one another and of the rest, one at a time.
+    """
+    cols = list(dict.fromkeys([y, x, *controls]))
     moments = ", ".join(f"sum({c}) as b0{c}, sum(t*{c}) as b1{c}, sum(t*t*{c}) as b2{c}" for c in cols)
     curves = ", ".join(f"(b2{c} - s2*b0{c}/n - s3*b1{c}/s2) / (s4 - s2*s2/n - s3*s3/s2) as q{c}" for c in cols)
     rest = ", ".join(f"{c} - (b0{c} - s2*q{c})/n - (b1{c} - s3*q{c})/s2*t - q{c}*t*t as {c}" for c in cols)
     effects = ", ".join(f"{c} - avg({c}) over (partition by unit) - avg({c}) over (partition by year) + avg({c}) over () as {c}" for c in cols)
-    out = lambda c: f"{c} - {control} * (select sum({c}*{control}) / sum({control}*{control}) from {n}_w)" if control else c
+    steps, last = "", f"{n}_w"
+    for i, c in enumerate(controls):
+        others = [o for o in cols if o not in controls[: i + 1]]
+        out = ", ".join(f"{o} - {c} * (select sum({o}*{c}) / sum({c}*{c}) from {last}) as {o}" for o in others)
+        steps += f", {n}_w{i} as (select unit, year, whole, {out} from {last})"
+        last = f"{n}_w{i}"
     return f"""{n}_c as (select *, year - avg(year) over (partition by country) as t from {source}),
       {n}_m as (select country, count(*) as n, sum(t*t) as s2, sum(t*t*t) as s3, sum(t*t*t*t) as s4, {moments} from {n}_c group by 1),
-      {n}_k as (select *, {curves} from {n}_m), {n}_d as (select unit, year, {rest} from {n}_c join {n}_k using (country)), {n}_w as (select unit, year, {effects} from {n}_d),
-      {n}_p as (select unit, year, {out(y)} as y, {out(x)} as x, {y} as whole from {n}_w),
+      {n}_k as (select *, {curves} from {n}_m), {n}_d as (select unit, year, {rest} from {n}_c join {n}_k using (country)), {n}_w as (select *, {y} as whole from (select unit, year, {effects} from {n}_d)){steps},
+      {n}_p as (select unit, year, {y} as y, {x} as x, whole from {last}),
       {n}_e as (select unit, year, x, y - x * (select sum(x*y) / sum(x*x) from {n}_p) as e, whole from {n}_p),
-      {n}_b as (select (select sum(x*y) / sum(x*x) from {n}_p) as beta, sum(x*x) as xx, 1 - sum(e*e) / sum(whole*whole) as r2, count(*) as n, count(distinct unit) as u, count(distinct year) as ys, {1 + bool(control)} as k from {n}_e),
+      {n}_b as (select (select sum(x*y) / sum(x*x) from {n}_p) as beta, sum(x*x) as xx, 1 - sum(e*e) / sum(whole*whole) as r2, count(*) as n, count(distinct unit) as u, count(distinct year) as ys, {1 + len(controls)} as k from {n}_e),
       {n}_u as (select unit, sum(x*e) as s from {n}_e group by 1), {n}_t as (select sum(x*e) as s, row_number() over (order by year) as i from {n}_e group by year)"""
 
 
@@ -648,7 +655,7 @@ def _tidy(results: DataFrame) -> DataFrame:
     return results.withColumns({"beta": r("beta"), "se": r("se"), "tstat": r("tstat", 4), "pval": r("pval"), "r2_within": r("r2_within")})
 
 
-_SETS = [("bare", None), ("full", "x2")]
+_SETS = [("bare", []), ("full", ["x2"])]
 _MAIN = ", ".join(_fit_sql(f"{name}_{y}", "st", y, "x1", c) for name, c in _SETS for y in ("growth", "residual"))
 _ALL_KINDS = ["clustered_entity", "clustered_time", "clustered_two_way", "driscoll_kraay", "conley_250", "conley_500", "conley_1000"]
 _MAIN_ROWS = " union all ".join(
@@ -663,8 +670,46 @@ def regression_main(spark, d):
     return _tidy(specs.regression_table(study(spark, d), CONTROL_SETS, chosen))
 
 
+# terciles of so few units as the tables have: in the small ones each part has fewer rows than a study would ask for
+def terciles_of_any_size(s: specs.Study) -> list[specs.Row]:
+    return specs.by_income(s, least_rows=60, least_units=8)
+
+
+_TWO = ["clustered_entity", "conley_500"]
+_DUMMIES = [f"d{k}" for k in range(2, 6)]
+_SHAPES, _SHAPE_ROWS = [], []
+for _name, _controls in _SETS:
+    for _x, _other in (("x1", "sq"), ("sq", "x1")):
+        _SHAPES.append(_fit_sql(f"{_name}_q{_x}", "st", "growth", _x, [_other, *_controls]))
+        _SHAPE_ROWS.append(_rows_sql(f"{_name}_q{_x}", f"{_name}_quadratic", "growth", {"x1": "x1", "sq": "heat_sq"}[_x], _TWO))
+    if _controls:
+        _SHAPES.append(_fit_sql(f"{_name}_qx2", "st", "growth", "x2", ["x1", "sq"]))
+        _SHAPE_ROWS.append(_rows_sql(f"{_name}_qx2", f"{_name}_quadratic", "growth", "x2", _TWO))
+    for _k in _DUMMIES:
+        _SHAPES.append(_fit_sql(f"{_name}_{_k}", "st", "growth", _k, [*[o for o in _DUMMIES if o != _k], *_controls]))
+        _SHAPE_ROWS.append(_rows_sql(f"{_name}_{_k}", f"{_name}_bins", "growth", f"bin_{_k[1]}", _TWO))
+    for _t in ("low", "mid", "high"):
+        _SHAPES.append(_fit_sql(f"{_name}_{_t}", f"st_{_t}", "growth", "x1", _controls))
+        _SHAPE_ROWS.append(_rows_sql(f"{_name}_{_t}", f"{_name}_income_{_t}", "growth", "x1", _TWO))
+_EXTRA = " union all ".join(
+    f"""select '{n}_quadratic', 'growth', 'turning_point', 'clustered_entity', round(-a.beta / (2 * b.beta), 6), null, null, null, round(a.r2, 6), cast(a.n as int), cast(a.u as int) from {n}_qx1_b a, {n}_qsq_b b union all
+    select '{n}_bins', 'growth', 'monotonic', 'none', case when (b3 >= b2 and b4 >= b3 and b5 >= b4) or (b3 <= b2 and b4 <= b3 and b5 <= b4) then 1.0 else 0.0 end, null, null, null, r2, n, u
+      from (select {", ".join(f"(select beta from {n}_{k}_b) as b{k[1]}" for k in _DUMMIES)}, round(r2, 6) as r2, cast(n as int) as n, cast(u as int) as u from {n}_d2_b)"""
+    for n, _ in _SETS
+)
+
+
+@query(f"""with {UNITS}, {XYZ}, {_PAIRS}, cuts as (select quantile_cont(x1, [0.2, 0.4, 0.6, 0.8]) as q from units), md as (select unit, median(level) as v from units group by 1), te as (select quantile_cont(v, 1 / 3) as a, quantile_cont(v, 2 / 3) as b from md),
+  st as (select unit, year, country, y as growth, x1, x2, x1 * x1 as sq, {", ".join(f"cast((case when x1 > q[{k - 1}] then 1 else 0 end) - (case when x1 > q[{k}] then 1 else 0 end) as double) as d{k}" if k < 5 else "cast(case when x1 > q[4] then 1 else 0 end as double) as d5" for k in range(2, 6))},
+    case when v > b then 'high' when v > a then 'mid' else 'low' end as tercile from units join md using (unit), cuts, te),
+  {", ".join(f"st_{t} as (select * from st where tercile = '{t}')" for t in ("low", "mid", "high"))}, {", ".join(_SHAPES)} {_tidy_sql(" union all ".join(_SHAPE_ROWS))} union all {_EXTRA}""")
+def regression_shapes(spark, d):
+    """EC11, EC12, EC14, AG24, AG25, FL10, PJ5: squares with their turning point, quintiles with their monotonicity, and terciles of income, under both control sets."""
+    return _tidy(specs.regression_table(study(spark, d), CONTROL_SETS, [specs.quadratic, specs.bins, terciles_of_any_size]))
+
+
 @query(f"""with {UNITS}, {XYZ}, {_PAIRS}, l0 as (select unit, year, country, x1, y as growth from units), l1 as (select h.unit, h.year, h.country, h.x1, g.y as growth from units h join units g on g.unit = h.unit and g.year = h.year + 1),
-  {_fit_sql("f0", "l0", "growth", "x1", None)}, {_fit_sql("f1", "l1", "growth", "x1", None)}
+  {_fit_sql("f0", "l0", "growth", "x1", [])}, {_fit_sql("f1", "l1", "growth", "x1", [])}
   {_tidy_sql(_rows_sql("f0", "contemporaneous", "growth", "x1", ["clustered_entity", "conley_500"]) + " union all " + _rows_sql("f1", "lead_1", "growth", "x1", ["clustered_entity", "conley_500"]))}""")
 def lag_structure(spark, d):
     """EC15."""

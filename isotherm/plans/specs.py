@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -10,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isotherm.functions.scalar import stars
-from isotherm.operators.econometrics import Fit, detrend_quadratic, distance_pairs, spline_basis, spline_knots, wald, within_two_ways
-from isotherm.operators.panel import dummies, lead_join, qcut
+from isotherm.operators.econometrics import Fit, detrend_quadratic, distance_pairs, full_rank, spline_basis, spline_knots, wald, within_two_ways
+from isotherm.operators.panel import dummies, lead_join, monotonic_steps, qcut
 from isotherm.schemas import SCHEMAS
 
 CUTOFFS = (250.0, 500.0, 1000.0)
+#: share of units with a place below which spatial errors come with a warning
+COVERAGE = 0.9
 Row = tuple
 
 
@@ -51,15 +54,21 @@ class Study:
         return self._pairs
 
     def fit(self, x: list[str], panel: DataFrame | None = None, y: str | None = None, min_norm: bool = False) -> Fit:
-        """Country trends out, rows with a gap out, unit and year effects out, least squares; in this order."""
+        """Country trends out, rows with a gap out, columns that depend on others out, unit and year effects out, least squares; in this order.
+
+        ``min_norm`` keeps all columns and takes the shortest coefficients.
+        """
         y = y or self.y
         df = (self.panel if panel is None else panel).select(self.unit, self.year, self.country, y, *x)
         df = self.hold(detrend_quadratic(df, [y, *x], self.country, self.year).na.drop(subset=[y, *x]).drop(self.country))
+        x = list(x) if min_norm else full_rank(df, x)
         return Fit(self.hold(within_two_ways(df, [y, *x], self.unit, self.year)), y, x, self.unit, self.year, min_norm)
 
     def conley_rows(self, fit: Fit, spec: str, cutoff: float = 500.0, report: list[str] | None = None) -> list[Row]:
         v, n = fit.conley(self.pairs(), cutoff)
-        return fit.rows(spec, v, f"conley_{cutoff:.0f}", fit.n - n - len(fit.x), report)
+        if n < COVERAGE * fit.n_units:
+            warnings.warn(f"{spec}: only {n} of {fit.n_units} units have a place", stacklevel=2)
+        return fit.rows(spec, v, f"conley_{cutoff:.0f}", fit.n - fit.n_units - len(fit.x), report)
 
 
 def baseline(s: Study) -> list[Row]:
@@ -85,7 +94,7 @@ def spline(s: Study, pieces: int = 4) -> list[Row]:
     out = fit.rows("spline", v, "clustered_entity", report=names)
     own = [i for i, x in enumerate(fit.x) if x in names]
     f, p = wald(fit.beta[own], v[np.ix_(own, own)], fit.n)
-    out.append(("spline", s.y, "joint_wald", "clustered_entity", f, float("nan"), float("nan"), p, fit.r2, fit.n, fit.n_units))
+    out.append(("spline", s.y, "joint_wald", "clustered_entity", float("nan"), float("nan"), f, p, fit.r2, fit.n, fit.n_units))
     return out + s.conley_rows(s.fit([*names, *s.controls], panel, min_norm=True), "spline", report=names)
 
 
@@ -100,7 +109,7 @@ def quadratic(s: Study) -> list[Row]:
     b = dict(zip(fit.x, fit.beta, strict=True))
     point = turning_point(b.get(s.heat, 0.0), b.get("heat_sq", 0.0))
     if point is not None:
-        out.append(("quadratic", s.y, "turning_point", "none", float(point), float("nan"), float("nan"), float("nan"), fit.r2, fit.n, fit.n_units))
+        out.append(("quadratic", s.y, "turning_point", "clustered_entity", float(point), float("nan"), float("nan"), float("nan"), fit.r2, fit.n, fit.n_units))
     return out
 
 
@@ -110,13 +119,9 @@ def bins(s: Study, n: int = 5) -> list[Row]:
     fit = s.fit([*names, *s.controls], cut)
     out = fit.rows("bins", fit.covariance("unit", s.dof), "clustered_entity", report=names) + s.conley_rows(fit, "bins", report=names)
     b = dict(zip(fit.x, fit.beta, strict=True))
+    steps = s.panel.sparkSession.createDataFrame([(i, float(b[k])) for i, k in enumerate(names) if k in b], "i int, b double")
     nan = float("nan")
-    return [*out, ("bins", s.y, "monotonic", "none", float(monotonic([b[k] for k in names if k in b])), nan, nan, nan, fit.r2, fit.n, fit.n_units)]
-
-
-def monotonic(values: list[float]) -> bool:
-    steps = np.diff(values)
-    return bool((steps <= 0).all() or (steps >= 0).all())
+    return [*out, ("bins", s.y, "monotonic", "none", float(monotonic_steps(steps, "i", "b").first().monotonic), nan, nan, nan, fit.r2, fit.n, fit.n_units)]
 
 
 def residual_outcome(s: Study, outcome: str = "residual") -> list[Row]:

@@ -182,6 +182,49 @@ def test_rank_deficient_columns_leave():
     assert eco.independent(z.T @ z, ["a", "b", "c", "d"]) == ["a", "b", "d"]
 
 
+def dense_rank(z):
+    """Columns kept by a dense QR with pivoting, one projection after the other."""
+    left, order, diagonal = z.copy(), [], []
+    for _ in range(z.shape[1]):
+        size = np.linalg.norm(left, axis=0)
+        size[order] = -1
+        j = int(np.argmax(size))
+        order.append(j)
+        diagonal.append(max(size[j], 0))
+        if size[j] > 0:
+            q = left[:, j] / size[j]
+            left = left - np.outer(q, q @ left)
+    keep = np.array(diagonal) > max(z.shape) * diagonal[0] * np.finfo(float).eps * 100
+    return sorted(np.array(order)[keep].tolist())
+
+
+@pytest.mark.parametrize("noise", [0, 1e-15, 1e-9, 1e-6])
+def test_rank_by_merged_factors(spark, noise):
+    """Columns that are nearly or wholly combinations of others are decided as by a dense QR; a Gram matrix would square the condition."""
+    g = np.random.default_rng(3)
+    x = g.normal(size=(400, 3)) * [3.0, 1.0, 0.01]
+    z = np.column_stack([x[:, 0], x[:, 1], x[:, 0] - 2 * x[:, 1] + noise * g.normal(size=400), x[:, 2], np.zeros(400)])
+    names = list("abcde")
+    df = spark.createDataFrame([tuple(map(float, r)) for r in z], ", ".join(f"{n} double" for n in names)).repartition(7)
+    r = eco.r_factor(df, names)
+    assert np.allclose(r.T @ r, z.T @ z, atol=1e-9)
+    diagonal, order = eco.pivoted(r)
+    dense = eco.pivoted(np.linalg.qr(z, mode="r"))
+    assert np.allclose(diagonal[:3], dense[0][:3]) and order[:3] == dense[1][:3]
+    assert eco.full_rank(df, names) == [names[i] for i in dense_rank(z)]
+    assert len(eco.full_rank(df, names)) == (3 if noise < 1e-12 else 4) and eco.full_rank(df, ["e"]) == ["e"]
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "400")  # a tree of two more levels
+    tree = eco.r_factor(df, names)
+    assert np.allclose(tree.T @ tree, z.T @ z, atol=1e-9) and np.allclose(eco.pivoted(tree)[0][:3], diagonal[:3])
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
+def test_averages_leave_missing_pixels_out(spark):
+    df = spark.createDataFrame([(0.0, 0.0, 2000, 4.0), (10.0, 10.0, 2000, None), (20.0, 20.0, 2000, float("nan")), (3e6, 0.0, 2000, None)], "x double, y double, epoch int, value double")
+    assert sorted(r.built_surface for r in zonal.reproject_built(df, step=1.0).collect()) == [0.0, 4.0]
+
+
 def test_tails():
     assert stats.t_two_sided(2.100922, 18) == pytest.approx(0.05, abs=1e-7)
     assert stats.t_two_sided(0.0, 4) == pytest.approx(1)
@@ -189,6 +232,19 @@ def test_tails():
     assert math.isnan(stats.t_two_sided(math.nan, 3)) and math.isnan(stats.f_survival(-1.0, 2, 3))
 
 
+def test_tail_as_an_expression(spark):
+    rows = [(float(t), float(df)) for df in (1, 2, 3, 7, 22, 23, 100, 1000, 10**6) for t in (0, 1e-3, 0.3, 1, 1.7, 1.74, 1.9, 2.5, 3.1, -6, 38)] + [(math.nan, 3.0), (math.inf, 3.0), (1.0, 0.0), (None, 3.0), (1.0, None)]
+    df = spark.createDataFrame(rows, "t double, df double")
+    got = [r[0] for r in df.select(stats.t_tail(F.col("t"), F.col("df"))).collect()]
+    for (t, n), p in zip(rows, got, strict=True):
+        if t is None or n is None:
+            assert p is None
+        elif not math.isfinite(t) or n <= 0:
+            assert math.isnan(p)
+        else:
+            assert p == pytest.approx(stats.t_two_sided(t, n), rel=1e-11 * max(1, n / 100))
+
+
 def test_pointwise_fit_and_tail_sizes(spark):
     g = np.random.default_rng(5)
     x, y = g.normal(size=30), g.normal(size=30)
