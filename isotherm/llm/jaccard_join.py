@@ -7,7 +7,7 @@ pair must pass this prefix test under every one of several orders:
 1. rarest first by exact document frequency (ties by hash); this order makes
    the buckets.  Shingles of one text only come first and never meet anything;
 2. frequency class, then a second hash;
-3. shared before unshared frequency one, then a third hash.
+3. frequency one (unshared) first, then a third hash.
 
 Steps.  Chunks ask for the frequency of their distinct shingles (see
 ``chunks``) and keep, per text, its size, a 128-bit digest of its set and its
@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isotherm.llm.chunks import CHUNK_BYTES, U64, answer, ask, build_chunks, flags_of, mix, ranges_for, unpack, with_answers
-from isotherm.llm.components import connected_components
+from isotherm.llm.components import connected_components, of_stars
 from isotherm.llm.store import release, small, stage
 from isotherm.llm.words import set_digests, shingle_sets
 
@@ -187,7 +187,7 @@ class Family:
 
 
 def _compare(t: Fraction, known: bool = False):
-    """Links ``a, b`` of a family's texts: one from each text to the root it reached; ``known``: only between the sides, groups given."""
+    """Links ``a, b`` of a family's texts: from each text to the least of its group; ``known``: only between the sides, groups given, to the root it reached."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         nodes = frame["node"].to_numpy()
@@ -196,7 +196,13 @@ def _compare(t: Fraction, known: bool = False):
         for _ in family.links(frame["side"].to_numpy() if known else None):
             pass
         roots = [family.root(i) for i in range(len(nodes))]
-        pairs = [(nodes[i], nodes[r]) for i, (b, r) in enumerate(zip(before, roots, strict=True)) if b != r and nodes[i] != nodes[r]]
+        if known:
+            pairs = [(nodes[i], nodes[r]) for i, (b, r) in enumerate(zip(before, roots, strict=True)) if b != r and nodes[i] != nodes[r]]
+        else:
+            least: dict[int, int] = {}
+            for i, r in enumerate(roots):
+                least[r] = min(least.get(r, nodes[i]), nodes[i])
+            pairs = [(nodes[i], least[r]) for i, r in enumerate(roots) if nodes[i] != least[r]]
         return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
 
     return run
@@ -248,18 +254,19 @@ def posts_of(placed: DataFrame, order: int, t: Fraction) -> DataFrame:
     return placed.select("family", "node", "n_shingles", "shared", "classes").mapInPandas(run, "family long, token long, node long")
 
 
-def split(placed: DataFrame, t: Fraction, block: int, block_tokens: int) -> DataFrame:
-    """Families beyond a block split by the second and the third order."""
-    for order in (1, 2):
-        large = stage(sizes(placed, block, block_tokens).where("blocks > 1").select("family"), "large")
-        if large.isEmpty():
-            return placed
-        many = placed.join(small(large), "family", "left_semi")
+def split(placed: DataFrame, t: Fraction, block: int, block_tokens: int) -> tuple[DataFrame, DataFrame]:
+    """Families beyond a block split by the second and the third order; and ``family, blocks`` of those still beyond it."""
+    for order in (1, 2, None):
+        large = stage(sizes(placed, block, block_tokens).where("blocks > 1"), "large")
+        if order is None or large.isEmpty():
+            break
+        ids = large.select("family")
+        many = placed.join(small(ids), "family", "left_semi")
         finer = families(stars(posts_of(many, order, t), "family", "token"))
-        rest = placed.join(small(large), "family", "left_anti")
+        rest = placed.join(small(ids), "family", "left_anti")
         # texts that meet nothing under this order leave
         placed = stage(rest.unionByName(many.drop("family").join(finer, "node").select(*rest.columns)), "split")
-    return placed
+    return placed, large
 
 
 def in_blocks(blocks: Column) -> Column:
@@ -267,13 +274,13 @@ def in_blocks(blocks: Column) -> Column:
 
 
 def link_families(placed: DataFrame, t: Fraction, block: int, block_tokens: int) -> DataFrame:
-    """``a, b``: links that connect what is linked within each family."""
-    placed = split(placed, t, block, block_tokens)
-    size = stage(sizes(placed, block, block_tokens), "sizes")
-    large = stage(size.where("blocks > 1"), "large")
+    """``node, component`` of the texts that are linked within their family."""
+    placed, large = split(placed, t, block, block_tokens)
     payload = ["node", "n_shingles", "shared", "classes"]
     if large.isEmpty():
-        return stage(placed.repartition("family").groupBy("family").applyInPandas(_compare(t), "a long, b long"), "links")
+        # each family in one comparison: its links are stars already
+        links = stage(placed.repartition("family").groupBy("family").applyInPandas(_compare(t), "a long, b long"), "links")
+        return of_stars(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     ids = large.select("family")
     whole = placed.join(small(ids), "family", "left_anti").repartition("family")
     links = [stage(whole.groupBy("family").applyInPandas(_compare(t), "a long, b long"), "links")]
@@ -287,7 +294,7 @@ def link_families(placed: DataFrame, t: Fraction, block: int, block_tokens: int)
         roots = links[-1].select(F.col("b").alias("node")).distinct()
         texts = stage(texts.join(small(more), "family", "left_semi").join(roots, "node", "left_semi").select("family", *payload), "level")
     links.append(stage(_outside(level, _union(links[1:]), t, block, block_tokens), "links"))
-    return _union(links)
+    return connected_components(_union(links).where("a <> b"))
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -364,9 +371,9 @@ def _join(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: Fr
     placed = stage(reps.select("node", "n_shingles", "copies", "shared", "classes").join(family, "node"), "placed")
     if count:
         links = stage(count_links(placed, threshold, block, block_tokens), "links")
+        component = connected_components(links.where("a <> b"))
     else:
-        links = link_families(placed.drop("copies"), threshold, block, block_tokens)
-    component = connected_components(links.where("a <> b"))
+        component = link_families(placed.drop("copies"), threshold, block, block_tokens)
     least = component.join(reps.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("first"))
     joined = component.join(least, "component").select("node", "first")
     found = reps.select("node", *digest).join(joined, "node")
