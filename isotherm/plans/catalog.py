@@ -549,7 +549,7 @@ def conley_meat(spark, d):
     own = places(spark, d).join(read(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), "id", "left_semi")
 
     def rows(fit: econometrics.Fit) -> list[tuple]:
-        v, n = fit.conley(econometrics.distance_pairs(own, 1000.0), 1000.0)
+        v, n = fit.conley(own, [1000.0], key="id")[1000.0]
         return [(standard_error(v), n)]
 
     return fitted(within(spark, d), rows, "se double, n_placed long")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isotherm.functions.scalar import stars
-from isotherm.operators.econometrics import Fit, detrend_quadratic, distance_pairs, full_rank, spline_basis, spline_knots, wald, within_two_ways
+from isotherm.operators.econometrics import Fit, detrend_quadratic, full_rank, spline_basis, spline_knots, wald, within_two_ways
 from isotherm.operators.panel import dummies, lead_join, monotonic_steps, qcut
 from isotherm.schemas import SCHEMAS
 
@@ -34,7 +34,6 @@ class Study:
     year: str = "year_heat"
     country: str = "iso3"
     dof: str = "debiased"
-    _pairs: DataFrame | None = None
     _held: list[DataFrame] = field(default_factory=list)
 
     def hold(self, df: DataFrame) -> DataFrame:
@@ -45,13 +44,6 @@ class Study:
     def close(self) -> None:
         while self._held:
             self._held.pop().unpersist()
-        self._pairs = None
-
-    def pairs(self) -> DataFrame:
-        """All pairs within the largest cutoff, found once for the study."""
-        if self._pairs is None:
-            self._pairs = self.hold(distance_pairs(self.places, max(CUTOFFS), key=self.unit))
-        return self._pairs
 
     def fit(self, x: list[str], panel: DataFrame | None = None, y: str | None = None, min_norm: bool = False) -> Fit:
         """Country trends out, rows with a gap out, columns that depend on others out, unit and year effects out, least squares; in this order.
@@ -64,11 +56,13 @@ class Study:
         x = list(x) if min_norm else full_rank(df, x)
         return Fit(self.hold(within_two_ways(df, [y, *x], self.unit, self.year)), y, x, self.unit, self.year, min_norm)
 
-    def conley_rows(self, fit: Fit, spec: str, cutoff: float = 500.0, report: list[str] | None = None) -> list[Row]:
-        v, n = fit.conley(self.pairs(), cutoff)
-        if n < COVERAGE * fit.n_units:
-            warnings.warn(f"{spec}: only {n} of {fit.n_units} units have a place", stacklevel=2)
-        return fit.rows(spec, v, f"conley_{cutoff:.0f}", fit.n - fit.n_units - len(fit.x), report)
+    def conley_rows(self, fit: Fit, spec: str, cutoffs: Sequence[float] = (500.0,), report: list[str] | None = None) -> list[Row]:
+        out = []
+        for cutoff, (v, n) in fit.conley(self.places, cutoffs).items():
+            if n < COVERAGE * fit.n_units:
+                warnings.warn(f"{spec}: only {n} of {fit.n_units} units have a place", stacklevel=2)
+            out += fit.rows(spec, v, f"conley_{cutoff:.0f}", fit.n - fit.n_units - len(fit.x), report)
+        return out
 
 
 def baseline(s: Study) -> list[Row]:
@@ -80,9 +74,7 @@ def standard_errors(s: Study) -> list[Row]:
     fit, out = s.fit([s.heat, *s.controls]), []
     for kind, name in (("unit", "clustered_entity"), ("time", "clustered_time"), ("two_way", "clustered_two_way"), ("kernel", "driscoll_kraay")):
         out += fit.rows("se_comparison", fit.covariance(kind, s.dof), name, report=[s.heat])
-    for c in CUTOFFS:
-        out += s.conley_rows(fit, "se_comparison", c, [s.heat])
-    return out
+    return out + s.conley_rows(fit, "se_comparison", CUTOFFS, [s.heat])
 
 
 def spline(s: Study, pieces: int = 4) -> list[Row]:

@@ -133,8 +133,9 @@ def test_conley_matches_brute_force(spark):
     places = [(f"u{i}", float(g.uniform(-60, 60)), float(g.uniform(-180, 180))) for i in range(40)]
     w = eco.within_two_ways(spark.createDataFrame(rows, "unit string, year int, country string, y double, x1 double, x2 double"), ["y", "x1", "x2"], "unit", "year").persist()
     fit = eco.Fit(w, "y", ["x1", "x2"], "unit", "year")
-    pairs = eco.distance_pairs(spark.createDataFrame(places, "id string, lat double, lon double"), 4000.0)
-    v, n = fit.conley(pairs, 3000.0)
+    placed = spark.createDataFrame([*places, ("nowhere", 1.0, 1.0), ("u0x", None, 2.0)], "id string, lat double, lon double")
+    found = fit.conley(placed, [500.0, 3000.0], key="id", dense=3)  # cubes in several parts
+    v, n = found[3000.0]
     z, units, _ = dense(rows)
     s = z[:, 1:] * (z[:, 0] - z[:, 1:] @ fit.beta)[:, None]
     e = np.array([s[[r[0] == u for r in rows]].sum(0) for u in units])
@@ -144,6 +145,11 @@ def test_conley_matches_brute_force(spark):
     k = np.clip(1 - km / 3000, 0, 1)
     inv = np.linalg.inv(z[:, 1:].T @ z[:, 1:])
     assert n == 40 and np.allclose(v, inv @ (e.T @ k @ e) @ inv * 40 / 39, atol=1e-10)
+    assert np.allclose(found[500.0][0], inv @ (e.T @ np.clip(1 - km / 500, 0, 1) @ e) @ inv * 40 / 39, atol=1e-10)
+    sub = {p[0] for p in places[:30]}
+    v, n = fit.conley(placed.where(F.col("id").isin(list(sub))), [3000.0], key="id")[3000.0]
+    own = [i for i, u in enumerate(units) if u in sub]
+    assert n == 30 and np.allclose(v, inv @ (e[own].T @ k[np.ix_(own, own)] @ e[own]) @ inv * 30 / 29, atol=1e-10)
 
 
 def test_pairs_at_poles_and_date_line(spark):
@@ -152,6 +158,19 @@ def test_pairs_at_poles_and_date_line(spark):
     assert set(got) == {(0, 1), (2, 3), (4, 5)} and got[4, 5] == 0 and got[2, 3] == pytest.approx(22.24, abs=0.01)
 
 
+def test_pairs_are_met_once(spark):
+    """All pairs within the cutoff against a plain loop, whatever cubes they fall into and however these are dealt."""
+    g = np.random.default_rng(9)
+    pts = [(i, float(a), float(o)) for i, (a, o) in enumerate(zip(np.degrees(np.arcsin(g.uniform(-1, 1, 150))), g.uniform(-180, 180, 150), strict=True))] + [(200 + i, 10.0, 20.0 + i / 100) for i in range(40)]
+    xyz = np.array([[math.cos(math.radians(a)) * math.cos(math.radians(o)), math.cos(math.radians(a)) * math.sin(math.radians(o)), math.sin(math.radians(a))] for _, a, o in pts])
+    km = 2 * 6371 * np.arcsin(np.minimum(1, np.linalg.norm(xyz[:, None] - xyz[None], axis=2) / 2))
+    want = sorted((pts[i][0], pts[j][0]) for i in range(len(pts)) for j in range(i, len(pts)) if km[i, j] <= 2500)
+    df = spark.createDataFrame(pts, "id int, lat double, lon double")
+    for dense in (7, 4096):
+        got = eco.distance_pairs(df, 2500.0, dense=dense).collect()
+        assert sorted((r.i, r.j) for r in got) == want
+
+
 def test_detrend_matches_least_squares(spark):
     rows = unbalanced(4) + [("z", 2003, "small", 1.0, 2.0, 3.0), ("z", 2004, "small", 2.0, 2.0, 3.0), ("n", 2001, None, 1.0, 1.0, 1.0)]
     rows += [("p", 2005, "one_year", float(i), 0.0, 0.0) for i in range(5)]
@@ -206,8 +225,8 @@ def test_rank_by_merged_factors(spark, noise):
     z = np.column_stack([x[:, 0], x[:, 1], x[:, 0] - 2 * x[:, 1] + noise * g.normal(size=400), x[:, 2], np.zeros(400)])
     names = list("abcde")
     df = spark.createDataFrame([tuple(map(float, r)) for r in z], ", ".join(f"{n} double" for n in names)).repartition(7)
-    r = eco.r_factor(df, names)
-    assert np.allclose(r.T @ r, z.T @ z, atol=1e-9)
+    r, n = eco.r_factor(df, names)
+    assert n == 400 and np.allclose(r.T @ r, z.T @ z, atol=1e-9)
     diagonal, order = eco.pivoted(r)
     dense = eco.pivoted(np.linalg.qr(z, mode="r"))
     assert np.allclose(diagonal[:3], dense[0][:3]) and order[:3] == dense[1][:3]
@@ -215,7 +234,7 @@ def test_rank_by_merged_factors(spark, noise):
     assert len(eco.full_rank(df, names)) == (3 if noise < 1e-12 else 4) and eco.full_rank(df, ["e"]) == ["e"]
     parts = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "400")  # a tree of two more levels
-    tree = eco.r_factor(df, names)
+    tree = eco.r_factor(df, names)[0]
     assert np.allclose(tree.T @ tree, z.T @ z, atol=1e-9) and np.allclose(eco.pivoted(tree)[0][:3], diagonal[:3])
     spark.conf.set("spark.sql.shuffle.partitions", parts)
 
