@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isotherm.config import Config
 from isotherm.functions import calendar, grid, scalar
 from isotherm.functions.percentile import METHODS
 from isotherm.operators import econometrics, ensemble, exceedance, panel, polygons, zonal
@@ -786,14 +787,48 @@ def monotonic_test(spark, d):
     return panel.monotonic_steps(means, "year", "y", ["country"])
 
 
-@query("""with p as (select l_linenumber as line, avg(l_discount) as b, avg(l_tax) / 10 as s, count(*) as n from lineitem group by 1)
-  select 'mean' as spec, 'line ' || line as variable, 'none' as se_type, case when b >= 0 then '+' else '' end || printf('%.5f', b) as beta, case when s >= 0 then '+' else '' end || printf('%.5f', s) as se,
-  case when s < 0.001 then '***' when s < 0.01 then '**' when s < 0.05 then '*' when s < 0.1 then '+' else '' end as stars, cast(n as int) as n_obs, 7 as n_entities from p""")
+_FIXED = "case when {c} >= 0 then '+' else '' end || printf('%.5f', {c})"
+_BASELINES = " union all ".join(_rows_sql(f"{name}_growth", f"{name}_baseline", "growth", "x1", _TWO) for name, _ in _SETS)
+
+
+@query(f"""with {UNITS}, {XYZ}, {_PAIRS}, st as (select unit, year, country, y as growth, x1, x2, y - x2 as residual from units), {_MAIN},
+  tested as (select *, {tail_sql('beta / se', 'df')} as p from ({_BASELINES}))
+  select spec, variable, se_type, {_FIXED.format(c="beta")} as beta, {_FIXED.format(c="se")} as se, case when p < 0.001 then '***' when p < 0.01 then '**' when p < 0.05 then '*' when p < 0.1 then '+' else '' end as stars, cast(n as int) as n_obs, cast(u as int) as n_entities from tested""")
 def report_table(spark, d):
-    """SK8, SF14, SF13: numbers with fixed decimals and stars, as the console report has them."""
-    p = read(spark, d, "lineitem", "l_linenumber", "l_discount", "l_tax").groupBy("l_linenumber").agg(F.avg("l_discount").alias("beta"), (F.avg("l_tax") / 10).alias("se"), F.count("*").cast("int").alias("n_obs"))
-    rows = p.select(F.lit("mean").alias("spec"), F.concat(F.lit("line "), "l_linenumber").alias("variable"), F.lit("none").alias("se_type"), "beta", "se", F.col("se").alias("pval"), "n_obs", F.lit(7).alias("n_entities"))
-    return specs.report_lines(rows)
+    """SK8, SF14, SF13: results as the console report has them, with fixed decimals and stars."""
+    return specs.report_lines(specs.regression_table(study(spark, d), CONTROL_SETS, [specs.baseline]))
+
+
+@query("select n_name as name, cast(n_regionkey as int) as region, count(c_custkey) as n from nation left join customer on c_nationkey = n_nationkey group by 1, 2")
+def lookup_csv(spark, d):
+    """SC8, SC15, SK5: a lookup written as CSV where the configuration says, read back by its schema, and joined."""
+    place = Config(output=tables.scratch_table(spark, "configured")).table("lookup")
+    read(spark, d, "nation", "n_nationkey", "n_name", "n_regionkey").write.csv(place, header=True)
+    lookup = tables.read_csv(spark, place, "n_nationkey int, n_name string, n_regionkey int")
+    own = read(spark, d, "customer", "c_nationkey").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    out = lookup.join(own, F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    return out.select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(f"with {UNITS} select cast(unit as varchar) as unit, cast(year as varchar) as year, printf('%.8f', x1) as x1, case when x2 >= 2.5 then printf('%.8f', x2) end as x2 from units")
+def report_csv(spark, d):
+    """SK3, SO2: a table written as CSV with eight decimals and gaps as empty fields, in order, and read back as text."""
+    place = tables.scratch_table(spark, "report")
+    u = units(spark, d).select("unit", "year", "x1", F.when(F.col("x2") >= 2.5, F.col("x2")).otherwise(F.lit(float("nan"))).alias("x2"))
+    tables.write_report(tables.sorted_panel(u, "unit", "year"), place)
+    return spark.read.csv(place, header=True)
+
+
+@query(f"with {DAILY} select cell, round(avg(cast(value / 10000 + 273.15 as double)) - 273.15, 4) as celsius, 'degC' as unit from daily group by 1")
+def celsius_means(spark, d):
+    """PJ1, PJ14, SC7: kelvins to degrees, with the unit as an attribute that the file keeps; only the columns asked for are read back."""
+    place = tables.scratch_table(spark, "kelvin")
+    k = daily(spark, d).groupBy("cell").agg(F.avg(F.col("value") / 10000 + 273.15).alias("t2m_k"))
+    held = k.withColumn("t2m", scalar.celsius("t2m_k"))
+    tables.described(held, "t2m", units="degC").write.parquet(place)
+    back = tables.read_table(spark, place, columns=["cell", "t2m"])
+    unit = spark.read.parquet(place).schema["t2m"].metadata["units"]
+    return back.select("cell", r("t2m", 4).alias("celsius"), F.lit(unit).alias("unit"))
 
 
 # ---- ensembles -----------------------------------------------------------------------------------------

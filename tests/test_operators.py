@@ -359,3 +359,24 @@ def test_thresholds_are_those_of_exploded_windows(spark, kind, method):
     table = lambda df: sorted(((r.lat_i, r.lon_i, r.doy, round(float(r.threshold), 9)) for r in df.collect() if r.doy in seen), key=repr)
     assert table(got) == table(want) and len(table(got)) > 100
     assert exceedance.thresholds(daily.where("false"), *args, method=method).count() == 0
+
+
+def test_places_from_the_environment(monkeypatch):
+    from isotherm.config import Config
+
+    assert Config().table("x") == "data/output/x"
+    monkeypatch.setenv("ISOTHERM_OUTPUT", "/elsewhere")
+    assert Config().table("x") == "/elsewhere/x" and Config(output="/own").table("x") == "/own/x"
+
+
+def test_reports_attributes_and_sketches(spark, tmp_path):
+    df = spark.createDataFrame([(2, 0.5, None), (1, float("nan"), 1 / 3)], "k int, a double, b double")
+    tables.write_report(tables.sorted_panel(df, "k"), f"{tmp_path}/r")
+    (part,) = tmp_path.glob("r/part-*.csv")
+    assert part.read_text().splitlines() == ["k,a,b", "1,,0.33333333", "2,0.50000000,"]
+    tables.described(df, "a", units="mm").write.parquet(f"{tmp_path}/p")
+    assert spark.read.parquet(f"{tmp_path}/p").schema["a"].metadata == {"units": "mm"}
+    back = tables.read_table(spark, f"{tmp_path}/p", columns=["k", "a"])
+    assert sorted(map(tuple, back.collect())) == [(1, None), (2, 0.5)]
+    values = spark.range(10_001).select(F.col("id").cast("double").alias("v"))
+    assert abs(values.agg(percentile.approximate("v", 95).alias("p")).first().p - 9500) <= 2
