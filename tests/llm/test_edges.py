@@ -492,6 +492,51 @@ def test_toxicity_learns_and_scores_everything(spark, docs, none):
     assert toxicity.toxicity(docs, marks.limit(0)).count() == docs.count()
 
 
+def test_ratios_weights_and_scores_by_recount():
+    """Counts, chi-square, log-count ratios and unit length by plain loops over n-grams; the weights by their own objective; scores from the packed model."""
+    g = random.Random(13)
+    texts, label = [], []
+    for i in range(160):
+        w = words(12, 3000 + i).split()
+        label.append(int(g.random() < 0.4))
+        if label[-1] != (g.random() < 0.05):
+            w[g.randrange(12)] = g.choice(["vileword", "Grumpo", "vile\u00e9"])
+        texts.append(toxicity.encode(" ".join(w)))
+    label = np.array(label)
+    kept, weights, b = toxicity.fit(texts, label, share=0.25)
+    feature = lambda gram: int((toxicity.Rolling(np.frombuffer(gram, dtype=np.uint8)).every(len(gram)) >> np.uint64(64 - toxicity.BITS))[0])
+    sets = [{feature(t[i : i + n]) for n in (3, 4, 5) for i in range(len(t) - n + 1)} for t in texts]
+    p, q = (Counter(f for x, y in zip(sets, label, strict=True) if y == k for f in x) for k in (1, 0))
+    yes, no, n = int(label.sum()), int(len(label) - label.sum()), len(label)
+    chi = {f: n * (p[f] * no - q[f] * yes) ** 2 / ((p[f] + q[f]) * (n - p[f] - q[f]) * yes * no) for f in p | q if p[f] + q[f] < n}
+    want = sorted(f for f, c in chi.items() if c > toxicity.CHI)
+    assert kept.tolist() == want and len(want) > 10
+    size = 1 << toxicity.BITS
+    r = np.array([np.log((p[f] + 1) / (sum(p.values()) + size)) - np.log((q[f] + 1) / (sum(q.values()) + size)) for f in want])
+    assert np.allclose(weights[1], r**2)
+    x = np.array([[v if f in s else 0.0 for f, v in zip(want, r, strict=True)] for s in sets])
+    x /= np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None]
+    each = np.where(label > 0, 0.25 / yes, 0.75 / no)
+
+    def loss(w, b):
+        z = x @ w + b
+        return float(each @ (np.logaddexp(0, z) - label * z) + 0.5e-5 * w @ w)
+
+    w = weights[0] / r
+    best, at, bias = None, w.copy(), b
+    for _ in range(30):  # Newton's steps from there
+        z = x @ at + bias
+        s = 1 / (1 + np.exp(-z))
+        one = np.column_stack([x, np.ones(n)])
+        grad = one.T @ (each * (s - label)) + np.append(1e-5 * at, 0)
+        step = np.linalg.solve(one.T @ (one * (each * s * (1 - s))[:, None]) + np.diag([1e-5] * len(at) + [1e-9]), grad)
+        at, bias = at - 0.5 * step[:-1], bias - 0.5 * step[-1]
+        best = min(loss(at, bias), best or 9)
+    assert loss(w, b) <= best + 0.02 < loss(0 * w, b)
+    model = np.float64(b).tobytes() + kept.astype("<i4").tobytes() + weights.astype("<f8").tobytes()
+    assert np.allclose(toxicity.scores(texts, *toxicity.unpack_model(model)), 1 / (1 + np.exp(-(x @ w + b))))
+
+
 # ---- 7 -------------------------------------------------------------------------------------
 
 

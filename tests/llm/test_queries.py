@@ -1,5 +1,6 @@
 """Queries against their SQL, and the pipeline against its stages' rules."""
 
+import random
 import sys
 from pathlib import Path
 
@@ -7,10 +8,12 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import corpus_pipeline  # noqa: E402
 from isotherm.llm import jaccard_join, queries, suffix_dedup, toxicity  # noqa: E402
 from test_catalog import connection, rows  # noqa: E402
+from test_edges import brute_masked, shingle_set, words  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 
@@ -66,3 +69,47 @@ def test_chunks_of_any_size_give_the_same(spark):
     for apply in (jaccard_join.jaccard_components, suffix_dedup.suffix_dedup):
         one, two = (sorted(map(tuple, apply(docs, chunk_bytes=n).collect())) for n in (1 << 15, 1 << 22))
         assert one == two and len(one) == docs.count()
+
+
+def test_stages_on_near_copies(spark):
+    """Near copies of many degrees, contaminated ones among them, by plain sets; then secrets in what is left."""
+    g = random.Random(21)
+    items = [r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect() if len(r.text.split()) > 8]
+    rows = []
+    for k in range(12):
+        base = words(70, 500 + k).split()
+        if k % 4 == 0:
+            base[30:30] = items[k].split()
+        for _ in range(8):
+            w = list(base)
+            for _ in range(g.randrange(7)):  # up to 7 words in other places: from copies to texts of their own
+                w[g.randrange(len(w))] = "changed" + str(g.randrange(9))
+            if g.random() < 0.2:
+                w[5] = "token=abcdef123"
+            rows.append((len(rows), " ".join(w)))
+    g.shuffle(rows)
+    want = {i for i, c in component_of(rows).items() if i == c}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    once = corpus_pipeline.drop_near_copies(spark, docs, DATA).cache()
+    assert {r.doc_id for r in once.collect()} == want and 12 < len(want) < 90
+    texts = dict(rows)
+    item_sets = [shingle_set(t, min(5, len(t.split()))) for t in (r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()) if t and t.split()]
+    dirty = {i for i in want if any(5 * len(x & shingle_set(texts[i], len(next(iter(x))))) >= 4 * len(x) for x in item_sets)}
+    clean = corpus_pipeline.drop_contaminated(spark, once, DATA).cache()
+    assert {r.doc_id for r in clean.collect()} == want - dirty and dirty
+    masked = {r.doc_id: r.text for r in corpus_pipeline.mask_secrets(spark, clean, DATA).collect()}
+    assert masked == {i: brute_masked(texts[i]) for i in want - dirty}
+
+
+def component_of(rows):
+    """Least id reachable by links of five-word shingles, 0.8 or more."""
+    sets = {i: shingle_set(t, 5) for i, t in rows}
+    least = {i: i for i in sets}
+    while True:
+        before = dict(least)
+        for i in sets:
+            for j in sets:
+                if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                    least[i] = min(least[i], least[j])
+        if least == before:
+            return least
