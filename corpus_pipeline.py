@@ -63,7 +63,7 @@ STAGES = [
     ("best_fit_packing", pack_documents),
 ]
 
-#: classifier and tokenizer are beyond SQL; tests hold each stage against a brute-force version
+#: classifier and tokenizer are beyond SQL; tests hold the stages between against plain sets and patterns, and those two against recounts and the tokenizer itself
 ORACLE_SQL = None
 
 
