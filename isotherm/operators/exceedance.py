@@ -41,7 +41,7 @@ def _number_type(kind: T.DataType) -> np.dtype | None:
 
 
 def packed(rows: DataFrame, cell: list[str]) -> DataFrame:
-    """``cell..., d, y, u, v``: of ``rows`` (cell..., doy, year, use, value) a row per cell and task, the values as bytes.
+    """``cell..., _c, _v``: of ``rows`` (cell..., doy, year, use, value) a row per cell and task, days (``use``, day and year in one number) and values as bytes.
 
     So a cell's days are shuffled as a few rows of some eight bytes a day, not as rows of their own, and
     are never sorted by Spark.
@@ -56,12 +56,10 @@ def packed(rows: DataFrame, cell: list[str]) -> DataFrame:
         for c in codes:
             new[1:] |= np.diff(c[order]) != 0
         starts = np.flatnonzero(new)
-        value = table.column("value")
-        use = table.column("use").to_numpy() | np.where(value.is_valid().to_numpy(), VALID, 0)
-        parts = [table.column("doy").to_numpy().astype("<i2"), table.column("year").to_numpy().astype("<i2"), use.astype("u1"), value.fill_null(0).to_numpy().astype(kind)]
+        parts = [table.column("code").to_numpy().astype("<i4"), table.column("value").fill_null(0).to_numpy().astype(kind)]
         first = pa.array(order[starts])
         keys = [table.column(c).combine_chunks().take(first) for c in cell]
-        return pa.RecordBatch.from_arrays([*keys, *(_blobs(x[order], starts) for x in parts)], names=[*cell, *"dyuv"])
+        return pa.RecordBatch.from_arrays([*keys, *(_blobs(x[order], starts) for x in parts)], names=[*cell, "_c", "_v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -74,8 +72,9 @@ def packed(rows: DataFrame, cell: list[str]) -> DataFrame:
         if n:
             yield pack(pa.Table.from_batches(held))
 
-    schema = T.StructType([*[rows.schema[c] for c in cell], *[T.StructField(c, T.BinaryType()) for c in "dyuv"]])
-    return rows.select(*cell, "doy", "year", "use", "value").mapInArrow(run, schema)
+    schema = T.StructType([*[rows.schema[c] for c in cell], *[T.StructField(c, T.BinaryType()) for c in ("_c", "_v")]])
+    code = F.col("use") + F.when(F.col("value").isNotNull(), VALID).otherwise(0) + F.col("doy") * 8 + F.col("year") * 4096
+    return rows.select(*cell, code.cast("int").alias("code"), "value").mapInArrow(run, schema)
 
 
 def _blobs(values: np.ndarray, starts: np.ndarray) -> pa.Array:
@@ -85,7 +84,8 @@ def _blobs(values: np.ndarray, starts: np.ndarray) -> pa.Array:
 
 def _unpacked(table: pa.Table, kind: np.dtype) -> tuple[np.ndarray, ...]:
     """Days, years, uses and values of a cell."""
-    return tuple(np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t) for c, t in zip("dyuv", ("<i2", "<i2", "u1", kind), strict=True))
+    code, values = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t) for c, t in zip(("_c", "_v"), ("<i4", kind), strict=True))
+    return code >> 3 & 511, code >> 12, code & 7, values
 
 
 def _windows(doy: np.ndarray, values: np.ndarray, wanted: np.ndarray, share: float, half_width: int, method: str) -> tuple[np.ndarray, np.ndarray]:
