@@ -7,8 +7,9 @@ The field has one weight per (label, line feature) and per label pair.  It is
 trained by maximum likelihood (forward-backward gradients) on a bounded sample of labelled texts
 (``sampling``), in one task.  Only texts are labelled, so lines are labelled by constrained EM:
 
-* a line of fewer than ``SHORT`` words that stands in ``COMMON`` or more different texts of the sample is boilerplate (these lines
-  are part of the model, and being one of them is a feature);
+* a line of fewer than ``SHORT`` words that stands in ``COMMON`` or more groups of near copies in the sample is boilerplate (these lines
+  are part of the model, and being one of them is a feature).  A text and its near copies (five-word shingles, similarity 0.8 or more)
+  count once, so prose that was copied is not taken for boilerplate;
 * other lines of a text of quality 1 are content;
 * lines of a text of quality 0 are latent.  They start as boilerplate where their features are more usual
   in quality 0 than in quality 1; then, in turns, the field is fitted and they take its Viterbi labels, at least one
@@ -208,10 +209,58 @@ def lines_of(text: str) -> list[str]:
     return [x for x in text.split("\n") if x.split()]
 
 
+def near_groups(texts: list[str], width: int = 5, similarity: tuple[int, int] = (4, 5)) -> list[int]:
+    """Of each text the number of its group: texts linked, over others too, by shingle sets of a Jaccard similarity of 4/5 or more.
+
+    Exact but for collisions of 64-bit hashes: pairs that share one of their rarest shingles are compared.  A text of fewer than ``width``
+    words is one shingle; one without words is alone.  For the bounded sample, in one task.
+    """
+    up, down = similarity
+    names: dict[str, int] = {}
+    sets = []
+    for t in texts:
+        ids = np.array([names.setdefault(w, len(names) + 1) for w in t.split()], dtype=np.uint64)
+        ids = (ids * np.uint64(0x9E3779B97F4A7C15)) ^ (ids * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(29))
+        n = min(width, len(ids))
+        h = np.full(len(ids) - n + 1 if n else 0, n, dtype=np.uint64)
+        for k in range(n):
+            h = (h ^ ids[k : k + len(h)]) * np.uint64(0xFF51AFD7ED558CCD)
+            h ^= h >> np.uint64(32)
+        sets.append(np.unique(h))
+    every, count = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0), np.zeros(0))
+    root = list(range(len(texts)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    first: dict[bytes, int] = {}
+    holders: dict[int, list[int]] = {}
+    for i in sorted(range(len(texts)), key=lambda i: len(sets[i])):
+        own = sets[i]
+        if not len(own):
+            continue
+        same = first.setdefault(own.tobytes(), i)
+        if same != i:
+            root[i] = find(same)
+            continue
+        rare = own[np.lexsort((own, count[np.searchsorted(every, own)]))][: len(own) + up * len(own) // -down + 1]
+        for j in {j for x in rare.tolist() for j in holders.get(x, ())}:
+            if find(i) != find(j) and down * len(sets[j]) >= up * len(own):
+                both = len(np.intersect1d(own, sets[j], assume_unique=True))
+                if down * both >= up * (len(own) + len(sets[j]) - both):
+                    root[find(i)] = find(j)
+        for x in rare.tolist():
+            holders.setdefault(x, []).append(i)
+    return [find(i) for i in range(len(texts))]
+
+
 def common_lines(texts: list[str]) -> frozenset[str]:
-    """Short lines in ``COMMON`` or more different texts."""
-    found = Counter(x for t in set(texts) for x in set(lines_of(t)) if len(x.split()) < SHORT)
-    return frozenset(x for x, n in found.items() if n >= COMMON)
+    """Short lines in ``COMMON`` or more groups of near copies."""
+    texts = sorted(set(texts))
+    held = {(x, g) for t, g in zip(texts, near_groups(texts), strict=True) for x in lines_of(t) if len(x.split()) < SHORT}
+    return frozenset(x for x, n in Counter(x for x, _ in held).items() if n >= COMMON)
 
 
 def fit_lines(texts: list[str], quality: list[int]) -> Model:

@@ -314,6 +314,34 @@ def test_planted_boilerplate_is_found(spark):
     assert all(kept[i] for i in planted) and not any(kept[i] for i in range(0, 700, 10))
 
 
+def test_common_lines_count_near_copies_once():
+    """Groups of the sample against all pairs by plain sets, and a line of copied prose beside one of unrelated texts."""
+    g = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    texts = ["", "  ", "one two", "one two", "two one", "one  two"]
+    for n in (5, 12, 40, 200):
+        base = [g.choice(words) for _ in range(n)]
+        for _ in range(12):
+            own = list(base)
+            for _ in range(g.randrange(4)):
+                own[g.randrange(n)] = g.choice(words)
+            texts.append(" ".join(own))
+    g.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.split()) else set() for t in texts]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for a, b in itertools.combinations(range(len(texts)), 2):
+            if sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root[a] = root[b] = min(root[a], root[b])
+    got = quality.near_groups(texts)
+    pairs = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if root[a] == root[b]}
+    assert {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if got[a] == got[b]} == pairs and len(pairs) > 60
+    long = " ".join(g.choice(words) for _ in range(400))
+    copies = [f"{long} tail{i}\nthis prose was copied" for i in range(5)]
+    others = [" ".join(g.choice(words) for _ in range(40)) + "\nall rights reserved" for _ in range(3)]
+    assert quality.common_lines(copies + others) == {"all rights reserved"} and quality.near_groups([]) == []
+
+
 def test_quality_edges(docs, none, labels):
     rows = {r.doc_id: r for r in quality.quality_rules(docs, labels).collect()}
     assert not rows[0].kept and rows[0].base_failed and rows[0].n_words == 0
