@@ -74,10 +74,12 @@ def tail_slope(df: DataFrame, cell: list[str], value: str, percent: float = 95.0
     With k the number of smaller tail values and n the tail's size, ln(1 - k / n) = a + b v; ``slope`` is
     1 / exp(b), ``stderr`` its standard error; NULL below ``least`` values.
     """
+    # the cut is one of the values as they are, and a cell's mean is found once: two sums of a cell in two orders may
+    # differ in the last digit, and values that repeat at the cut would be in the tail by one mean and not by the other
+    d = df.where(finite(value)).withColumn("_v", F.col(value).cast("double"))
+    known = d.groupBy(*cell).agg(F.percentile("_v", F.lit(percent / 100)).alias("_cut"), F.avg("_v").alias("_mean"))
+    tail = d.join(known, cell).where(F.col("_v") >= F.col("_cut")).withColumn("_v", F.col("_v") - F.col("_mean"))
     by = Window.partitionBy(*cell)
-    d = df.where(finite(value)).withColumn("_v", F.col(value).cast("double") - F.avg(F.col(value).cast("double")).over(by))
-    cut = d.groupBy(*cell).agg(F.percentile("_v", F.lit(percent / 100)).alias("_cut"))
-    tail = d.join(cut, cell).where(F.col("_v") >= F.col("_cut"))
     rank = tail.withColumn("_k", F.row_number().over(by.orderBy("_v")) - 1).withColumn("_n", F.count("*").over(by))
     points = rank.withColumn("_l", F.ln(1 - F.col("_k") / F.col("_n")))
     fit = points.groupBy(*cell).agg(F.regr_slope("_l", "_v").alias("b"), F.regr_sxx("_l", "_v").alias("sxx"), F.regr_syy("_l", "_v").alias("syy"), F.regr_sxy("_l", "_v").alias("sxy"), F.count("*").alias("n_tail"))

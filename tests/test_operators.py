@@ -1,6 +1,7 @@
 """Operators against hand-made tables and dense NumPy."""
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -380,3 +381,21 @@ def test_reports_attributes_and_sketches(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == [(1, None), (2, 0.5)]
     values = spark.range(10_001).select(F.col("id").cast("double").alias("v"))
     assert abs(values.agg(percentile.approximate("v", 95).alias("p")).first().p - 9500) <= 2
+
+
+def test_tail_size_does_not_hang_on_the_order_of_rows(spark):
+    """Rows come in another order each time they are read, as they do from a shuffle; the cut is one of five copies of the greatest value."""
+
+    def in_any_order(frames):
+        for f in frames:
+            yield f.sample(frac=1, random_state=int.from_bytes(os.urandom(4), "big"))
+
+    rows = [(cell, (i % 20 + cell / 7) / 3) for cell in range(40) for i in range(100)]
+    df = spark.createDataFrame(rows, "cell int, v double").coalesce(1).mapInPandas(in_any_order, "cell int, v double")
+    held = spark.conf.get("spark.sql.exchange.reuse", "true")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        sizes = [r.n_tail for r in ensemble.tail_slope(df, ["cell"], "v", percent=96.0).collect()]
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", held)
+    assert sizes == [5] * 40
