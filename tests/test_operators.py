@@ -399,3 +399,23 @@ def test_tail_size_does_not_hang_on_the_order_of_rows(spark):
     finally:
         spark.conf.set("spark.sql.exchange.reuse", held)
     assert sizes == [5] * 40
+
+
+def test_kernel_sums_of_blocks_match_brute_force(spark):
+    """Poles, date line and crowded cubes; blocks of a few points."""
+    g = np.random.default_rng(3)
+    lat = np.r_[g.uniform(85, 90, 40), g.uniform(-3, 3, 60), -90.0]
+    lon = np.r_[g.uniform(-180, 180, 40), g.choice([-1, 1], 60) * g.uniform(176, 180, 60), 0.0]
+    v = g.normal(size=(101, 2))
+    df = spark.createDataFrame([(i, float(a), float(b), float(s), float(t)) for i, (a, b, (s, t)) in enumerate(zip(lat, lon, v, strict=True))], "k int, lat double, lon double, s double, t double")
+    points = df.select("k", *[c.alias(n) for c, n in zip(scalar.unit_xyz("lat", "lon"), "xyz", strict=True)], "s", "t")
+    phi, lam = np.radians(lat), np.radians(lon)
+    xyz = np.c_[np.cos(phi) * np.cos(lam), np.cos(phi) * np.sin(lam), np.sin(phi)]
+    km = 2 * 6371.0 * np.arcsin(np.minimum(np.linalg.norm(xyz[:, None] - xyz[None], axis=2) / 2, 1))
+    for dense in (4, 1000):
+        sums, n = eco.kernel_sums(points, ["s", "t"], [200.0, 500.0], dense)
+        assert n == 101
+        for c, m in zip((200.0, 500.0), sums, strict=True):
+            assert np.allclose(m, v.T @ np.clip(1 - km / c, 0, 1) @ v, rtol=1e-9, atol=1e-9)
+    none = eco.kernel_sums(points.where("k < 0"), ["s", "t"], [200.0])
+    assert none[1] == 0 and not none[0][0].any()

@@ -168,3 +168,11 @@ def test_few_places_are_said(spark, study, places):
     study.places = study.places.where(F.col("unit") < "u30")
     with pytest.warns(UserWarning, match="30 of 45 units"):
         specs.baseline(study)
+
+
+def test_a_fit_of_the_own_panel_is_made_once(study):
+    first = study.fit(["heat", "x2"])
+    assert study.fit(["heat", "x2"]) is first and study.fit(["heat"]) is not first
+    assert study.fit(["heat", "x2"], study.panel.where("x2 > 0")) is not first
+    study.close()
+    assert not study._fits
