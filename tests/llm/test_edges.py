@@ -835,3 +835,12 @@ def test_secrets_masked(spark, docs):
     clash = spark.createDataFrame([(1, "token=abcdef123", "f", "b", "r", "c", 1), (1, "token=abcdef123", "f", "b", "r", "c", 1), (None, None, "f", "b", "r", "c", 2)], "doc_id long, text string, found string, _blob string, row string, clean string, blob int")
     assert Counter(tuple(r) for r in secret_scan.redact_secrets(clash).collect()) == Counter({(1, "[SECRET]", "f", "b", "r", "c", 1): 2, (None, None, "f", "b", "r", "c", 2): 1})
     assert secret_scan.redact_secrets(clash.limit(0)).count() == 0
+
+
+def test_words_are_the_same_by_either_pattern():
+    from isotherm.llm.pii import NARROW, WORD, words_of
+
+    every = "".join(map(chr, range(256)))
+    for text in (every, "Zoë’s 2² naïve_words", "ÿĀ", "a1b2 c_d", "", "\U00010400x", "\ud800y"):
+        assert words_of(text).findall(text) == WORD.findall(text)
+    assert words_of(every) is NARROW and words_of("ĀB") is WORD
