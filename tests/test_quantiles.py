@@ -55,6 +55,14 @@ def test_ties_over_edges(spark):
         panel.qcut(df, "x", 5, "bin")
 
 
+def test_edge_between_close_values(spark):
+    """Between values two last digits apart the edge lies between them, so the upper one is in the upper bin."""
+    a, b = float.fromhex("0x1.f7268edab4c76p-2"), float.fromhex("0x1.f7268edab4c78p-2")
+    df = table(spark, [0.1, a, b, 0.6, 0.7])
+    assert a < quantiles(df, "x", [0.4])[0] < b
+    assert {r.x: r.bin for r in panel.qcut(df, "x", 5, "bin").collect()} == {0.1: 1, a: 2, b: 3, 0.6: 4, 0.7: 5}
+
+
 def test_no_task_holds_the_column(spark):
     """Each pass returns a bounded number of bins, and no plan has a percentile."""
     df = spark.range(200_000).select((F.col("id") * F.lit(0.37) % 1000).alias("v"))
