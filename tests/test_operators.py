@@ -172,6 +172,18 @@ def test_pairs_are_met_once(spark):
         assert sorted((r.i, r.j) for r in got) == want
 
 
+def test_pairs_are_spread_over_tasks(spark, tmp_path):
+    """A small file's pairs are not one task's: of points all around, and of one cube that is dealt into parts."""
+    around = [(i, float(i * 37 % 180 - 90), float(i * 101 % 360 - 180)) for i in range(400)]
+    spot = [(i, 10.0, 20.0 + i / 1000) for i in range(200)]
+    for name, pts, dense in (("around", around, 4096), ("spot", spot, 8)):
+        spark.createDataFrame(pts, "id int, lat double, lon double").coalesce(1).write.parquet(f"{tmp_path}/{name}")
+        pairs = eco.distance_pairs(spark.read.parquet(f"{tmp_path}/{name}"), 2500.0, dense=dense)
+        made = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(made) == 4 and max(made) < sum(made) / 2, (name, made)
+        assert name == "around" or sum(made) == 200 * 201 // 2
+
+
 def test_detrend_matches_least_squares(spark):
     rows = unbalanced(4) + [("z", 2003, "small", 1.0, 2.0, 3.0), ("z", 2004, "small", 2.0, 2.0, 3.0), ("n", 2001, None, 1.0, 1.0, 1.0)]
     rows += [("p", 2005, "one_year", float(i), 0.0, 0.0) for i in range(5)]
