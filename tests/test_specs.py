@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isotherm.functions.stats import f_survival, t_two_sided
-from isotherm.plans import specs
+from isotherm.plans import catalog, specs
 
 UNITS, YEARS = 45, 14
 
@@ -176,3 +176,12 @@ def test_a_fit_of_the_own_panel_is_made_once(study):
     assert study.fit(["heat", "x2"], study.panel.where("x2 > 0")) is not first
     study.close()
     assert not study._fits
+
+
+def test_what_a_row_lacks_is_null_in_the_table(spark):
+    """As in the SQL of regression_shapes, where a turning point has null errors; NaN would count as a number."""
+    nan = math.nan
+    rows = [("bins", "y", "monotonic", "none", 1.0, nan, nan, nan, 0.5, 10, 2), ("bins", "y", "bin_2", "clustered_entity", 0.25, 0.5, 0.5, 0.62, 0.5, 10, 2)]
+    found = catalog._tidy(specs.tidy(spark, rows))
+    assert [tuple(r)[4:] for r in found.orderBy("beta").collect()] == [(0.25, 0.5, 0.5, 0.62, 0.5, 10, 2), (1.0, None, None, None, 0.5, 10, 2)]
+    assert found.where("isnan(se) or isnan(tstat) or isnan(pval)").count() == 0
